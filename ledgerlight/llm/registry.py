@@ -41,12 +41,76 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantised, top_k
+
+    vectors = quantised(read(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_codec import encode_texts
+    from .tokenizers_path import path
+
+    return encode_texts(read(spark, sf_dir, "documents"), path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write_archives
+
+    folder, index = write_archives(read(spark, sf_dir, "pages"))
+    response = F.col("record_type") == "response"
+    return read_records(folder, index).select(
+        "page_id",
+        F.when(response, F.octet_length("payload")).otherwise(F.col("stated_bytes")).cast("long").alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("stated_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), g AS (
+  SELECT page_id, html, n, max(page_id) OVER (PARTITION BY html) AS first_id FROM p
+)
+SELECT page_id,
+       n::BIGINT AS payload_bytes,
+       sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
+
 def queries() -> dict:
     return {
+        "op3_exact_topk": op3_exact_topk,
+        "op6_piece_codec": op6_piece_codec,
+        "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
