@@ -66,6 +66,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokenizers_path import path
+
+    return pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_texts
     from .tokenizers_path import path
@@ -105,6 +112,7 @@ FROM g
 def queries() -> dict:
     return {
         "op3_exact_topk": op3_exact_topk,
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op6_piece_codec": op6_piece_codec,
         "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
