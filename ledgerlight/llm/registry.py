@@ -41,6 +41,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_lm import score_documents
+    from .tokenizers_path import path
+
+    return score_documents(read(spark, sf_dir, "documents"), path("piece_bpe_32k.model"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantised, top_k
 
@@ -111,6 +118,7 @@ FROM g
 
 def queries() -> dict:
     return {
+        "op2_lattice_lm": op2_lattice_lm,
         "op3_exact_topk": op3_exact_topk,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op6_piece_codec": op6_piece_codec,
