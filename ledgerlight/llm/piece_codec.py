@@ -8,8 +8,9 @@ with the one before, and a bit per position remembers where no continuation exis
 without a piece are encoded as their bytes.
 
 No piece holds a space mark after another character (checked at loading), so a text
-splits before each run of spaces into chunks that are encoded by themselves; a bounded
-dictionary in each Python worker keeps the chunks it has seen.
+splits before each run of spaces into chunks that are encoded by themselves, and a chunk splits
+wherever two characters stand side by side that do so in no piece. Bounded dictionaries in each
+Python worker keep the chunks and parts it has seen.
 
 Defined results: a null text is the empty text, which has only the begin and end
 ids. Texts of any length are encoded whole. Rows that repeat an id stay rows of their own.
@@ -19,17 +20,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks and pairs of pieces that a worker keeps; it starts anew beyond.
+#: Chunks, parts and pairs of pieces that a worker keeps; it lets go of older ones beyond.
 KEPT = 300_000
 
 
@@ -69,7 +70,11 @@ class PieceCodec:
             self.automaton.add_word(text, len(text))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
+        #: Pairs of characters that stand side by side in a piece: no merge crosses any other pair.
+        self.joined = {pair for text in self.ids for pair in zip(text, text[1:], strict=False)}
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
         self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best pair again and again."""
@@ -90,41 +95,60 @@ class PieceCodec:
         if known is None:
             if len(self.compatible) >= KEPT:
                 self.compatible.clear()
-            known = self.compatible[pair] = self.merged(left + right) == [left, right]
+            both = [left, right] if left else [right]
+            known = self.compatible[pair] = self.merged(left + right) == both
         return known
 
     def pieces(self, text: str) -> list[str]:
-        """The pieces of a chunk; spaces are already marked."""
-        if text in self.ids and self.merged(text) == [text]:
-            return [text]
+        """The pieces of a text whose spaces are already marked."""
+        n = len(text)
+        longest = [1] * n
+        for last, size in self.automaton.iter(text):
+            longest[last - size + 1] = size  # ends come in order, so the longest is last
+        out: list[str] = []
+        at, before, known = 0, "", self.compatible
+        while at < n:
+            end = at + longest[at]
+            piece = text[at:end]
+            fits = known.get((before, piece))
+            if not (self.fits(before, piece) if fits is None else fits):
+                return self.backtracked(text)
+            out.append(piece)
+            before, at = piece, end
+        return out
+
+    def backtracked(self, text: str) -> list[str]:
+        """The same where the longest pieces don't all fit."""
         choices: list[list[int]] = [[1] for _ in text]
         for last, size in self.automaton.iter(text):
             if size > 1:
                 choices[last - size + 1].append(size)
         open_at = bytearray(b"\x01") * (len(text) + 1)
         out: list[str] = []
-        tried = [len(choices[0])] if text else []
-        at = 0
+        tried = [len(choices[0])]
+        at, known = 0, self.compatible
         while at < len(text):
-            taken = False
-            while tried[-1]:
-                tried[-1] -= 1
-                end = at + choices[at][tried[-1]]
-                piece = text[at:end]
-                if open_at[end] and (self.fits(out[-1], piece) if out else self.merged(piece) == [piece]):
-                    taken = True
-                    break
-            if taken:
-                out.append(piece)
-                at = end
-                if at < len(text):
-                    tried.append(len(choices[at]))
+            before = out[-1] if out else ""
+            here, left = choices[at], tried[-1]
+            while left:
+                left -= 1
+                end = at + here[left]
+                if open_at[end]:
+                    fits = known.get((before, text[at:end]))
+                    if self.fits(before, text[at:end]) if fits is None else fits:
+                        break
             else:
                 open_at[at] = 0
                 tried.pop()
                 if not out:
                     raise ValueError(f"no encoding for {text[:40]!r}")
                 at -= len(out.pop())
+                continue
+            tried[-1] = left
+            out.append(text[at:end])
+            at = end
+            if at < len(text):
+                tried.append(len(choices[at]))
         return out
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -137,26 +161,41 @@ class PieceCodec:
                 out.append(n)
         return out
 
+    def _part(self, text: str) -> tuple[bytes, bytes]:
+        """Ids, and the bytes that they decode to, of a part that no merge leaves."""
+        found = self.parts.get(text)
+        if found is None:
+            ids = self.ids_of(self.pieces(text))
+            found = self.parts[text] = array("I", ids).tobytes(), self.decoded_bytes(ids)
+            if len(self.parts) >= KEPT:
+                self.parts.clear()
+        return found
+
     def _chunk(self, key: str) -> tuple[bytes, bytes]:
-        """Ids, and the bytes that they decode to, of the chunk that is a space and ``key``."""
-        ids = self.ids_of(self.pieces(SPACE + key.replace(" ", SPACE)))
-        out = np.array(ids, "<u4").tobytes(), self.decoded_bytes(ids)
+        """The same for the chunk that is a space and ``key``."""
+        if (found := self.older.get(key)) is None:
+            text = SPACE + key.replace(" ", SPACE)
+            joined = self.joined
+            cuts = [i for i, pair in enumerate(zip(text, text[1:], strict=False), 1) if pair not in joined]
+            if cuts:
+                parts = [self._part(text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                found = b"".join([x for x, _ in parts]), b"".join([x for _, x in parts])
+            else:
+                found = self._part(text)
         if len(self.chunks) >= KEPT:
-            self.chunks.clear()
-        self.chunks[key] = out
-        return out
+            self.older, self.chunks = self.chunks, {}
+        self.chunks[key] = found
+        return found
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Little-endian ids between begin and end, and the decoded text in UTF-8."""
         found: list[tuple[bytes, bytes]] = []
-        first = b""
         if text:
             text = text.replace(SPACE, " ")
             if not self.prefix and text[0] != " ":
                 head, gap, text = text.partition(" ")
                 ids = self.ids_of(self.pieces(head))
-                first = np.array(ids, "<u4").tobytes()
-                found.append((first, self.decoded_bytes(ids)))
+                found.append((array("I", ids).tobytes(), self.decoded_bytes(ids)))
                 text = gap + text
                 keys = [c[1:] for c in re.findall(" +[^ ]*", text)]
             else:
