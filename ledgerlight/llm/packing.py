@@ -44,21 +44,21 @@ GENERATIONS = 40
 AT_ONCE = 256
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids=True):
+def pieces_of(docs: DataFrame, vocabulary: tuple[str, str], capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids=True):
     """(doc_id, _row, piece, start, length, ids_crc32[, ids]) of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, _row long, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<long>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = chunk_tokenizer(path)
+        tool = chunk_tokenizer(*vocabulary)
         final = FINAL_ID.to_bytes(4, "little")
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for n, data in enumerate(tool.encode([t or "" for t in batch.column(2).to_pylist()])):
-                    data += final
+                for n, data in enumerate(batch.column(2)):
+                    data = tool.encode(data.as_py() or "") + final
                     size = len(data) // 4
                     first = (size - 1) % capacity + 1
                     cuts = [0, *range(first, size + 1, capacity)]
@@ -280,8 +280,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, path: str, capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids: bool = True
+    docs: DataFrame,
+    vocabulary: tuple[str, str],
+    capacity: int = CAPACITY,
+    id_col="doc_id",
+    text_col="text",
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
-    pieces = written(pieces_of(docs, path, capacity, id_col, text_col, with_ids), "pieces")
+    """``vocabulary``: a file of ranks and the pre-tokenizer's pattern.
+
+    One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
+    pieces = written(pieces_of(docs, vocabulary, capacity, id_col, text_col, with_ids), "pieces")
     return pack_pieces(pieces, capacity).drop("_row")

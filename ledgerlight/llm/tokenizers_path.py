@@ -7,3 +7,10 @@ def path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def byte_level() -> tuple[str, str]:
+    """Ranks and pre-tokenizer pattern of the vocabulary that is also in byte_bpe_50k.json."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
