@@ -41,6 +41,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score_texts, trained_on
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = trained_on(docs, read(spark, sf_dir, "labels"))
+    return score_texts(docs, scorer).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice_lm import score_documents
     from .tokenizers_path import path
@@ -75,9 +85,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
-    from .tokenizers_path import path
+    from .tokenizers_path import byte_level
 
-    return pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), with_ids=False)
+    return pack(read(spark, sf_dir, "documents"), byte_level(), with_ids=False)
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +128,7 @@ FROM g
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_lattice_lm": op2_lattice_lm,
         "op3_exact_topk": op3_exact_topk,
         "op4_best_fit_packing": op4_best_fit_packing,
