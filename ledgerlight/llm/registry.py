@@ -126,6 +126,12 @@ FROM g
 """
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("_row", "_first_row")
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -136,6 +142,7 @@ def queries() -> dict:
         "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
+        "op10_ngram_join": op10_ngram_join,
     }
 
 
