@@ -90,6 +90,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), byte_level(), with_ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .piece_codec import encode_texts
     from .tokenizers_path import path
@@ -138,6 +144,7 @@ def queries() -> dict:
         "op2_lattice_lm": op2_lattice_lm,
         "op3_exact_topk": op3_exact_topk,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_piece_codec": op6_piece_codec,
         "op7_warc": op7_warc,
         "op8_exact_dedup": op8_exact_dedup,
