@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "PRJ-01"
+from . import governance_queries, rule_queries, text_queries
+
+FLAGSHIP = "AGG-02"
+
+_MODULES = (rule_queries, governance_queries, text_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
