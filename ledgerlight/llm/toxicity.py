@@ -33,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ DECAY = 0.6
 WINDOW = 20
 LANDMARKS = 192
 #: Bounds of the labelled sample that is collected for training.
-MAX_TOXIC = 3000
-MAX_CLEAN = 5000
+MAX_TOXIC = 2500
+MAX_CLEAN = 4000
 #: Units of clean texts in one training set.
 NEGATIVES = 6000
 ROUNDS = 4
@@ -291,12 +292,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(
         F.broadcast(ids.withColumnRenamed(id_col, "_label_id")), F.col("_id") == F.col("_label_id")
     )
-    rows = (
+    found = (
         texts.select("_id", F.col("_toxic").cast("int").alias("_toxic"), "text")
         .mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _toxic int, units array<string>")
-        .collect()
+        .toArrow()
     )
-    return [(r["units"], int(r["_toxic"] == 1)) for r in sorted(rows, key=lambda r: (r["_id"], r["units"]))]
+    rows = sorted(
+        (key, [intern(u) for u in units.as_py()], int(y == 1))
+        for key, y, units in zip(found["_id"].to_pylist(), found["_toxic"].to_pylist(), found["units"], strict=True)
+    )
+    return [(units, y) for _, units, y in rows]
 
 
 def score_texts(docs: DataFrame, scorer: UnitScorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
