@@ -36,6 +36,8 @@ FILE_BYTES = 1 << 30
 #: Byte ranges this near to each other are read at once, up to READ_BYTES.
 GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
+#: Archive bytes that a reading task gets.
+TASK_BYTES = 16 << 20
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = (
@@ -216,9 +218,10 @@ def _reader(folder: str):
 
 def read_records(folder: str, selected: DataFrame) -> DataFrame:
     """The records that rows of the index (``selected``) point to."""
+    size = selected.agg(F.sum("length")).first()[0] or 0
     ranges = (
         selected.select("file", "offset", "length")
-        .repartitionByRange("file", "offset")
+        .repartitionByRange(-(-size // TASK_BYTES) or 1, "file", "offset")
         .sortWithinPartitions("file", "offset")
     )
     return ranges.mapInArrow(_reader(folder), RECORD)
