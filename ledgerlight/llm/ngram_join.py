@@ -131,10 +131,17 @@ def signatures(docs: DataFrame, depth: int, id_col="doc_id", text_col="text") ->
 
 
 def candidate_ties(classes: DataFrame) -> DataFrame:
-    """(u, v): every class tied to the first of each bucket that it shares with others."""
+    """(u, v): ties that join every class with all the first members of the buckets that it shares with others.
+
+    A class has at most one such first member per tree. It is tied to the smallest of them, and so are
+    the others, which the members of a bucket have in common: about one tie per class is left.
+    """
     members = classes.select("rep", F.explode("keys").alias("key"))
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return members.join(heads, "key").filter("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct()
+    shared = members.join(heads, "key").groupBy("rep").agg(F.collect_set("head").alias("heads"))
+    least = F.array_min("heads")
+    ties = F.transform(F.array_union("heads", F.array("rep")), lambda u: F.struct(u.alias("u"), least.alias("v")))
+    return shared.select(F.explode(ties).alias("t")).select("t.u", "t.v").filter("u <> v").distinct()
 
 
 def _common(sets: list[np.ndarray], n_left: int) -> np.ndarray:
