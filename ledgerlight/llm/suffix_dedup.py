@@ -8,7 +8,8 @@ ordered only as far as that takes, by most-significant-digit passes over ever fe
    leftmost of equals. Equal windows have equal anchors at equal offsets, so only suffixes at anchors
    need sorting, and all windows of one anchor (a run of neighbouring starts) go together.
    The first digit is the anchor. A group of one anchor in which all runs are equal is settled: all but
-   its first are repeated. Runs that no other shares an anchor with are dropped.
+   its first are repeated. Runs that no other shares an anchor with are dropped. Runs that repeat an earlier
+   one of the same batch are settled before the shuffle, so a frequent passage makes no large group.
 2. The runs that differ within a group are cut at fixed offsets from the anchor into bundles of 8 windows.
    The second digit is the 93 bytes that all windows of a bundle share. Equal bundles are settled likewise.
 3. The bundles left differ in the 7 bytes on either side, which they carry: they part into single windows,
@@ -76,8 +77,22 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return h[place[start]], place[start], start, np.r_[start[1:], windows]
 
 
+def _repeated_here(digit: np.ndarray, block: np.ndarray, order: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which runs of a batch have an earlier equal one in it. ``order``: the rank of each run's document."""
+    by = np.lexsort((run, order, block, digit))
+    same = np.r_[False, (digit[by][1:] == digit[by][:-1]) & (block[by][1:] == block[by][:-1])]
+    out = np.empty(len(by), dtype=bool)
+    out[by] = same
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digit, block, doc_id, _row, run): run packs the first start, the number of windows and the anchor's offset."""
+    """(digit, block, doc_id, _row, run, settled).
+
+    ``run`` packs the first start, the number of windows and the anchor's offset. A run that an earlier
+    one of its batch equals is settled; its digit becomes a hash of its place, so that runs of
+    a frequent passage are dealt evenly, and only one per batch meets the others.
+    """
     digest = xxhash.xxh3_64_intdigest
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
@@ -97,15 +112,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append(((start << 7 | (end - start)) << 7) | (place - start))
                 count.append(len(start))
             of = np.repeat(np.arange(batch.num_rows), count)
+            digit = np.concatenate([np.empty(0, dtype=np.uint64), *digits])
+            block = np.array(blocks, dtype=np.uint64)
+            run = np.concatenate([np.empty(0, dtype=np.int64), *runs])
+            ids, places = batch.column("doc_id").to_pylist(), batch.column("_row").to_numpy()
+            rank = np.empty(batch.num_rows, dtype=np.int64)
+            rank[sorted(range(len(ids)), key=lambda n: (ids[n] is not None, ids[n], places[n]))] = np.arange(len(ids))
+            settled = _repeated_here(digit, block, rank[of], run)
+            spread = (places[of].astype(np.uint64) * _ODD[0] + run.astype(np.uint64)) * _ODD[1]
+            digit = np.where(settled, spread ^ (spread >> _U64(29)), digit)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(digits).view(np.int64) if digits else [], pa.int64()),
-                    pa.array(np.array(blocks, dtype=np.uint64).view(np.int64), pa.int64()),
+                    pa.array(digit.view(np.int64), pa.int64()),
+                    pa.array(block.view(np.int64), pa.int64()),
                     batch.column("doc_id").take(pa.array(of)),
                     batch.column("_row").take(pa.array(of)),
-                    pa.array(np.concatenate(runs) if runs else [], pa.int64()),
+                    pa.array(run, pa.int64()),
+                    pa.array(settled, pa.bool_()),
                 ],
-                names=["digit", "block", "doc_id", "_row", "run"],
+                names=["digit", "block", "doc_id", "_row", "run", "settled"],
             )
 
 
@@ -175,7 +200,7 @@ def _settled(rows: DataFrame, digit: list[str], rest: list[str], place: str, nam
         rows.withColumn("repeated", same)
         .withColumn("_mixed", F.min(both).over(group) != F.max(both).over(group))
         .filter("repeated OR _mixed")
-        .drop("_mixed")
+        .drop("_mixed", "settled")
     )
     return written(marked, name)
 
@@ -192,7 +217,7 @@ def repeated_windows(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     texts = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
     )
-    runs = texts.mapInArrow(_runs, f"digit long, block long, doc_id {id_type}, _row long, run long")
+    runs = texts.mapInArrow(_runs, f"digit long, block long, doc_id {id_type}, _row long, run long, settled boolean")
     first = _settled(runs, ["digit"], ["block"], "run", "radix-1")
     _release(docs)
     open_runs = (
