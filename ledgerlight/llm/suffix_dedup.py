@@ -195,6 +195,8 @@ def _settled(rows: DataFrame, digit: list[str], rest: list[str], place: str, nam
     same = F.lit(True)
     for c in rest:
         same = same & F.coalesce(F.lag(c).over(ordered) == F.col(c), F.lit(False))
+    if "settled" in rows.columns:
+        same = same | F.col("settled")
     both = F.struct(*rest) if len(rest) > 1 else F.col(rest[0])
     marked = (
         rows.withColumn("repeated", same)
