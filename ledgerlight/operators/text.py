@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,11 +53,41 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
-    """(Q, ID, SCORE) of a bounded set of query vectors, broadcast, against all rows."""
-    asked = queries.select(F.col(id_col).alias("Q"), F.col(vector_col).alias("_V"))
-    scored = vectors.crossJoin(F.broadcast(asked)).select("Q", F.col(id_col).alias("ID"), cosine(F.col(vector_col), F.col("_V")).alias("SCORE"))
-    return scored.filter("SCORE > 0")
+def vector_top(
+    vectors: DataFrame, queries: DataFrame, limit: int, id_col="vec_id", vector_col="embedding", block: int = 4096
+) -> DataFrame:
+    """(Q, ID, SCORE, POSICAO): the best positive cosines per query, ties to the smaller id.
+
+    Queries and rows meet in cells of bounded blocks, each of which passes on its own best
+    ``limit`` per query. Vectors are of one length; null vectors and those of norm 0 take no part.
+    """
+    usable = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
+    pick = lambda df: df.filter(usable).select(F.col(id_col).cast("long").alias("ID"), F.col(vector_col).alias("V"))
+    rows, asked = pick(vectors), pick(queries)
+    n_rows, n_asked = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    own = lambda n: F.pmod(F.xxhash64("ID"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("ID").alias("Q"), F.col("V").alias("QV"), own(n_asked).alias("QB"), every(n_rows).alias("RB"))
+    right = rows.select("ID", "V", own(n_rows).alias("B"), every(n_asked).alias("A"))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.array([np.asarray(x, dtype=float) for x in v])
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(r):
+            r = r.sort_values("ID", ignore_index=True)
+            score = unit(q["QV"]) @ unit(r["V"]).T
+            for name, own_scores in zip(q["Q"], score, strict=True):
+                best = np.argsort(-own_scores, kind="stable")[:limit]
+                best = best[own_scores[best] > 0]
+                found.append(pd.DataFrame({"Q": name, "ID": r["ID"].to_numpy()[best], "SCORE": own_scores[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"Q": [], "ID": [], "SCORE": []})
+
+    cells = left.groupBy("QB", "RB").cogroup(right.groupBy("A", "B"))
+    return top(cells.applyInPandas(cell, "Q long, ID long, SCORE double"), limit)
 
 
 def top(scores: DataFrame, limit: int) -> DataFrame:

@@ -13,28 +13,27 @@ def _scores(spark, d):
     return text.lexical_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
 
 
-def _vectors(spark, d):
+def _vector_top(spark, d):
     v = _table(spark, d, "embeddings").select("vec_id", "embedding")
-    return text.vector_scores(v, v.filter("vec_id < 20"))
+    return text.vector_top(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-def _vector_top(spark, d):
-    return text.top(_vectors(spark, d), 10)
+def _neighbours(spark, d, n):
+    """(Q, ID, POSICAO): the next ``n`` ids after each query's, where they exist."""
+    e = _table(spark, d, "embeddings")
+    after = e.filter("vec_id % 50 = 0").select(
+        F.col("vec_id").alias("Q"), F.posexplode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + n)).alias("p", "ID")
+    )
+    return after.join(e.select(F.col("vec_id").alias("ID")), "ID", "left_semi").select("Q", "ID", (F.col("p") + 1).alias("POSICAO"))
 
 
 def _fused(spark, d):
-    """Fusion of the vector ranking with one by label agreement."""
-    e = _table(spark, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("Q"), F.col("label").alias("L"))
-    other = e.join(F.broadcast(q), e["label"] == q["L"]).select("Q", F.col("vec_id").alias("ID"), (-F.col("vec_id")).cast("double").alias("SCORE"))
-    return text.fused([_vector_top(spark, d), text.top(other, 10)], 10)
+    """Fusion of the vector ranking with one by neighbouring ids."""
+    return text.fused([_vector_top(spark, d), _neighbours(spark, d, 10)], 10)
 
 
 def _measures(spark, d):
-    e = _table(spark, d, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("Q"), F.col("label").alias("L"))
-    gold = e.join(F.broadcast(q), e["label"] == q["L"]).select("Q", F.col("vec_id").alias("ID"))
-    return text.retrieval_measures(_vector_top(spark, d), gold, 10)
+    return text.retrieval_measures(_vector_top(spark, d), _neighbours(spark, d, 5).drop("POSICAO"), 10)
 
 
 _FOLD = "lower(strip_accents(coalesce({}, '')))"
@@ -45,13 +44,14 @@ qt AS (SELECT Q, TERMO, count(*) AS QTF FROM qw GROUP BY ALL), df AS (SELECT TER
 SELECT Q, ID, round(sum((1 + ln(TF)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + DF)::DOUBLE) + 1) * QTF), 6) AS SCORE
 FROM qt JOIN df USING (TERMO) JOIN tf USING (TERMO) GROUP BY ALL"""
 VECTOR_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), s AS (
-  SELECT q.vec_id AS Q, v.vec_id AS ID, list_cosine_similarity(q.e, v.e) AS SCORE FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id < 20) q),
+  SELECT q.vec_id AS Q, v.vec_id AS ID, list_cosine_similarity(q.e, v.e) AS SCORE FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q),
 tv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM s WHERE SCORE > 0) WHERE POSICAO <= 10)"""
-FUSED_SQL = f"""{VECTOR_SQL}, o AS (SELECT * FROM (SELECT q.vec_id AS Q, v.vec_id AS ID, row_number() OVER (PARTITION BY q.vec_id ORDER BY v.vec_id)::INT AS POSICAO
-  FROM v JOIN (SELECT * FROM v WHERE vec_id < 20) q ON v.label = q.label) WHERE POSICAO <= 10),
+FUSED_SQL = f"""{VECTOR_SQL}, o AS (SELECT q.vec_id AS Q, v.vec_id AS ID, (v.vec_id - q.vec_id)::INT AS POSICAO
+  FROM v JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q ON v.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 10),
 f AS (SELECT Q, ID, sum(1.0::DOUBLE / (60 + POSICAO)) AS SCORE FROM (SELECT Q, ID, POSICAO FROM tv UNION ALL SELECT * FROM o) GROUP BY ALL)
-SELECT Q, ID, round(SCORE, 8) AS SCORE FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY round(SCORE, 10) DESC, ID) AS rn FROM f) WHERE rn <= 10"""
-MEASURES_SQL = f"""{VECTOR_SQL}, gold AS (SELECT q.vec_id AS Q, v.vec_id AS ID FROM v JOIN (SELECT * FROM v WHERE vec_id < 20) q ON v.label = q.label),
+SELECT Q, ID, round(SCORE, 8) AS SCORE FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID) AS rn FROM f) WHERE rn <= 10"""
+MEASURES_SQL = f"""{VECTOR_SQL}, gold AS (SELECT q.vec_id AS Q, v.vec_id AS ID
+  FROM v JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q ON v.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 5),
 n AS (SELECT Q, count(*) AS n FROM gold GROUP BY ALL),
 h AS (SELECT tv.Q, POSICAO, row_number() OVER (PARTITION BY tv.Q ORDER BY POSICAO) AS k FROM tv JOIN gold USING (Q, ID)),
 a AS (SELECT Q, count(*) AS c, min(POSICAO) AS p, sum(k / POSICAO::DOUBLE) AS ap FROM h GROUP BY ALL)
