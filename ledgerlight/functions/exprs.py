@@ -44,7 +44,7 @@ def folded_lower(c: Column) -> Column:
 
 def cents(c: Column) -> Column:
     """Amount text with decimal comma to integer cents, half to even; null if it can't be read."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), "R\\$|[  ]", "")
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), "R\\$|[ \u00a0]", "")
     negative = text.rlike(r"^\(.*\)$")
     text = F.regexp_replace(text, r"[()]", "")
     plain = F.when(text.contains(","), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)

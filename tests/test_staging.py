@@ -17,7 +17,7 @@ def one(spark, value, expr):
 
 @pytest.mark.parametrize(
     ("text", "cents"),
-    [("1.234,56", 123456), ("2,345", 234), ("2,355", 236), ("(R$ 10,00)", -1000), ("", None), ("abc", None), ("-5,5", -550), (None, None), ("7", 700)],
+    [("1.234,56", 123456), ("2,345", 234), ("2,355", 236), ("(R$ 10,00)", -1000), ("", None), ("abc", None), ("-5,5", -550), (None, None), ("7", 700), ("R$\u00a01,05", 105)],
 )
 def test_cents(spark, text, cents):
     assert one(spark, text, x.cents) == cents
