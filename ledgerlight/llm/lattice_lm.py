@@ -2,21 +2,21 @@
 
 A document is the sequence of its words and an end. A word's arcs are the pieces of an
 existing vocabulary (those with a space mark open it, the others continue it), single
-bytes, and, for frequent words, the whole word. Its probability is the sum over all its
+bytes, and, for words of the training rows, the whole word. Its probability is the sum over all its
 segmentations, found by a forward recursion in log space; whether the word goes on
 is part of each piece's choice, so probabilities sum to one over all documents. A
 document's score is the log10 of the product over its words and its end.
 
 Training goes over all training rows. Words are counted per task in bounded counters and summed
-by Spark; the table of distinct words, which grows with the corpus, stays a table. The
-``HOT_WORDS`` most frequent words, a fixed number, are broadcast with their counts: a whole word has
+by Spark; the table of distinct words, which grows with the corpus, stays a table. A whole word has
 its count less ``DISCOUNT``, and what is taken off is left to the pieces. The pieces' first
 probabilities follow the vocabulary's own scores; each pass then runs forward and backward over
-all distinct words, weighted by their counts (by what was taken off, if hot), and sets
+all distinct words, weighted by what was taken off, and sets
 them to the expected counts. Only the piece table is collected: a row per piece and byte.
 
-The base scores need each word's own count. Hot words have it with them, the others are looked
-up by a shuffled join, so that no frequent word is ever a join key.
+Both scores need each word's own count. The ``HOT_WORDS`` most frequent words are broadcast with
+theirs; the others are looked up by a shuffled join, each with its probability by pieces, so that
+no frequent word is ever a join key. The scores do not depend on which words are broadcast.
 
 Defined results: a null text is the empty text, which is an end only. Rows that repeat a
 doc_id are rows of their own. If there are no training rows, N and V are 0 and every token has
@@ -49,7 +49,7 @@ KEPT = 500_000
 AT_ONCE = 512
 #: Expectation passes over the word table.
 PASSES = 2
-#: Taken off the count of a hot word and left to its pieces.
+#: Taken off the count of a word and left to its pieces.
 DISCOUNT = 0.75
 #: Added to every expected count, so that each piece and byte stays possible.
 SMOOTH = 0.1
@@ -247,19 +247,17 @@ def _lattice(pieces: list[str], weight: np.ndarray, byte_weight: np.ndarray, sto
     return Lattice(pieces, log_p, np.log(byte_weight) - math.log(on), math.log(stops / on))
 
 
-def _expected(words: DataFrame, lattice, least: int) -> DataFrame:
+def _expected(words: DataFrame, lattice) -> DataFrame:
     """(piece, n): expected counts over the word table; bytes are named by two hex digits after a NUL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Lattice = lattice.value
         counts, byte_counts, stops = np.zeros(len(model.pieces)), np.zeros(256), 0.0
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            own = [i for i, w in enumerate(words) if w]
-            times = np.where(n <= least, n, DISCOUNT)[own].astype(float)
+            own = [w.decode() for w in batch.column(0).to_pylist() if w]
+            times = np.full(len(own), DISCOUNT)
             stops += times.sum()
-            model.expect([words[i].decode() for i in own], times, counts, byte_counts)
+            model.expect(own, times, counts, byte_counts)
         used = np.flatnonzero(counts)
         names = [*(model.pieces[i] for i in used), *(f"\0{b:02x}" for b in range(256)), ""]
         values = [*counts[used].tolist(), *byte_counts.tolist(), float(stops)]
@@ -267,11 +265,11 @@ def _expected(words: DataFrame, lattice, least: int) -> DataFrame:
             [pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["piece", "n"]
         )
 
-    counted = words.select("word", "n").mapInArrow(run, "piece string, n double")
+    counted = words.select("word").mapInArrow(run, "piece string, n double")
     return counted.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def fit(words: DataFrame, path: str, least: int, passes: int = PASSES) -> Lattice:
+def fit(words: DataFrame, path: str, passes: int = PASSES) -> Lattice:
     """Expectation maximisation over a written table of word counts."""
     spark = words.sparkSession
     pieces = vocabulary(path)
@@ -279,7 +277,7 @@ def fit(words: DataFrame, path: str, least: int, passes: int = PASSES) -> Lattic
     lattice = _lattice(pieces, ranks, np.full(256, ranks.sum() / 25600), ranks.sum() / 2)
     for _ in range(passes):
         sent = spark.sparkContext.broadcast(lattice)
-        found = dict(_expected(words, sent, least).toPandas().itertuples(index=False))
+        found = dict(_expected(words, sent).toPandas().itertuples(index=False))
         if not found.get(""):
             break
         weight = np.array([found.get(p, 0.0) for p in pieces]) + SMOOTH
@@ -311,18 +309,16 @@ class Model:
     hot: dict[bytes, int]
     n_all: int
     n_ends: int
+    n_words: int  # distinct words, the end not among them
 
     def __post_init__(self):
-        taken = sum(self.hot.values()) - DISCOUNT * len(self.hot)
-        if END in self.hot:
-            taken -= self.hot[END] - DISCOUNT
         # one more word and end than were seen, so that neither is impossible
         self.total = self.n_all + 2
         self.log_end = math.log((self.n_ends + 1) / self.total)
-        self.log_by_pieces = math.log((self.n_all - self.n_ends - taken + 1) / self.total)
+        self.log_by_pieces = math.log((DISCOUNT * self.n_words + 1) / self.total)
 
     def known(self, words: list[bytes]) -> Iterator[tuple[bytes, tuple[float, float | None]]]:
-        """Each word with ln p and, if it's hot, log10 of one more than its count."""
+        """Each word with ln p (of its pieces alone, unless it's hot) and, if it's hot, log10 of one more than its count."""
         by_pieces = self.log_by_pieces + self.lattice.log_probabilities([w.decode() for w in words])
         counts = [self.hot.get(w) for w in words]
         whole = np.array([0.0 if c is None else (c - DISCOUNT) / self.total for c in counts])
@@ -350,17 +346,18 @@ def _scored(docs: DataFrame, sent) -> DataFrame:
                     known.clear()
                 known.update(model.known([w for w in set().union(*texts) if w not in known]))
                 for words in texts:
-                    score, logs, n_known, rare, times = 0.0, 0.0, 0, [], []
+                    score, logs, n_known, rare, times, by_pieces = 0.0, 0.0, 0, [], [], []
                     for word, k in words.items():
                         p, log_count = known[word]
                         score += k * p
                         if log_count is None:
                             rare.append(word)
                             times.append(k)
+                            by_pieces.append(p)
                         else:
                             n_known += k
                             logs += k * log_count
-                    out.append((words.total(), n_known, logs, score * log10, rare, times))
+                    out.append((words.total(), n_known, logs, score * log10, rare, times, by_pieces))
             batch = whole
             columns = list(zip(*out, strict=True)) or [[]] * len(_SCORED)
             yield pa.RecordBatch.from_arrays(
@@ -373,7 +370,7 @@ def _scored(docs: DataFrame, sent) -> DataFrame:
     return docs.mapInArrow(
         run,
         f"_row long, doc_id {id_type}, held_out boolean, n_tokens long, hot_known long, hot_logs double, "
-        "score double, rare array<binary>, times array<long>",
+        "score double, rare array<binary>, times array<long>, by_pieces array<double>",
     )
 
 
@@ -384,6 +381,7 @@ _SCORED = {
     "score": pa.float64(),
     "rare": pa.list_(pa.binary()),
     "times": pa.list_(pa.int64()),
+    "by_pieces": pa.list_(pa.float64()),
 }
 
 
@@ -404,8 +402,9 @@ def score_documents(
     n_all, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     frequent, least = hot_words(words, most_hot)
     hot = {bytes(w): int(n) for w, n in frequent.toPandas().itertuples(index=False)}
-    n_ends = words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    model = spark.sparkContext.broadcast(Model(fit(words, path, least, passes), hot, n_all, int(n_ends)))
+    n_ends = int(words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0)
+    own = Model(fit(words, path, passes), hot, n_all, n_ends, n_distinct - (n_ends > 0))
+    model = spark.sparkContext.broadcast(own)
     scored = written(
         _scored(
             docs.select(
@@ -418,17 +417,25 @@ def score_documents(
         ),
         "scored",
     )
+    # ln of pieces and whole word together, less that of the pieces, which the score has already
+    by_pieces, whole = F.col("by_pieces"), F.log((F.col("n") - DISCOUNT) / own.total)
+    gain = F.greatest(by_pieces, whole) + F.log1p(F.exp(-F.abs(by_pieces - whole))) - by_pieces
+    gain = F.when(F.length("word") > 0, gain / math.log(10)).otherwise(0.0)
     cold = (
-        scored.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
-        .select("_row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"))
+        scored.select("_row", F.explode(F.arrays_zip("rare", "times", "by_pieces")).alias("r"))
+        .select("_row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"), F.col("r.by_pieces").alias("by_pieces"))
         .join(words.filter(F.col("n") <= least), "word")
         .groupBy("_row")
-        .agg(F.sum("k").alias("cold_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("cold_logs"))
+        .agg(
+            F.sum("k").alias("cold_known"),
+            F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("cold_logs"),
+            F.sum(F.col("k") * gain).alias("cold_gain"),
+        )
     )
     denominator = math.log10(n_all + n_distinct + 1)
     logs = F.col("hot_logs") + F.coalesce(F.col("cold_logs"), F.lit(0.0))
     return (
-        scored.drop("rare", "times")
+        scored.drop("rare", "times", "by_pieces")
         .join(cold, "_row", "left")
         .select(
             "doc_id",
@@ -437,6 +444,6 @@ def score_documents(
             (F.col("hot_known") + F.coalesce(F.col("cold_known"), F.lit(0))).alias("n_known"),
             F.lit(n_all).cast("long").alias("train_tokens"),
             (logs - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce(F.col("cold_gain"), F.lit(0.0))).alias("score"),
         )
     )

@@ -270,6 +270,15 @@ def test_lattice_probabilities_and_base(docs, empty, data):
     assert lattice_lm.score_documents(empty, path("piece_bpe_32k.model")).count() == 0
 
 
+def test_lattice_scores_do_not_depend_on_the_broadcast(docs, data):
+    model = path("piece_bpe_32k.model")
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score)
+    few, some, all_ = (sorted(map(key, lattice_lm.score_documents(docs, model, most_hot=n).collect())) for n in (0, 10, 200_000))
+    assert len(all_) == len(data)
+    assert [r[2] for r in few] == pytest.approx([r[2] for r in all_], rel=1e-9)
+    assert [r[2] for r in some] == pytest.approx([r[2] for r in all_], rel=1e-9)
+
+
 def test_forward_recursion_sums_all_segmentations():
     pieces = ["▁", "▁a", "▁ab", "a", "b", "ba", "bab"]
     model = lattice_lm._lattice(pieces, np.arange(1.0, 8.0), np.full(256, 0.01), 2.0)
