@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 
@@ -14,6 +15,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs``, a scan of Parquet files, with the place of each row: its file's number and its index in that file.
+
+    Unlike ``monotonically_increasing_id`` it doesn't depend on how a scan splits the files, so that all
+    scans of ``docs`` give a row the same place. Only the names of the files are collected.
+    """
+    spark = docs.sparkSession
+    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "_file_number long, _file_name string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_file_row"))
+    return (
+        placed.join(F.broadcast(numbers), F.col("_file_path") == F.col("_file_name"))
+        .withColumn(name, F.shiftleft("_file_number", 36) + F.col("_file_row"))
+        .drop("_file_path", "_file_row", "_file_number", "_file_name")
+    )
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

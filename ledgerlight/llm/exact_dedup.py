@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 #: Most digests that are broadcast as heavy hitters.
 MAX_HEAVY = 256
@@ -35,9 +35,9 @@ def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, _row, text_sha256) of every row, written to the shared folder."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return written(
-        docs.select(
+        numbered(docs.select(id_col, text_col), "_place").select(
             F.col(id_col).alias("doc_id"),
-            F.monotonically_increasing_id().alias("_row"),
+            F.col("_place").alias("_row"),
             F.sha2(text.cast("binary"), 256).alias("text_sha256"),
         ),
         "digests",
@@ -83,11 +83,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged.
 
-    ``docs`` must be a table scan, so that a row has the same position whenever
-    it is read. The ids that leave are joined away; texts of rows that stay
+    ``docs`` must be a scan of Parquet files, so that a row has the same position whenever
+    it is read, however the files are split. The ids that leave are joined away; texts of rows that stay
     move only if those ids are too many for a broadcast.
     """
     gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("_row").alias("_gone_row"))
-    placed = docs.withColumn("_place_of_row", F.monotonically_increasing_id())
+    placed = numbered(docs, "_place_of_row")
     kept = placed.join(gone, placed["_place_of_row"] == gone["_gone_row"], "left_anti")
     return kept.drop("_place_of_row")

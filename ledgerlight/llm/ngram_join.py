@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 from .components import connected_components
 
 WORDS = 5
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, depth: int, id_col="doc_id", text_col="text") ->
                 names=["_row", "doc_id", "digest", "n_shingles", "keys"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col))
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
     return written(
         rows.mapInArrow(run, f"_row long, doc_id {id_type}, digest binary, n_shingles long, keys array<long>"),
         "signatures",
@@ -258,7 +258,7 @@ def verified_links(docs: DataFrame, members: DataFrame, threshold: float, text_c
         "n_blocks",
         F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"),
     )
-    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
+    texts = numbered(docs.select(F.col(text_col).alias("text")))
     sets = (
         texts.join(placed, texts["_row"] == placed["rep"])
         .select("rep", "n_copies", "comp", "n_blocks", "block", "text")
@@ -335,5 +335,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs``, a table scan, that stay: the first of each class, and all without links."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     gone = found.filter("_row <> _first_row").select(F.col("_row").alias("_gone_row"))
-    placed = docs.withColumn("_place_of_row", F.monotonically_increasing_id())
+    placed = numbered(docs, "_place_of_row")
     return placed.join(gone, placed["_place_of_row"] == gone["_gone_row"], "left_anti").drop("_place_of_row")

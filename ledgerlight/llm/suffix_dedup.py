@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 DEPTH = 100
 FIRST_DIGIT = 32
@@ -216,9 +216,7 @@ def _release(df: DataFrame) -> None:
 def repeated_windows(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(_row, start, windows): runs of repeated windows of ``docs``, a table scan."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    )
+    texts = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
     runs = texts.mapInArrow(_runs, f"digit long, block long, doc_id {id_type}, _row long, run long, settled boolean")
     first = _settled(runs, ["digit"], ["block"], "run", "radix-1")
     _release(docs)
@@ -295,9 +293,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", with_text:
                     names=names[: len(columns) + 1],
                 )
 
-    texts = docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    )
+    texts = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", spans array<array<long>>, kept binary" if with_text else ""
     return texts.join(found, texts["_row"] == found["_of"], "left").select("doc_id", "text", "found").mapInArrow(cut, schema)

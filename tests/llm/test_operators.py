@@ -83,6 +83,31 @@ def test_heavy_digests_are_broadcast(spark, tmp_path):
     assert got[0] == (498, 167, False) and got[498] == (498, 167, True) and got[1] == (1, 1, True)
 
 
+def test_rows_are_the_same_in_scans_of_other_splits(spark, tmp_path_factory, data):
+    docs = table(spark, tmp_path_factory, data)
+    split = "spark.sql.files.openCostInBytes"
+    made = lambda: (
+        exact_dedup.drop_exact_duplicates(docs),
+        ngram_join.one_of_each(docs),
+        suffix_dedup.remove_repeats(docs, with_text=False),
+    )
+    want = [sorted(map(str, df.collect())) for df in made()]
+    late = made()
+    usual = docs.rdd.getNumPartitions()
+    before = spark.conf.get(split)
+    try:
+        spark.conf.set(split, "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        assert spark.read.parquet(*docs.inputFiles()).rdd.getNumPartitions() != usual
+        got = [sorted(map(str, df.collect())) for df in late]
+    finally:
+        spark.conf.set(split, before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
 ASSIGN = re.compile(secret_scan.BASE_RULES[0].pattern.replace("(?i)", ""), re.I | re.A)
 
 
