@@ -41,6 +41,8 @@ LONGEST = 8
 TARGET_RECALL = 0.99999
 #: Shingles of a block of classes that is verified against another.
 BLOCK = 128_000
+#: Classes of a block: what is compared has a few cells of 8 bytes per pair of them.
+ROWS = 2_000
 #: Bits of the matrix that a task compares at once.
 MATRIX_BITS = 1 << 28
 
@@ -248,16 +250,21 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=[*kept.schema.names, "shingles"])
 
 
-def verified_links(docs: DataFrame, members: DataFrame, threshold: float, text_col: str) -> DataFrame:
-    """(rep, first, links) per unit of work; ``members``: rep, n_copies, n_shingles, comp."""
-    stats = members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("n_blocks"))
-    placed = members.join(stats, "comp").select(
+def in_blocks(members: DataFrame) -> DataFrame:
+    """rep, n_copies, comp, n_blocks and block: about ``BLOCK`` shingles and ``ROWS`` classes in a block at most."""
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") / BLOCK, F.count(F.lit(1)) / ROWS)).cast("int")
+    return members.join(members.groupBy("comp").agg(blocks.alias("n_blocks")), "comp").select(
         "rep",
         "n_copies",
         "comp",
         "n_blocks",
         F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int").alias("block"),
     )
+
+
+def verified_links(docs: DataFrame, members: DataFrame, threshold: float, text_col: str) -> DataFrame:
+    """(rep, first, links) per unit of work; ``members``: rep, n_copies, n_shingles, comp."""
+    placed = in_blocks(members)
     texts = numbered(docs.select(F.col(text_col).alias("text")))
     sets = (
         texts.join(placed, texts["_row"] == placed["rep"])

@@ -185,6 +185,20 @@ def test_blocks_of_a_large_group_lose_no_link(monkeypatch, spark, tmp_path):
     assert got == {i: sum(len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
 
 
+def test_blocks_of_many_short_texts_are_bounded_by_rows(monkeypatch, spark, tmp_path):
+    members = spark.range(9000).selectExpr("id AS rep", "1L AS n_copies", "3L AS n_shingles", "0L AS comp")
+    assert max(r["count"] for r in ngram_join.in_blocks(members).groupBy("block").count().collect()) < 2500
+    monkeypatch.setattr(ngram_join, "ROWS", 100)
+    rng = random.Random(7)
+    texts = [" ".join(["order", "of", "item", *(rng.choice(WORDS) for _ in range(rng.randint(3, 6)))]) for _ in range(300)]
+    texts += [f"one two three four five six seven {w} nine ten eleven twelve" for w in range(900)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(spark.read.parquet(str(tmp_path / "d")), threshold=0.2).collect()}
+    sets = list(map(shingle_set, texts))
+    want = {i: sum(len(a & b) >= 0.2 * len(a | b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    assert all(got[i] == want[i] for i in range(300, 1200)) and all(got[i] <= want[i] for i in want)
+
+
 def test_prefix_is_shortened_to_the_target():
     depth = ngram_join.prefix_length(0.8, 0.99999)
     assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.99999 > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
