@@ -14,7 +14,7 @@ from ledgerlight.llm.exact_dedup import drop_exact_duplicates
 from ledgerlight.llm.ngram_join import one_of_each
 from ledgerlight.llm.packing import pack
 from ledgerlight.llm.secret_scan import redact
-from ledgerlight.llm.tokenizers_path import byte_level
+from ledgerlight.llm.tokenizers_path import byte_level_with_added
 from ledgerlight.llm.toxicity import score_texts, trained_on
 
 
@@ -41,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
-    return pack(docs, byte_level(), with_ids=False)
+    return pack(docs, byte_level_with_added(), with_ids=False)
 
 
 STAGES = [

@@ -44,7 +44,7 @@ GENERATIONS = 40
 AT_ONCE = 256
 
 
-def pieces_of(docs: DataFrame, vocabulary: tuple[str, str], capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids=True):
+def pieces_of(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids=True):
     """(doc_id, _row, piece, start, length, ids_crc32[, ids]) of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {id_type}, _row long, piece int, start long, length long, ids_crc32 long"
@@ -281,13 +281,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(
     docs: DataFrame,
-    vocabulary: tuple[str, str],
+    vocabulary: tuple,
     capacity: int = CAPACITY,
     id_col="doc_id",
     text_col="text",
     with_ids: bool = True,
 ) -> DataFrame:
-    """``vocabulary``: a file of ranks and the pre-tokenizer's pattern.
+    """``vocabulary``: a file of ranks, the pre-tokenizer's pattern and, if any, the added tokens with their ids.
 
     One row per piece: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     pieces = written(pieces_of(docs, vocabulary, capacity, id_col, text_col, with_ids), "pieces")

@@ -85,9 +85,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
-    from .tokenizers_path import byte_level
+    from .tokenizers_path import byte_level_with_added
 
-    return pack(read(spark, sf_dir, "documents"), byte_level(), with_ids=False)
+    return pack(read(spark, sf_dir, "documents"), byte_level_with_added(), with_ids=False)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

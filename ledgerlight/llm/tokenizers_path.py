@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 
 def path(name: str) -> str:
     import public_tokenizers
@@ -14,3 +16,10 @@ def byte_level() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def byte_level_with_added() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """As ``byte_level``, with the added tokens of byte_bpe_50k.json, which the library matches inside texts."""
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    return (*byte_level(), tuple((t["content"], t["id"]) for t in added))

@@ -12,7 +12,7 @@ import pytest
 
 from ledgerlight.llm import exact_dedup, lattice_lm, ngram_join, packing, piece_codec, secret_scan, suffix_dedup, topk, toxicity, warc
 from ledgerlight.llm.chunk_tokenizer import ChunkTokenizer
-from ledgerlight.llm.tokenizers_path import byte_level, path
+from ledgerlight.llm.tokenizers_path import byte_level, byte_level_with_added, path
 from ledgerlight.llm.trigram import clauses
 
 SCHEMA = "doc_id long, text string, source string, score double, digest string, block long, _kept int"
@@ -264,6 +264,20 @@ def test_chunk_ids_equal_the_library(data):
         assert np.frombuffer(chunks.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_matched_as_by_the_library(data):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    chunks = ChunkTokenizer(*byte_level_with_added())
+    mark = "<|endoftext|>"
+    assert np.frombuffer(chunks.encode(f"a{mark} x"), dtype="<u4").tolist() == [64, 50256, 2124]
+    rng = random.Random(5)
+    texts = [r[1] or "" for r in data] + [mark, mark * 2, f" {mark} ", f"a  {mark}\n {mark}b c", mark[:-1] + mark]
+    texts += ["".join(rng.choice([*"ab  \n1<|>漢", mark]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    for text in texts:
+        assert np.frombuffer(chunks.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, empty, data):
     got = packing.pack(docs, byte_level()).toPandas()
     tool = ChunkTokenizer(*byte_level())
