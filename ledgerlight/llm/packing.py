@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .chunk_tokenizer import chunk_tokenizer
 from .common import written
+from .words import slices
 
 CAPACITY = 2048
 #: Id after each document.
@@ -40,8 +41,6 @@ SHARD = 3000
 ISLANDS = 2
 POPULATION = 4
 GENERATIONS = 40
-#: Texts that are tokenised at once.
-AT_ONCE = 256
 
 
 def pieces_of(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, id_col="doc_id", text_col="text", with_ids=True):
@@ -54,11 +53,13 @@ def pieces_of(docs: DataFrame, vocabulary: tuple, capacity: int = CAPACITY, id_c
         tool = chunk_tokenizer(*vocabulary)
         final = FINAL_ID.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(at, AT_ONCE)
+            at = 0
+            for texts in slices(whole.column(2)):
+                batch = whole.slice(at, len(texts))
+                at += len(texts)
                 of, piece, start, length, crc, ids = [], [], [], [], [], []
-                for n, data in enumerate(batch.column(2)):
-                    data = tool.encode(data.as_py() or "") + final
+                for n, data in enumerate(tool.encode_all([t or "" for t in texts.to_pylist()])):
+                    data += final
                     size = len(data) // 4
                     first = (size - 1) % capacity + 1
                     cuts = [0, *range(first, size + 1, capacity)]

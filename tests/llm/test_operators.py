@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerlight.llm import exact_dedup, lattice_lm, ngram_join, packing, piece_codec, secret_scan, suffix_dedup, topk, toxicity, warc
+from ledgerlight.llm import exact_dedup, lattice_lm, ngram_join, packing, piece_codec, secret_scan, suffix_dedup, topk, toxicity, warc, words
 from ledgerlight.llm.chunk_tokenizer import ChunkTokenizer
 from ledgerlight.llm.tokenizers_path import byte_level, byte_level_with_added, path
 from ledgerlight.llm.trigram import clauses
@@ -231,7 +231,7 @@ def test_repeated_windows(docs, empty, data):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_pieces_equal_the_library(docs, empty, data):
+def test_pieces_equal_the_library(docs, empty, data, monkeypatch):
     import sentencepiece
 
     tool = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
@@ -240,17 +240,41 @@ def test_pieces_equal_the_library(docs, empty, data):
     texts = [r[1] or "" for r in data]
     for alphabet in ("ab ▁", "the in\n", "0123.,", "éç漢\U0001f642\x00<s>", "   a"):
         texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(150)]
-    for text in texts:
-        ids, raw = codec.encode(text)
-        want = tool.encode(text, add_bos=True, add_eos=True)
-        ids = np.frombuffer(ids, dtype="<u4").tolist()
-        assert ids == want
-        assert raw.decode() == tool.decode(want) == codec.decode(ids)
-    got = piece_codec.encode_texts(docs, path("piece_bpe_32k.model")).collect()
-    assert len(got) == len(data) and all(r.n_tokens * 4 == len(r.ids) for r in got)
+    texts += ["", " ", "  ", "▁", "a  b", " a", "a ", "  a  b  ", "q" * 3000, "x\n" * 200]
+    want = [tool.encode(t, add_bos=True, add_eos=True) for t in texts]
+    for most in (len("the whole text"), 1 << 22):
+        monkeypatch.setattr(words.cut, "__defaults__", (most,))
+        ids, count = codec.encode_all(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == want
+        assert [x.decode() for x in codec.decode_all(ids, count)] == list(map(tool.decode, want))
+    for text, ids in zip(texts, want, strict=True):
+        assert codec.encode(text) == ids and codec.decode(ids) == tool.decode(ids)
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.ids), r.decoded) for r in piece_codec.encode_texts(docs, path("piece_bpe_32k.model")).collect())
+    expected = []
+    for row in data:
+        ids = tool.encode(row[1] or "", add_bos=True, add_eos=True)
+        raw, text = np.array(ids, dtype="<u4").tobytes(), tool.decode(ids)
+        expected.append((str(row[0]), len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), raw, text))
+    assert got == sorted(expected)
     assert piece_codec.encode_texts(empty, path("piece_bpe_32k.model")).count() == 0
 
 
+def test_a_text_of_megabytes_without_spaces():
+    import sentencepiece
+
+    tool = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    codec = piece_codec.codec(path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    text = "".join(rng.choice(WORDS) for _ in range(300_000))
+    assert codec.encode(text + " a") == tool.encode(text + " a", add_bos=True, add_eos=True)
+    assert codec.held <= piece_codec.KEPT_BYTES
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    got = ChunkTokenizer(*byte_level_with_added()).encode(f"a {text} {text[:5000]}")
+    assert np.frombuffer(got, dtype="<u4").tolist() == plain.encode(f"a {text} {text[:5000]}", add_special_tokens=False).ids
+
+
 def test_chunk_ids_equal_the_library(data):
     from tokenizers import Tokenizer
 
@@ -264,7 +288,7 @@ def test_chunk_ids_equal_the_library(data):
         assert np.frombuffer(chunks.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
-def test_added_tokens_are_matched_as_by_the_library(data):
+def test_added_tokens_are_matched_as_by_the_library(data, monkeypatch):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(path("byte_bpe_50k.json"))
@@ -274,14 +298,23 @@ def test_added_tokens_are_matched_as_by_the_library(data):
     rng = random.Random(5)
     texts = [r[1] or "" for r in data] + [mark, mark * 2, f" {mark} ", f"a  {mark}\n {mark}b c", mark[:-1] + mark]
     texts += ["".join(rng.choice([*"ab  \n1<|>漢", mark]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
-    for text in texts:
-        assert np.frombuffer(chunks.encode(text), dtype="<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+    want = [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (10, 1 << 22):
+        monkeypatch.setattr(words.cut, "__defaults__", (most,))
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in chunks.encode_all(texts)] == want
+    for text, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(chunks.encode(text), dtype="<u4").tolist() == ids
 
 
 def test_packing(docs, empty, data):
-    got = packing.pack(docs, byte_level()).toPandas()
-    tool = ChunkTokenizer(*byte_level())
-    want = Counter(len(tool.encode(r[1] or "")) // 4 + 1 for r in data)
+    from tokenizers import Tokenizer
+
+    got = packing.pack(docs, byte_level_with_added()).toPandas()
+    tool = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    of_doc = {r[0]: [*tool.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in data if r[0] is not None}
+    for doc_id, own in got[got.doc_id.notna()].drop_duplicates(["doc_id", "piece"]).sort_values("piece").groupby("doc_id"):
+        assert [i for part in own.ids for i in part] == of_doc[doc_id] and own.start.tolist() == (own.length.cumsum() - own.length).tolist()
+    want = Counter(len(tool.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in data)
     whole = got.assign(key=got.doc_id.fillna(-1)).sort_values(["key", "piece"])
     assert int(whole.length.sum()) == sum(k * n for k, n in want.items())
     packed = got.sort_values(["sequence_id", "offset"])
@@ -290,7 +323,7 @@ def test_packing(docs, empty, data):
     assert got.sequence_id.nunique() <= -(-int(got.length.sum()) // packing.CAPACITY) + 1
     for row in got.itertuples():
         assert zlib.crc32(np.asarray(row.ids, dtype="<u4").tobytes()) == row.ids_crc32 and len(row.ids) == row.length
-    assert packing.pack(empty, byte_level()).count() == 0
+    assert packing.pack(empty, byte_level_with_added()).count() == 0
 
 
 def test_crossover_keeps_every_item():
