@@ -15,34 +15,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """``docs``, a scan of Parquet files, with the place of each row: its file's number and its index in that file.
 
     Unlike ``monotonically_increasing_id`` it doesn't depend on how a scan splits the files, so that all
-    scans of ``docs`` give a row the same place. Only the names of the files are collected.
+    scans of ``docs`` give a row the same place. Only the names of the files are collected. ``docs`` must not
+    have a column of the given name.
     """
     spark = docs.sparkSession
     files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
-    numbers = spark.createDataFrame(list(enumerate(files)), "_file_number long, _file_name string")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_file_row"))
+    number, of, path = (free_name(docs, n) for n in ("_file_number", "_file_name", "_file_path"))
+    numbers = spark.createDataFrame(list(enumerate(files)), f"`{number}` long, `{of}` string")
+    index = free_name(docs, "_file_row")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
     return (
-        placed.join(F.broadcast(numbers), F.col("_file_path") == F.col("_file_name"))
-        .withColumn(name, F.shiftleft("_file_number", 36) + F.col("_file_row"))
-        .drop("_file_path", "_file_row", "_file_number", "_file_name")
+        placed.join(F.broadcast(numbers), F.col(path) == F.col(of))
+        .withColumn(name, F.shiftleft(number, 36) + F.col(index))
+        .drop(path, index, number, of)
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, with its scheme.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    local tests, a new local folder is made and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``; where it doesn't, that is an error. Only a local session,
+    as in tests, gets a folder of this machine.
     """
     folder = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED)
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(SHARED, folder)
-    return folder.rstrip("/")
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError(f"{SHARED} must name a folder that driver and executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = _LOCAL[context.applicationId]
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -2,19 +2,21 @@
 
 Every rule's regular expression implies a Boolean query over trigrams
 (``trigram.clauses``). The inverted index holds, for each trigram that some query
-names, its postings as bitmaps of 32,768 ids per row, so that a frequent
-trigram is many small rows built up before the shuffle, never one long list. A clause
+names, its postings as bitmaps of 32,768 rows each, so that a frequent
+trigram is many small bitmaps built up before the shuffle, never one long list. Rows are
+numbered by file and index in it, so bitmaps are dense whatever the ids are. A clause
 intersects the bitmaps of its trigrams (``bitmap_and_agg``), a rule unites its
 clauses (``bitmap_or_agg``), and only the candidates are verified by the regular
 expression. Rules without a mandatory trigram are run over every text. All of
-it is DataFrame functions.
+it is DataFrame functions. The candidates are written before they are joined to the texts, so that Spark
+knows their size: texts stay where they are as long as the candidates can be broadcast.
 
 The index may name too many candidates, never too few, so results equal a full scan.
 
-Defined results: a null text is the empty text and has no span. Rows with a null id
-are verified by every rule. Rows that repeat an id share its candidates, and each is
-verified by itself. Positions count code points; ends are exclusive. Other columns are
-kept by ``with_spans`` and play no part.
+Defined results: a null text is the empty text and has no span. Ids play no part: rows that repeat one, or have
+none, are each looked up by their place. Positions count code points; ends are exclusive. Other columns,
+whatever their names, are kept and play no part; a column of the output's name is replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, numbered, written
 from .trigram import clauses
 
 
@@ -61,15 +64,15 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(gram, bucket, bits): which ids hold which of ``grams``, as bitmaps."""
-    low = F.lower(F.col(text_col))
+def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
+    """(gram, bucket, bits): which rows (``_id`` long, ``_text``) hold which of ``grams``, as bitmaps."""
+    low = F.lower("_text")
     held = F.filter(
         F.array(*(F.when(F.contains(F.col("_low"), F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull()
     )
     return (
-        docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("_id"), low.alias("_low"))
+        rows.filter(F.col("_text").isNotNull())
+        .select("_id", low.alias("_low"))
         .select("_id", F.explode(held).alias("gram"))
         .groupBy("gram", F.bitmap_bucket_number("_id").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits"))
@@ -97,17 +100,15 @@ def _ids(bitmaps: DataFrame) -> DataFrame:
     )
 
 
-def candidates(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(_id, _rules): for each id that may match, the bits of the rules to verify."""
-    spark = docs.sparkSession
+def candidates(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(_id, _rules): for each of ``rows`` (``_id`` long, ``_text``) that may match, the bits of the rules to verify."""
+    spark = rows.sparkSession
     queries = [(n, c, g, len(grams)) for n, r in enumerate(rules) for c, grams in enumerate(clauses(r.pattern)) for g in grams]
     quoted = lambda g: g.replace("\\", "\\\\").replace("'", "\\'")
     values = ", ".join(f"({n}, {c}, '{quoted(g)}', {size})" for n, c, g, size in queries)
     wanted = spark.sql(f"SELECT * FROM VALUES {values} AS wanted(rule, clause, gram, n_grams)")
     matched = (
-        postings(docs, sorted({q[2] for q in queries}), id_col, text_col)
+        postings(rows, sorted({q[2] for q in queries}))
         .join(F.broadcast(wanted), "gram")
         .groupBy("rule", "clause", "n_grams", "bucket")
         .agg(F.count(F.lit(1)).alias("_n"), F.bitmap_and_agg("bits").alias("bits"))
@@ -148,26 +149,24 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
 def with_spans(
     docs: DataFrame,
     rules: tuple[Rule, ...] = RULES,
-    id_col: str = "doc_id",
     text_col: str = "text",
     out_col: str = "secret_spans",
 ) -> DataFrame:
-    """``docs`` with an array of spans, by start and then by the rules' order."""
+    """``docs``, a scan of Parquet files, with an array of spans, by start and then by the rules' order."""
     always = sum(1 << n for n, r in enumerate(rules) if not clauses(r.pattern))
-    found = candidates(docs, rules, id_col, text_col).withColumnRenamed("_id", "_secret_id").withColumnRenamed(
-        "_rules", "_secret_rules"
-    )
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_secret_id"), "left")
+    docs = docs.drop(out_col)
+    place, marks = free_name(docs, "_secret_place"), free_name(docs, "_secret_rules")
+    texts = numbered(docs.select(F.col(text_col).alias("_text")), "_id")
+    found = written(candidates(texts, rules), "candidates").select(F.col("_id").alias(place), F.col("_rules").alias(marks))
+    joined = numbered(docs, place).join(found, place, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    to_verify = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(
-        F.coalesce(F.col("_secret_rules"), F.lit(0)).bitwiseOR(F.lit(always))
-    )
+    to_verify = F.coalesce(F.col(marks), F.lit(0)).bitwiseOR(F.lit(always))
     nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     spans = [
         F.when(F.getbit(to_verify, F.lit(n)) == 1, rule_spans(text, rule, n)).otherwise(nothing)
         for n, rule in enumerate(rules)
     ]
-    return joined.withColumn(out_col, F.array_sort(F.concat(*spans))).drop("_secret_id", "_secret_rules")
+    return joined.withColumn(out_col, F.array_sort(F.concat(*spans))).drop(place, marks)
 
 
 def spans_string(spans: Column) -> Column:
@@ -175,12 +174,13 @@ def spans_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``mark``.
 
     Texts without a span, and null texts, are unchanged.
     """
-    found = with_spans(docs, id_col=id_col, text_col=text_col, out_col="_spans")
+    spans = free_name(docs, "_spans")
+    found = with_spans(docs, text_col=text_col, out_col=spans)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -190,6 +190,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         return F.struct(F.greatest(done["at"], span["end"]).alias("at"), marked.alias("out"))
 
     cleaned = F.aggregate(
-        "_spans", start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text)))
+        spans, start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text)))
     )
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, cleaned).otherwise(text)).drop("_spans")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop(spans).select(*docs.columns)
