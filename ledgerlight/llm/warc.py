@@ -11,7 +11,7 @@ it, so tasks that are lost and run again leave no double records.
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes (SHA-256 decides), the one
 with the largest page_id is a response, and the others revisit it. Defined results: a
-null payload is empty; null URLs are written as empty and read as null; rows that repeat
+payload that is null is empty; null URLs are written as empty and read as null; rows that repeat
 the responding page_id are responses too; a null page_id ranks below all others and stays
 null. Empty tables give an empty index. Other columns play no part.
 """
@@ -39,6 +39,10 @@ READ_BYTES = 8 << 20
 #: Archive bytes that a reading task gets.
 TASK_BYTES = 16 << 20
 
+#: Groups of equal payloads that are broadcast, 50 bytes each; if there are more, only those of hot payloads are.
+BROADCAST_GROUPS = 400_000
+MANY = 10_000
+
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD = (
     "page_id long, url string, record_type string, refers_to long, "
@@ -156,17 +160,21 @@ def with_revisits(pages: DataFrame, id_col="page_id", url_col="url", payload_col
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         payload.alias("payload"),
-        F.when(F.octet_length(payload) >= REVISIT_BYTES, F.sha2(payload, 256)).alias("_same"),
-    )
-    groups = (
-        rows.filter(F.col("_same").isNotNull())
-        .groupBy("_same")
-        .agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
+        F.when(F.octet_length(payload) >= REVISIT_BYTES, F.unhex(F.sha2(payload, 256))).alias("_same"),
     )
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return rows.join(groups, "_same", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    digests = rows.filter(F.col("_same").isNotNull()).groupBy("_same").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    groups = written(digests.filter("_n > 1"), "same-payloads")
+    n_groups, n_rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
+    columns = ["page_id", "url", "payload"]
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), "_same", "left").select(*columns, refers)
+    # payloads in more than 1 of MANY rows: fewer than MANY of them, settled where they lie; the others make no hot key
+    hot = F.col("_n") * MANY > n_rows
+    near = rows.join(F.broadcast(groups.filter(hot)), "_same", "left")
+    settled = F.col("_same").isNull() | F.col("_n").isNotNull()
+    far = near.filter(~settled).drop("_first", "_n").join(groups.filter(~hot), "_same", "left")
+    return near.filter(settled).select(*columns, refers).unionByName(far.select(*columns, refers))
 
 
 def write_archives(pages: DataFrame, id_col="page_id", url_col="url", payload_col="html") -> tuple[str, DataFrame]:

@@ -401,7 +401,7 @@ def test_top_k(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     same = "y" * 1500
     pages = [(1, "http://a/\r\nx y", same), (5, None, same), (3, "http://b", same), (4, "http://c", "short"), (6, "http://d", "short"), (7, "http://e", None), (8, "http://f", "é" * 2000), (None, "http://g", same)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, payload string").repartition(3)
@@ -414,6 +414,12 @@ def test_archives_round_trip(spark):
         assert (r.url, r.record_type, r.refers_to) == (url, "revisit" if revisit else "response", 5 if revisit else None)
         assert (r.stated_bytes, r.stated_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert bytes(r.payload) == (b"" if revisit else raw)
+    few = {(r.page_id, r.refers_to) for r in warc.with_revisits(df).collect()}
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    for many in (1, 10_000):
+        monkeypatch.setattr(warc, "MANY", many)
+        rest = warc.with_revisits(df).collect()
+        assert len(rest) == len(pages) and {(r.page_id, r.refers_to) for r in rest} == few
     some = warc.read_records(folder, index.filter("page_id IN (4, 8)")).collect()
     assert sorted(r.page_id for r in some) == [4, 8]
     assert warc.write_archives(df.filter("page_id < 0"))[1].count() == 0
