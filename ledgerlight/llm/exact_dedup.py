@@ -6,8 +6,9 @@ Misra-Gries style frequent-items sketch (``approx_top_k``) proposes digests that
 may be frequent. An exact count of the proposals verifies them, and the
 surviving row of each verified heavy digest is broadcast: at most ``MAX_HEAVY``
 rows, whatever the input. Rows of heavy digests are settled where they lie; only
-the rows of the other digests are shuffled. A digest outside the heavy set has at
-most about ``1 / SKETCH_ITEMS`` of all rows, which bounds every remaining group.
+the rows of the other digests are shuffled. A digest that isn't among the MAX_HEAVY most
+frequent has at most ``1 / MAX_HEAVY`` of all rows, plus the sketch's error of about
+``1 / SKETCH_ITEMS``, which bounds every remaining group; Spark sorts and spills those.
 
 Defined results: a null text is the empty text. Of equal texts the row with the
 largest ``doc_id`` stays; null ids rank below all others. Rows that repeat one id
@@ -21,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import free_name, numbered, written
 
 #: Most digests that are broadcast as heavy hitters.
-MAX_HEAVY = 256
+MAX_HEAVY = 4096
 #: Counters of the frequent-items sketch.
-SKETCH_ITEMS = 8192
+SKETCH_ITEMS = 16384
 #: A digest with fewer rows isn't worth a broadcast.
 MIN_HEAVY_ROWS = 16
 
@@ -87,7 +88,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     it is read, however the files are split. The ids that leave are joined away; texts of rows that stay
     move only if those ids are too many for a broadcast.
     """
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("_row").alias("_gone_row"))
-    placed = numbered(docs, "_place_of_row")
-    kept = placed.join(gone, placed["_place_of_row"] == gone["_gone_row"], "left_anti")
-    return kept.drop("_place_of_row")
+    place = free_name(docs, "_place_of_row")
+    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("_row").alias(place))
+    return numbered(docs, place).join(gone, place, "left_anti").drop(place)

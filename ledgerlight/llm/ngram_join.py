@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import free_name, numbered, written
 from .components import connected_components
 
 WORDS = 5
@@ -341,6 +341,6 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, a table scan, that stay: the first of each class, and all without links."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    gone = found.filter("_row <> _first_row").select(F.col("_row").alias("_gone_row"))
-    placed = numbered(docs, "_place_of_row")
-    return placed.join(gone, placed["_place_of_row"] == gone["_gone_row"], "left_anti").drop("_place_of_row")
+    place = free_name(docs, "_place_of_row")
+    gone = found.filter("_row <> _first_row").select(F.col("_row").alias(place))
+    return numbered(docs, place).join(gone, place, "left_anti").drop(place)
