@@ -401,6 +401,34 @@ def test_top_k(spark):
     assert topk.top_k(none, none, 5).count() == 0
 
 
+def test_thresholds_prune_and_lose_nothing():
+    rng = np.random.default_rng(1)
+    c = np.floor(64 * rng.normal(size=(3000, 16)) * rng.gamma(1.0, size=(3000, 1))).astype(np.int64)
+    ids, q_ids = np.arange(3000), np.arange(0, 3000, 100)
+    q = c[q_ids]
+    heads = [np.argsort(-np.linalg.norm(c[:, cut], axis=1))[:200] for cut in topk._cuts(16)]
+    cutoffs = topk.safe_cutoffs(q_ids, q, ids, c, heads, 5)
+    i, j, score, collected = topk.collect_and_resolve(q_ids, q, cutoffs, ids, c, 5)
+    whole = q @ c.T
+    whole[np.arange(len(q)), q_ids] = -(2**60)
+    assert all(np.sort(row)[-5] >= cutoff for row, cutoff in zip(whole, cutoffs, strict=True))
+    for n in range(len(q)):
+        order = np.lexsort((ids, -whole[n]))[:5]
+        assert j[i == n].tolist() == order.tolist() and score[i == n].tolist() == whole[n, order].tolist()
+    assert collected < whole.size / 4  # the thresholds keep most entries from being resolved
+
+
+def test_scores_that_fit_no_long_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e9]), (1, [1e9]), (2, [1e5])], "vec_id long, embedding array<double>")
+    v = topk.quantised(df)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(v, v.filter("vec_id = 0"), 2).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantised(spark.createDataFrame([(0, [1e18])], df.schema)).collect()
+    few = topk.quantised(df.filter("vec_id <> 1").withColumn("v", df["vec_id"]))
+    assert [r.score for r in topk.top_k(few, few.filter("vec_id = 0"), 2).collect()] == [64 * 10**9 * 64 * 10**5]
+
+
 def test_archives_round_trip(spark, monkeypatch):
     same = "y" * 1500
     pages = [(1, "http://a/\r\nx y", same), (5, None, same), (3, "http://b", same), (4, "http://c", "short"), (6, "http://d", "short"), (7, "http://e", None), (8, "http://f", "é" * 2000), (None, "http://g", same)]
