@@ -1,12 +1,17 @@
 """Similarity join on word n-grams: MinHash LSH forest, then exact verification.
 
 Each text is the set of its shingles, ``WORDS`` lower-case words in a row. Texts with the same
-set are one class, and only one of each goes on. A forest of ``TREES`` tries holds a
-signature of minimum hashes per class and tree, as long as ``LONGEST``. Two classes of similarity s
-agree in the first d hashes of some tree with probability 1 - (1 - s**d)**TREES. The matched
-prefix starts at LONGEST and is shortened until that reaches the target recall at the threshold;
-matches of longer prefixes are among those of shorter ones, so only the last is joined. In
-each bucket of equal prefixes, all members are tied to the first: as many ties as members, never all pairs.
+set are one class, and only one of each goes on. A forest of ``TREES`` prefix tries holds the classes by their
+signatures: per tree ``LONGEST`` levels at most, one minimum hash of 16 bits each. Two classes of similarity s
+share a prefix of d levels in some tree with probability 1 - (1 - s**d)**TREES.
+
+A class begins with its longest prefix, which is shortened until links are met with the target recall. How far that is
+depends on the class: the least similarity, at or above the threshold, that a set of its size can have with a different one
+decides it, and it is 1 / 1.25 for most sizes, more for small sets, while sets of fewer than four shingles have no partner
+at all at 0.8. A node of a trie that holds a class which still has to shorten passes all its classes up to its parent;
+one in which all are done is a bucket. In a bucket all members are tied to the first: as many ties as members, never all
+pairs. A pair is met if its nearer class is, since the others in a node come along. Prefixes cost what
+they hold: a class whose prefix ends early has no deeper levels in its signature.
 
 The components of the ties hold every candidate pair. Each is verified exactly: its sets are cut
 into blocks of bounded size, and each pair of blocks is one unit of work that compares bit sets
@@ -23,7 +28,9 @@ Other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +46,8 @@ THRESHOLD = 0.8
 TREES = 32
 LONGEST = 8
 TARGET_RECALL = 0.99999
+#: Sets up to this size have a prefix length of their own; larger ones have the threshold's.
+SMALL = 64
 #: Shingles of a block of classes that is verified against another.
 BLOCK = 128_000
 #: Classes of a block: what is compared has a few cells of 8 bytes per pair of them.
@@ -50,14 +59,27 @@ _U64 = np.uint64
 _POWERS = np.random.default_rng(11).integers(1, 1 << 63, WORDS, dtype=np.uint64) * _U64(2) + _U64(1)
 
 
-def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix whose recall at the threshold reaches the target; 1 if none does."""
+def prefix_length(similarity: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """The longest prefix that pairs of this similarity share in some tree with the target probability; 1 if none is."""
     for depth in range(LONGEST, 1, -1):
-        if 1 - (1 - threshold**depth) ** TREES >= target:
+        if 1 - (1 - similarity**depth) ** TREES >= target:
             return depth
     return 1
 
 
+@cache
+def depth_of(size: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
+    """Levels to which a set of ``size`` shingles shortens its prefix; 0 if no different set can be similar enough."""
+    if size > SMALL:
+        return prefix_length(threshold, target)
+    least = 2.0
+    for union in range(size, int(size / threshold) + 2):
+        common = math.ceil(threshold * union - 1e-9)
+        if common <= min(size, union - 1):
+            least = min(least, common / union)
+    return prefix_length(least, target) if least <= 1 else 0
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U64(31))) * _U64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> _U64(29))) * _U64(0xBF58476D1CE4E5B9)
@@ -84,8 +106,8 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return odd, random.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def prefix_keys(found: np.ndarray, depth: int) -> np.ndarray:
-    """One key per tree: the tree and the first ``depth`` minimum hashes."""
+def signature(found: np.ndarray, depth: int) -> bytes:
+    """Per tree the first ``depth`` minimum hashes, 16 bits of each."""
     odd, add = _multipliers(TREES * LONGEST)
     own = np.concatenate([np.arange(t * LONGEST, t * LONGEST + depth) for t in range(TREES)])
     least = np.empty(len(own), dtype=np.uint64)
@@ -96,51 +118,72 @@ def prefix_keys(found: np.ndarray, depth: int) -> np.ndarray:
         values ^= values >> _U64(33)
         values *= _U64(0xC2B2AE3D27D4EB4F)
         least[at : at + step] = values.min(axis=1)
-    key = np.arange(TREES, dtype=np.uint64)
-    for column in least.reshape(TREES, depth).T:
-        key = _mixed(key * _U64(0x9E3779B97F4A7C15) + column)
-    return key.view(np.int64)
+    return (_mixed(least) >> _U64(48)).astype("<u2").tobytes()
 
 
-def signatures(docs: DataFrame, depth: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(_row, doc_id, digest, n_shingles, keys) of every row, written."""
+def signatures(docs: DataFrame, threshold: float, target: float, id_col="doc_id", text_col="text") -> DataFrame:
+    """(_row, doc_id, digest, n_shingles, depth, signature) of every row, written."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, depths, made = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
+                depth = depth_of(min(len(found), SMALL + 1), threshold, target) if len(found) else 0
                 digests.append(hashlib.md5(found.tobytes()).digest())
                 sizes.append(len(found))
-                keys.append(prefix_keys(found, depth) if len(found) else None)
+                depths.append(depth)
+                made.append(signature(found, depth) if depth else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(depths, pa.int32()),
+                    pa.array(made, pa.binary()),
                 ],
-                names=["_row", "doc_id", "digest", "n_shingles", "keys"],
+                names=["_row", "doc_id", "digest", "n_shingles", "depth", "signature"],
             )
 
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
     return written(
-        rows.mapInArrow(run, f"_row long, doc_id {id_type}, digest binary, n_shingles long, keys array<long>"),
+        rows.mapInArrow(run, f"_row long, doc_id {id_type}, digest binary, n_shingles long, depth int, signature binary"),
         "signatures",
     )
 
 
-def candidate_ties(classes: DataFrame) -> DataFrame:
+def candidate_ties(classes: DataFrame, shortest: int) -> DataFrame:
     """(u, v): ties that join every class with all the first members of the buckets that it shares with others.
 
-    A class has at most one such first member per tree. It is tied to the smallest of them, and so are
-    the others, which the members of a bucket have in common: about one tie per class is left.
+    ``classes``: rep, depth, signature. A class has at most one such first member per tree. It is tied to the smallest
+    of them, and so are the others, which the members of a bucket have in common: about one tie per class is left.
+
+    The tries are walked from the shortest prefix: a node that holds a class which shortens that far is a bucket; the
+    classes of all other nodes, few small sets, are parted by one level more.
     """
-    members = classes.select("rep", F.explode("keys").alias("key"))
-    heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = members.join(heads, "key").groupBy("rep").agg(F.collect_set("head").alias("heads"))
+    at = classes.select("rep", "depth", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    buckets = []
+    for level in range(shortest, LONGEST + 1):
+        prefix = F.substring("signature", F.col("tree") * F.col("depth") * 2 + 1, F.lit(2 * level))
+        nodes = at.select("rep", "depth", "signature", "tree", F.xxhash64("tree", prefix).alias("node"))
+        held = (
+            nodes.groupBy("node")
+            .agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n"), F.min("depth").alias("least"))
+            .filter("n > 1")
+        )
+        buckets.append(nodes.select("rep", "node").join(held.filter(F.col("least") <= level).select("node", "head"), "node"))
+        going_on = held.filter(F.col("least") > level).select("node")
+        if level == LONGEST:
+            break
+        at = written(nodes.filter(F.col("depth") > level).join(going_on, "node").drop("node"), "open-nodes")
+        if at.isEmpty():
+            break
+    heads = buckets[0].select("rep", "head")
+    for more in buckets[1:]:
+        heads = heads.unionByName(more.select("rep", "head"))
+    shared = heads.groupBy("rep").agg(F.collect_set("head").alias("heads"))
     least = F.array_min("heads")
     ties = F.transform(F.array_union("heads", F.array("rep")), lambda u: F.struct(u.alias("u"), least.alias("v")))
     return shared.select(F.explode(ties).alias("t")).select("t.u", "t.v").filter("u <> v").distinct()
@@ -299,7 +342,7 @@ def near_duplicates(
     with the same shingles; n_links, the number of other rows of that similarity; _row and _first_row,
     the row's own place and the first of its class.
     """
-    rows = signatures(docs, prefix_length(threshold, target_recall), id_col, text_col)
+    rows = signatures(docs, threshold, target_recall, id_col, text_col)
     sets = (
         rows.filter("n_shingles > 0")
         .groupBy("digest")
@@ -308,9 +351,9 @@ def near_duplicates(
     sets = written(sets, "sets")
     classes = rows.join(
         sets.select(F.col("rep"), "n_copies"), F.col("_row") == F.col("rep")
-    ).select("rep", "n_copies", "n_shingles", "keys")
-    candidates = connected_components(candidate_ties(classes))
-    members = classes.drop("keys").join(candidates, F.col("rep") == F.col("node")).drop("node")
+    ).select("rep", "n_copies", "n_shingles", "depth", "signature").filter("depth > 0")
+    candidates = connected_components(candidate_ties(classes, prefix_length(threshold, target_recall)))
+    members = classes.drop("depth", "signature").join(candidates, F.col("rep") == F.col("node")).drop("node")
     links = verified_links(docs, members, threshold, text_col)
     groups = connected_components(links.select(F.col("rep").alias("u"), F.col("first").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -328,7 +371,7 @@ def near_duplicates(
     smallest = per_set.groupBy("comp").agg(F.min("copy_id").alias("class_id"))
     named = per_set.join(smallest, "comp").withColumnRenamed("comp", "_first_row")
     # Texts without words have a digest too, but no set.
-    return rows.drop("keys").join(named, "digest", "left").select(
+    return rows.drop("depth", "signature").join(named, "digest", "left").select(
         "doc_id",
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),

@@ -199,9 +199,44 @@ def test_blocks_of_many_short_texts_are_bounded_by_rows(monkeypatch, spark, tmp_
     assert all(got[i] == want[i] for i in range(300, 1200)) and all(got[i] <= want[i] for i in want)
 
 
-def test_prefix_is_shortened_to_the_target():
+def test_prefixes_are_shortened_to_the_target():
+    recall = lambda s, d: 1 - (1 - s**d) ** ngram_join.TREES
     depth = ngram_join.prefix_length(0.8, 0.99999)
-    assert 1 - (1 - 0.8**depth) ** ngram_join.TREES >= 0.99999 > 1 - (1 - 0.8 ** (depth + 1)) ** ngram_join.TREES
+    assert recall(0.8, depth) >= 0.99999 > recall(0.8, depth + 1)
+    for size in range(1, 60):
+        least = min((c / u for u in range(size, 2 * size) for c in range(1, size + 1) if c < u and c >= 0.8 * u), default=None)
+        own = ngram_join.depth_of(size)
+        assert (own == 0) == (least is None)
+        if own:
+            assert depth <= own <= ngram_join.LONGEST and recall(least, own) >= 0.99999
+    assert {ngram_join.depth_of(n) for n in (6, 7)} == {6, 7} and ngram_join.depth_of(3) == 0
+
+
+def test_recall_against_brute_force(spark, tmp_path):
+    """Pairs about the threshold, of all sizes, small sets among them."""
+    rng = random.Random(3)
+    texts = []
+    for n in range(500):
+        own = [f"w{n}x{k}" for k in range(rng.choice([8, 9, 10, 11, 12, 15, 20, 40, 90]))]
+        texts.append(" ".join(own))
+        for _ in range(rng.randint(1, 3)):
+            other = list(own)
+            for _ in range(rng.randint(0, 2)):
+                other[rng.choice([0, -1, rng.randrange(len(own))])] = f"y{rng.random()}"
+            texts.append(" ".join(other + [f"z{rng.random()}"] * rng.randint(0, 1)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    sets, want = list(map(shingle_set, texts)), Counter()
+    by_shingle = defaultdict(set)
+    for i, own in enumerate(sets):
+        for x in own:
+            by_shingle[x].add(i)
+    for i, own in enumerate(sets):
+        for j in set().union(*(by_shingle[x] for x in own)) - {i}:
+            want[i] += len(own & sets[j]) >= 0.8 * len(own | sets[j])
+    found, all_ = sum(got.values()), sum(want.values())
+    assert all(got[i] <= want[i] for i in range(len(texts))) and all_ > 800
+    assert found >= 0.999 * all_
 
 
 def removed(data):
