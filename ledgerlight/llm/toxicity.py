@@ -1,29 +1,31 @@
 """Toxicity by a subsequence string kernel and a support vector machine with Nyström landmarks.
 
-A text is a bag of units: its words without anything but letters, and runs of single letters
-joined to one word, so that ``id-i.ot`` and ``i d i o t`` are units like ``idiot``. The kernel of two
+A text is a bag of units: its words without anything but letters, runs of single letters
+joined to one word, and neighbouring words of at most ``FRAGMENT`` letters each joined to one, so that ``id-i.ot``,
+``i d i o t`` and ``id iot`` are units like ``idiot``. The kernel of two
 units counts their common subsequences of ``ORDER`` letters, each weighted by ``DECAY`` to the power
 of its span in both, normalised to 1 for equal units; inserted letters and gaps only lower
-it. The features of a unit are its kernel values to ``LANDMARKS`` units taken from labelled
+it. Units of more than ``WINDOW`` letters are taken as overlapping windows, whole, in training as in
+scoring. The features of a unit are its kernel values to ``LANDMARKS`` units taken from labelled
 texts, whitened by the landmarks' own kernel matrix (Nyström). A linear machine over them
 gives each unit a margin; a text has the largest margin of its units, turned into a
 probability by a logistic curve.
 
 Labels are of texts, not of words, so training alternates: the machine is fitted to one unit of each
-toxic text and to units of clean texts; then each toxic text's unit of largest margin that no
-clean text holds, and the clean units of largest margins, make the next training set. Toxic units also enter with a letter
-put in, so that the machine learns to overlook it. It runs on
-the driver over a bounded sample of labelled texts, ``MAX_TOXIC`` and ``MAX_CLEAN``; a
+toxic text, which counts as often as toxic texts have it, and to a working set of ``WORKING_SET`` units of clean texts; then each toxic text's unit of largest margin among those that
+clean texts hardly hold makes the next training set, with the clean units of largest margins among all of them, and others by
+chance. Toxic units also enter with a letter put in, so that the machine learns to overlook it. The fit runs on
+the driver over a bounded sample of labelled texts, ``max_toxic`` and ``max_clean``; a
 quarter of them are kept for the logistic curve.
 
 For scoring, the landmarks' weights are folded into one table of weights per letter triple, so a unit's margin costs
-the same however many landmarks there are.
+the same however many landmarks there are. The table holds the landmarks' triples only, however many letters a script has.
 
 Defined results: a null text, an empty one and one without units have the smallest
-margin, so a low score. Rows of a repeated doc_id are scored each. Labels that are null,
-or that contradict each other for one doc_id (any toxic wins), are handled as stated. With no
-toxic or no clean label every score is the share of toxic labels, or 0. Extra columns play
-no part. Units longer than ``WINDOW`` letters are scored by overlapping windows, whole.
+margin, so a low score. Rows of a repeated doc_id are scored each. Labels that are null, or whose id is, are left out;
+of labels that contradict each other for one doc_id any toxic wins. With no
+toxic or no clean label every score is the share of toxic labels, or 0. An empty table gives an empty result. Extra columns
+play no part and are passed on, whatever their names; one of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -48,20 +50,32 @@ LANDMARKS = 192
 #: Bounds of the labelled sample that is collected for training.
 MAX_TOXIC = 2500
 MAX_CLEAN = 4000
-#: Units of clean texts in one training set.
-NEGATIVES = 6000
+#: Units of clean texts that one round of training looks at; between rounds all of them are scored for the next.
+WORKING_SET = 6000
 ROUNDS = 4
+#: A unit may be an insult if its share of toxic texts is at least so many times that of clean texts, whose labels may err.
+RATIO = 10
+#: Price of a margin that falls short, small since labels err: margins follow what many texts agree on.
+COST = 0.001
+#: Letters of neighbouring words that are tried as one.
+FRAGMENT = 4
 #: Margins are cut to this range; a text without units has the lower end.
 RANGE = 4.0
+#: Words whose margin a worker keeps, and letters of the longest of them.
 KEPT = 400_000
+KEPT_LETTERS = 64
 AT_ONCE = 256
+#: Cells up to which the table of triple weights is an array by three letters.
+DENSE = 1 << 22
 
 
 def words_of(text: str | None) -> set[str]:
-    """Lower-case words as they are written, and runs of three or more single letters joined."""
+    """Lower-case words as they are written, runs of three or more single letters joined, and short neighbours joined."""
     words = (text or "").lower().split()
     found = set(words)
-    single = [i for i, w in enumerate(words) if len(w) == 1]
+    sizes = list(map(len, words))
+    found.update([a + b for a, b, m, n in zip(words, words[1:], sizes, sizes[1:], strict=False) if m <= FRAGMENT >= n])
+    single = [i for i, n in enumerate(sizes) if n == 1]
     if len(single) > 2:
         run = [single[0]]
         for i in [*single[1:], -1]:
@@ -108,11 +122,82 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return ends.sum(axis=(1, 2))
 
 
+def _points(words: list[str], length: int) -> np.ndarray:
+    """Letters of words of one length, as numbers."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), length).astype(np.int64)
+
+
+def _by_length(units: list[str]) -> dict[int, list[tuple[int, str]]]:
+    """Windows of the units by their length, each with its unit's number."""
+    found: dict[int, list[tuple[int, str]]] = {}
+    for n, unit in enumerate(units):
+        if len(unit) >= ORDER:
+            for window in windows(unit):
+                found.setdefault(len(window), []).append((n, window))
+    return found
+
+
+class Triples:
+    """Numbers of the letter triples that some units have; all others, and those with other letters, are the last number."""
+
+    def __init__(self, units: list[str]):
+        self.letters = np.array(sorted({ord(c) for u in units for c in u}), dtype=np.int64)
+        self.size = len(self.letters)
+        keys = [self._keys(_points([w for _, w in own], n))[0] for n, own in _by_length(units).items()]
+        self.keys = np.unique(np.concatenate([k.ravel() for k in keys])) if keys else np.empty(0, dtype=np.int64)
+        self.table = None
+        if self.size**3 <= DENSE:
+            self.table = np.full(self.size**3 + 1, len(self.keys), dtype=np.int32)
+            self.table[self.keys] = np.arange(len(self.keys))
+
+    def _keys(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the keys of its triples (the greatest for triples with other letters), and the triples' weights."""
+        places, decay = _triples(points.shape[1])
+        at = np.minimum(np.searchsorted(self.letters, points), max(self.size - 1, 0))
+        other = self.letters[at] != points if self.size else np.ones(points.shape, dtype=bool)
+        keys = (at[:, places[:, 0]] * self.size + at[:, places[:, 1]]) * self.size + at[:, places[:, 2]]
+        if other.any():
+            keys[other[:, places].any(axis=2)] = self.size**3
+        return keys, decay
+
+    def numbers(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, decay = self._keys(points)
+        if self.table is not None:
+            return self.table[keys], decay
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys)), decay
+
+    def mapped(self, units: list[str], columns: np.ndarray) -> np.ndarray:
+        """Normalised features of units of at most WINDOW letters, times ``columns``: a row per triple and one of zeros."""
+        out = np.zeros((len(units), columns.shape[1]), dtype=np.float32)
+        for length, members in _by_length(units).items():
+            for at in range(0, len(members), 2048):
+                part = members[at : at + 2048]
+                points = _points([w for _, w in part], length)
+                numbers, decay = self.numbers(points)
+                value = np.zeros((len(part), columns.shape[1]), dtype=np.float32)
+                for k, weight in enumerate(decay):
+                    value += weight * columns[numbers[:, k]]
+                out[[n for n, _ in part]] = value / np.sqrt(self_kernel(points))[:, None]
+        return out
+
+    def features(self, units: list[str]) -> np.ndarray:
+        """Normalised features of a few units of at most WINDOW letters, dense."""
+        out = np.zeros((len(units), len(self.keys) + 1), dtype=np.float32)
+        for length, members in _by_length(units).items():
+            for n, window in members:
+                points = _points([window], length)
+                numbers, decay = self.numbers(points)
+                np.add.at(out[n], numbers[0], decay / np.sqrt(self_kernel(points)[0]))
+        out[:, -1] = 0
+        return out
+
+
 @dataclass
 class UnitScorer:
-    """Margins from weights per letter triple. Letters that no landmark has are code 0."""
+    """Margins from weights per letter triple, the last of which is 0."""
 
-    alphabet: dict[str, int]
+    triples: Triples
     weights: np.ndarray
     bias: float
     slope: float = 1.0
@@ -120,22 +205,12 @@ class UnitScorer:
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), -RANGE, dtype=np.float32)
-        by_length: dict[int, list[tuple[int, str]]] = {}
-        for n, unit in enumerate(units):
-            if len(unit) >= ORDER:
-                for window in windows(unit):
-                    by_length.setdefault(len(window), []).append((n, window))
-        size = len(self.alphabet) + 1
-        for length, members in by_length.items():
-            places, decay = _triples(length)
+        for length, members in _by_length(units).items():
             for at in range(0, len(members), 512):
                 part = members[at : at + 512]
-                points = np.array([[ord(c) for c in w] for _, w in part])
-                own = np.sqrt(self_kernel(points))
-                get = self.alphabet.get
-                codes = np.array([[get(c, 0) for c in w] for _, w in part], dtype=np.intp)
-                keys = (codes[:, places[:, 0]] * size + codes[:, places[:, 1]]) * size + codes[:, places[:, 2]]
-                value = (self.weights[keys] @ decay) / own + self.bias
+                points = _points([w for _, w in part], length)
+                numbers, decay = self.triples.numbers(points)
+                value = (self.weights[numbers] @ decay) / np.sqrt(self_kernel(points)) + self.bias
                 np.maximum.at(out, [n for n, _ in part], value.astype(np.float32))
         return out
 
@@ -144,63 +219,38 @@ class UnitScorer:
         return float(1 / (1 + np.exp(-value)))
 
 
-def _features(units: list[str], alphabet: dict[str, int], column: dict[int, int] | None) -> tuple[np.ndarray, dict]:
-    """Normalised triple features, dense over the triples in ``column`` (made from the units if None)."""
-    size = len(alphabet) + 1
-    made: list[dict[int, float]] = []
-    for unit in units:
-        codes = [alphabet.get(c, 0) for c in unit[:WINDOW]]
-        own: Counter[int] = Counter()
-        places, decay = _triples(len(codes))
-        for (a, b, c), weight in zip(places.tolist(), decay.tolist(), strict=True):
-            if codes[a] and codes[b] and codes[c]:
-                own[(codes[a] * size + codes[b]) * size + codes[c]] += weight
-        norm = float(np.sqrt(self_kernel(np.array([[ord(x) for x in unit[:WINDOW]]]))[0]))
-        made.append({k: v / norm for k, v in own.items()})
-    if column is None:
-        column = {k: n for n, k in enumerate(sorted({k for own in made for k in own}))}
-    out = np.zeros((len(units), len(column)), dtype=np.float32)
-    for row, own in zip(out, made, strict=True):
-        for k, v in own.items():
-            if k in column:
-                row[column[k]] = v
-    return out, column
-
-
-def _svm(z: np.ndarray, y: np.ndarray, seed: int, cost: float = 4.0, epochs: int = 25) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, by dual coordinate descent; the last is the bias."""
+def _svm(z: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = COST) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss, by Newton steps; the last is the bias.
+
+    Each row counts ``times``, and both classes together the same.
+    """
     z = np.hstack([z, np.ones((len(z), 1), dtype=z.dtype)]).astype(np.float64)
-    share = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (-1, 1)}
-    diagonal = np.array([1 / (2 * cost * share[int(s)]) for s in y])
-    square = (z**2).sum(axis=1) + diagonal
-    alpha, w = np.zeros(len(y)), np.zeros(z.shape[1])
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in order.permutation(len(y)):
-            slope = y[i] * (z[i] @ w) - 1 + diagonal[i] * alpha[i]
-            new = max(alpha[i] - slope / square[i], 0.0)
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * z[i]
-                alpha[i] = new
+    weight = cost * len(y) * times / np.where(y > 0, times[y > 0].sum(), times[y < 0].sum())
+    loss = lambda w: w @ w / 2 + (weight / 2) @ np.maximum(1 - y * (z @ w), 0) ** 2
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        short = y * (z @ w) < 1
+        zs, ws = z[short], weight[short]
+        goal = np.linalg.solve(np.eye(len(w)) + (zs * ws[:, None]).T @ zs, zs.T @ (ws * y[short]))
+        step, now = 1.0, loss(w)
+        while step > 1e-4 and loss(w + step * (goal - w)) > now:
+            step /= 2
+        w, before = w + step * (goal - w), w
+        if np.abs(w - before).max() < 1e-9:
+            break
     return w
 
 
-def _fit_units(landmarks: list[str], positive: list[str], negative: list[str]) -> UnitScorer:
-    alphabet = {c: n for n, c in enumerate(sorted({c for u in landmarks for c in u[:WINDOW]}), 1)}
-    base, column = _features(landmarks, alphabet, None)
+def _fit_units(landmarks: list[str], positive: dict[str, float], negative: list[str]) -> UnitScorer:
+    triples = Triples(landmarks)
+    base = triples.features(landmarks)
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
     kept = value > 1e-4
     whiten = vector[:, kept] / np.sqrt(value[kept])
-    units = positive + negative
-    z = np.vstack(
-        [_features(units[i : i + 500], alphabet, column)[0] @ base.T @ whiten for i in range(0, len(units), 500)]
-    )
-    w = _svm(z, np.array([1] * len(positive) + [-1] * len(negative)), seed=1)
-    by_triple = (whiten @ w[:-1]) @ base
-    size = len(alphabet) + 1
-    weights = np.zeros(size**3, dtype=np.float32)
-    weights[list(column)] = by_triple
-    return UnitScorer(alphabet, weights, float(w[-1]))
+    z = triples.mapped([*positive, *negative], (base.T @ whiten).astype(np.float32))
+    y = np.array([1] * len(positive) + [-1] * len(negative))
+    w = _svm(z, y, np.array([*positive.values(), *[1.0] * len(negative)]))
+    return UnitScorer(triples, ((whiten @ w[:-1]) @ base).astype(np.float32), float(w[-1]))
 
 
 def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -216,54 +266,58 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(slope), 0.0), float(shift)
 
 
-def _disguised(units: list[str], letters: list[str], clean: Counter, pick: np.random.Generator) -> list[str]:
-    """Each unit with one letter put in, twice by chance and once doubled, unless a clean text has that."""
-    out = []
-    for unit in units:
-        if len(unit) > ORDER + 1:
+def _disguised(
+    units: dict[str, float], letters: list[str], clean: Counter, pick: np.random.Generator
+) -> dict[str, float]:
+    """The units, and each with one letter put in, twice by chance and once doubled, unless a clean text has that."""
+    out = dict(units)
+    for unit, times in units.items():
+        if ORDER + 1 < len(unit) < WINDOW:
             for letter in (*pick.choice(letters, 2), None):
                 at = int(pick.integers(1, len(unit)))
-                out.append(unit[:at] + (letter or unit[at]) + unit[at:])
-    return [u for u in dict.fromkeys(out) if u not in clean]
+                other = unit[:at] + (letter or unit[at]) + unit[at:]
+                if other not in clean:
+                    out.setdefault(other, times)
+    return out
 
 
 def train(texts: list[tuple[list[str], int]]) -> UnitScorer:
     """``texts``: units of each labelled text, and its label."""
-    bags = [(sorted({u for u in units if len(u) >= ORDER}), y) for units, y in texts]
+    bags = [(sorted({w for u in units if len(u) >= ORDER for w in windows(u)}), y) for units, y in texts]
     n_toxic = sum(y for _, y in bags)
     if not n_toxic or n_toxic == len(bags):
         share = min(max(n_toxic / max(1, len(bags)), 1e-3), 1 - 1e-3)
-        return UnitScorer({}, np.zeros(1, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return UnitScorer(Triples([]), np.zeros(1, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     kept_out = {n for y in (0, 1) for n in [n for n, b in enumerate(bags) if b[1] == y][3::4]}
     fitted = [b for n, b in enumerate(bags) if n not in kept_out]
     toxic = [b for b, y in fitted if y]
     in_toxic, in_clean = Counter(), Counter()
     for units, y in fitted:
         (in_toxic if y else in_clean).update(units)
-    suspects = [[u for u in b if u not in in_clean] or b for b in toxic]
+    n_clean = len(fitted) - len(toxic)
+    suspicious = {u for u, n in in_toxic.items() if in_clean[u] * len(toxic) * RATIO <= n * n_clean}
+    suspects = [[u for u in b if u in suspicious] or b for b in toxic]
     suspects = [b for b in suspects if b]
-    clean = sorted(in_clean)
+    clean = sorted(u for u in in_clean if u not in suspicious)
     pick = np.random.default_rng(7)
-    positive = sorted({max(b, key=lambda u: (in_toxic[u], u)) for b in suspects})
+    positive = {u: in_toxic[u] for u in sorted({max(b, key=lambda u: (in_toxic[u], u)) for b in suspects})}
     common = [u for u, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[: LANDMARKS // 4]]
     alphabet = sorted({c for u in positive for c in u})
     hard: list[str] = []
     scorer = None
     for _ in range(ROUNDS):
-        ranked = sorted(positive, key=lambda u: (-in_toxic[u], u))
+        ranked = sorted(positive, key=lambda u: (-positive[u], u))
         landmarks = list(dict.fromkeys([*ranked[: LANDMARKS // 2], *common, *hard[: LANDMARKS // 4]]))
-        spare = pick.choice(len(clean), min(len(clean), NEGATIVES - min(len(hard), NEGATIVES // 2)), replace=False)
-        negative = list(dict.fromkeys([*hard[: NEGATIVES // 2], *(clean[i] for i in sorted(spare))]))
-        scorer = _fit_units(landmarks, positive + _disguised(ranked[:600], alphabet, in_clean, pick), negative)
+        spare = pick.choice(len(clean), min(len(clean), WORKING_SET - min(len(hard), WORKING_SET // 2)), replace=False)
+        negative = list(dict.fromkeys([*hard[: WORKING_SET // 2], *(clean[i] for i in sorted(spare))]))
+        scorer = _fit_units(landmarks, _disguised({u: positive[u] for u in ranked}, alphabet, in_clean, pick), negative)
         margin = dict(zip(clean, scorer.margins(clean).tolist(), strict=True))
-        hard = sorted(clean, key=lambda u: (-margin[u], u))[: NEGATIVES // 2]
+        hard = sorted(clean, key=lambda u: (-margin[u], u))[: WORKING_SET // 2]
         names = sorted({u for b in suspects for u in b})
         margin = dict(zip(names, scorer.margins(names).tolist(), strict=True))
-        seen_often = 2 if len(toxic) > 500 else 1
-        positive = sorted(
-            {max(b, key=lambda u: (margin[u], u)) for b in suspects}
-            | {u for u in names if margin[u] > 0.5 and in_toxic[u] > seen_often and u not in in_clean}
-        )
+        chosen = {max(b, key=lambda u: (margin[u], u)) for b in suspects}
+        chosen |= {u for u in names if margin[u] > 0.5 and in_toxic[u] > 1 and u in suspicious}
+        positive = {u: in_toxic[u] for u in sorted(chosen)}
     rest = [bags[n] for n in sorted(kept_out)]
     rest = rest if len({y for _, y in rest}) == 2 else bags
     margin = np.array([max(scorer.margins(units).tolist(), default=-RANGE) for units, _ in rest])
@@ -271,13 +325,15 @@ def train(texts: list[tuple[list[str], int]]) -> UnitScorer:
     return scorer
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> list[tuple[list[str], int]]:
-    """Units of at most MAX_TOXIC and MAX_CLEAN labelled texts, by the hash of their ids."""
-    marks = labels.filter(F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("_toxic"))
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN
+) -> list[tuple[list[str], int]]:
+    """Units of at most ``max_toxic`` and ``max_clean`` labelled texts, by the hash of their ids."""
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("_toxic"))
     order = F.xxhash64(F.col(id_col))
     chosen = [
         marks.filter(F.col("_toxic") == y).orderBy(order, id_col).limit(most)
-        for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))
+        for y, most in ((1, max_toxic), (0, max_clean))
     ]
     ids = chosen[0].unionByName(chosen[1])
 
@@ -324,6 +380,9 @@ def score_texts(docs: DataFrame, scorer: UnitScorer, text_col: str = "text", out
                 scores = [model.probability(max(map(known.__getitem__, words), default=-RANGE)) for words in texts]
                 if len(known) > KEPT:
                     known.clear()
+                for word in new:
+                    if len(word) > KEPT_LETTERS:
+                        known.pop(word, None)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out_col]
                 )
@@ -336,6 +395,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc % 5 == 0, F.lit(False))
 
 
-def trained_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> UnitScorer:
-    """A scorer from the labels whose documents aren't held out."""
-    return train(labelled_sample(docs, labels.filter(~held_out(id_col)), id_col, text_col))
+def trained_on(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_toxic: int = MAX_TOXIC,
+    max_clean: int = MAX_CLEAN,
+) -> UnitScorer:
+    """A scorer from the labels whose documents aren't held out, at most so many toxic and clean ones."""
+    return train(labelled_sample(docs, labels.filter(~held_out(id_col)), id_col, text_col, max_toxic, max_clean))
