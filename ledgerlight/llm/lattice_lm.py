@@ -7,12 +7,12 @@ segmentations, found by a forward recursion in log space; whether the word goes
 is part of each piece's choice, so probabilities sum to one over all documents. A
 document's score is the log10 of the product over its words and its end.
 
-Training goes over all training rows. Words are counted per task in bounded counters and summed
+The pieces' probabilities follow the existing vocabulary's scores, by which all segmentations are weighted. Training goes
+over all training rows. Words are counted per task in bounded counters and summed
 by Spark; the table of distinct words, which grows with the corpus, stays a table. A whole word has
-its count less ``DISCOUNT``, and what is taken off is left to the pieces. The pieces' first
-probabilities follow the vocabulary's own scores; each pass then runs forward and backward over
-all distinct words, weighted by what was taken off, and sets
-them to the expected counts. Only the piece table is collected: a row per piece and byte.
+its count less ``DISCOUNT``, and what is taken off is left to the pieces: a pass runs forward and backward over
+all distinct words, weighted by what was taken off, and adds to the vocabulary's probabilities, which keep ``OWN_SHARE``,
+each piece's expected share. Only the piece table is collected: a row per piece and byte.
 
 Both scores need each word's own count. The ``HOT_WORDS`` most frequent words are broadcast with
 theirs; the others are looked up by a shuffled join, each with its probability by pieces, so that
@@ -45,14 +45,16 @@ HOT_WORDS = 200_000
 COUNTED = 400_000
 #: Words whose probability a task keeps.
 KEPT = 500_000
+#: Longer words are neither broadcast nor kept.
+KEPT_BYTES = 64
 #: Texts that are scored at once.
 AT_ONCE = 512
-#: Expectation passes over the word table.
-PASSES = 2
+#: Expectation passes over the word table; without one the pieces have the vocabulary's probabilities alone.
+PASSES = 1
+#: What the vocabulary's own probabilities keep when expected shares are added.
+OWN_SHARE = 0.1
 #: Taken off the count of a word and left to its pieces.
 DISCOUNT = 0.75
-#: Added to every expected count, so that each piece and byte stays possible.
-SMOOTH = 0.1
 END = b""  # the end token in word tables; no word is empty
 
 
@@ -270,20 +272,27 @@ def _expected(words: DataFrame, lattice) -> DataFrame:
 
 
 def fit(words: DataFrame, path: str, passes: int = PASSES) -> Lattice:
-    """Expectation maximisation over a written table of word counts."""
+    """The pieces' probabilities from the vocabulary's and a written table of word counts."""
     spark = words.sparkSession
     pieces = vocabulary(path)
-    ranks = 1.0 / np.arange(10, 10 + len(pieces))
-    lattice = _lattice(pieces, ranks, np.full(256, ranks.sum() / 25600), ranks.sum() / 2)
+    own = 1.0 / np.arange(10, 10 + len(pieces))  # the vocabulary's scores are ranks
+    own_bytes = np.full(256, own.sum() / 25600)
+    lattice = _lattice(pieces, own, own_bytes, own.sum() / 2)
+    opens = np.array([p[0] == SPACE for p in pieces])
     for _ in range(passes):
         sent = spark.sparkContext.broadcast(lattice)
         found = dict(_expected(words, sent).toPandas().itertuples(index=False))
+        sent.unpersist()
         if not found.get(""):
             break
-        weight = np.array([found.get(p, 0.0) for p in pieces]) + SMOOTH
-        byte_weight = np.array([found.get(f"\0{b:02x}", 0.0) for b in range(256)]) + SMOOTH
+        weight = np.array([found.get(p, 0.0) for p in pieces])
+        byte_weight = np.array([found.get(f"\0{b:02x}", 0.0) for b in range(256)])
+        odds = OWN_SHARE / (1 - OWN_SHARE)
+        first, on = odds * (weight[opens].sum() or 1.0), odds * (weight[~opens].sum() + byte_weight.sum() or 1.0)
+        weight[opens] += first * own[opens] / own[opens].sum()
+        weight[~opens] += on * own[~opens] / (own[~opens].sum() + own_bytes.sum())
+        byte_weight += on * own_bytes / (own[~opens].sum() + own_bytes.sum())
         lattice = _lattice(pieces, weight, byte_weight, found[""])
-        sent.unpersist()
     return lattice
 
 
@@ -344,7 +353,8 @@ def _scored(docs: DataFrame, sent) -> DataFrame:
                     words[END] = 1
                 if len(known) > KEPT:
                     known.clear()
-                known.update(model.known([w for w in set().union(*texts) if w not in known]))
+                new = [w for w in set().union(*texts) if w not in known]
+                known.update(model.known(new))
                 for words in texts:
                     score, logs, n_known, rare, times, by_pieces = 0.0, 0.0, 0, [], [], []
                     for word, k in words.items():
@@ -358,6 +368,9 @@ def _scored(docs: DataFrame, sent) -> DataFrame:
                             n_known += k
                             logs += k * log_count
                     out.append((words.total(), n_known, logs, score * log10, rare, times, by_pieces))
+                for word in new:
+                    if len(word) > KEPT_BYTES:
+                        del known[word]
             batch = whole
             columns = list(zip(*out, strict=True)) or [[]] * len(_SCORED)
             yield pa.RecordBatch.from_arrays(
@@ -401,7 +414,8 @@ def score_documents(
     words = written(word_counts(docs.filter(~held), text_col), "word-counts")
     n_all, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     frequent, least = hot_words(words, most_hot)
-    hot = {bytes(w): int(n) for w, n in frequent.toPandas().itertuples(index=False)}
+    short = F.length("word") <= KEPT_BYTES
+    hot = {bytes(w): int(n) for w, n in frequent.filter(short).toPandas().itertuples(index=False)}
     n_ends = int(words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0)
     own = Model(fit(words, path, passes), hot, n_all, n_ends, n_distinct - (n_ends > 0))
     model = spark.sparkContext.broadcast(own)
@@ -424,7 +438,7 @@ def score_documents(
     cold = (
         scored.select("_row", F.explode(F.arrays_zip("rare", "times", "by_pieces")).alias("r"))
         .select("_row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"), F.col("r.by_pieces").alias("by_pieces"))
-        .join(words.filter(F.col("n") <= least), "word")
+        .join(words.filter((F.col("n") <= least) | ~short), "word")
         .groupBy("_row")
         .agg(
             F.sum("k").alias("cold_known"),

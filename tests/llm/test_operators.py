@@ -391,6 +391,43 @@ def test_lattice_probabilities_and_base(docs, empty, data):
     assert lattice_lm.score_documents(empty, path("piece_bpe_32k.model")).count() == 0
 
 
+def test_scores_of_whole_texts_by_brute_force(docs, data):
+    """All segmentations of each word enumerated, with the probabilities that the fit gives."""
+    model = path("piece_bpe_32k.model")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, ends = Counter(), 0
+    for r in data:
+        if not held(r[0]):
+            counts.update(lattice_lm.tokens(r[1]))
+            ends += 1
+    total = sum(counts.values()) + ends + 2
+    own = lattice_lm.fit(docs.sparkSession.createDataFrame([(w, n) for w, n in counts.items()], "word binary, n long"), model)
+    log_p = dict(zip(own.pieces, own.log_p.tolist(), strict=True))
+    shares = np.exp(own.log_p)
+    opens = np.array([p[0] == lattice_lm.SPACE for p in own.pieces])
+    assert shares[opens].sum() == pytest.approx(1)
+    assert shares[~opens].sum() + np.exp(own.log_byte).sum() + math.exp(own.log_stop) == pytest.approx(1)
+
+    def every(text, at=0):
+        if at == len(text):
+            return math.exp(own.log_stop)
+        ways = [(at + n, log_p[text[at : at + n]]) for n in range(1, len(text) - at + 1) if text[at : at + n] in log_p and (text[at] == lattice_lm.SPACE) == (at == 0)]
+        if at:
+            ways.append((at + 1, sum(own.log_byte[b] for b in text[at].encode())))
+        return sum(math.exp(p) * every(text, end) for end, p in ways)
+
+    short = {r[0]: r[1] for r in data if r[0] is not None and all(len(w) < 9 for w in lattice_lm.tokens(r[1]))}
+    want = {}
+    for doc_id, text in short.items():
+        p = math.log((ends + 1) / total)
+        for w in lattice_lm.tokens(text):
+            spelled = every(lattice_lm.SPACE + w.decode()) * (lattice_lm.DISCOUNT * len(counts) + 1) / total
+            p += math.log(spelled + max(counts[w] - lattice_lm.DISCOUNT, 0) / total)
+        want[doc_id] = p / math.log(10)
+    got = {r.doc_id: r.score for r in lattice_lm.score_documents(docs, model, most_hot=7).collect()}
+    assert len(want) > 20 and {i: got[i] for i in want} == pytest.approx(want, rel=1e-6)
+
+
 def test_lattice_scores_do_not_depend_on_the_broadcast(docs, data):
     model = path("piece_bpe_32k.model")
     key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score)
