@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import COMPLETE_YEARS, RULES_VERSION
 
-#: Latin letters with marks, and what is left of them without.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+def _unmarked() -> tuple[str, str]:
+    """Characters of one code unit whose compatibility decomposition holds just one ASCII character, and that character."""
+    pairs = []
+    for code in range(0x80, 0xFFFF):
+        own = [c for c in normalize("NFKD", chr(code)) if c < "\x80"]
+        if len(own) == 1:
+            pairs.append((chr(code), own[0]))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+_MARKED, _PLAIN = _unmarked()
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def missing_to_null(c: Column) -> Column:
     """Trimmed text; empty text and ``-1`` are null."""
-    text = F.trim(c)
-    return F.when(~text.isin("", "-1"), text)
+    return F.nullif(F.nullif(F.trim(c), F.lit("")), F.lit("-1"))
 
 
 def unit_code(c: Column) -> Column:
     """Unit code; digits are padded to six places and never cut."""
-    text = missing_to_null(c)
-    short = text.rlike("^[0-9]+$") & (F.length(text) < 6)
-    return F.when(short, F.lpad(text, 6, "0")).otherwise(text)
+    pad = lambda text: F.when(text.rlike("^[0-9]{1,5}$"), F.lpad(text, 6, "0")).otherwise(text)
+    return bound(missing_to_null(c), pad)
 
 
 def digits(c: Column) -> Column:
@@ -44,12 +57,15 @@ def folded_lower(c: Column) -> Column:
 
 def cents(c: Column) -> Column:
     """Amount text with decimal comma to integer cents, half to even; null if it can't be read."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), "R\\$|[ \u00a0]", "")
-    negative = text.rlike(r"^\(.*\)$")
-    text = F.regexp_replace(text, r"[()]", "")
-    plain = F.when(text.contains(","), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)
-    value = F.bround(plain.try_cast("decimal(38,10)"), 2) * 100
-    return (F.when(negative, -value).otherwise(value)).cast("bigint")
+
+    def value(text: Column) -> Column:
+        inner = F.regexp_replace(text, r"[()]", "")
+        comma = F.replace(F.replace(inner, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        plain = F.when(text.contains(","), comma).otherwise(inner)
+        amount = F.bround(plain.try_cast("decimal(38,10)"), 2) * 100
+        return (amount * F.when(text.rlike(r"^\(.*\)$"), -1).otherwise(1)).cast("bigint")
+
+    return bound(F.regexp_replace(F.coalesce(c, F.lit("")), "R\\$|[ \u00a0]", ""), value)
 
 
 def brazilian_date(c: Column) -> Column:
@@ -57,13 +73,11 @@ def brazilian_date(c: Column) -> Column:
 
 
 def year_or_null(c: Column) -> Column:
-    value = F.trim(c).try_cast("int")
-    return F.when(value.between(2000, 2100), value)
+    return bound(F.trim(c).try_cast("int"), lambda value: F.when(value.between(2000, 2100), value))
 
 
 def month_or_null(c: Column) -> Column:
-    value = F.trim(c).try_cast("int")
-    return F.when(value.between(1, 12), value)
+    return bound(F.trim(c).try_cast("int"), lambda value: F.when(value.between(1, 12), value))
 
 
 def true(c: str) -> Column:

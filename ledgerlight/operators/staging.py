@@ -12,26 +12,34 @@ from ..functions import exprs as x
 def build_staging(raw: DataFrame) -> DataFrame:
     """The raw columns, unchanged, and 20 derived ones."""
     x.require_columns(raw, model.RAW_COLUMNS)
-    unit = x.unit_code(F.col("CÓDIGO UNIDADE GESTORA"))
-    name = x.folded_name(F.col("NOME PORTADOR"))
-    card = x.digits(F.col("CPF PORTADOR"))
-    supplier = x.folded_name(F.col("NOME FAVORECIDO"))
-    secret_supplier = supplier.contains("SIGILO") | supplier.contains("SEM INFORM")
-    code = F.trim(F.coalesce(F.col("TRANSAÇÃO"), F.lit("")))
     low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("TRANSAÇÃO", "NOME PORTADOR", "NOME FAVORECIDO")]
-    year, month = x.year_or_null(F.col("ANO EXTRATO")), x.month_or_null(F.col("MÊS EXTRATO"))
-    first = raw.select(
+    # texts that several columns need are worked out in a projection of their own
+    read = raw.select(
         "*",
-        unit.alias("UG_ID"),
-        name.alias("NOME_PORTADOR_NORMALIZADO"),
+        x.unit_code(F.col("CÓDIGO UNIDADE GESTORA")).alias("UG_ID"),
+        x.folded_name(F.col("NOME PORTADOR")).alias("NOME_PORTADOR_NORMALIZADO"),
+        x.digits(F.col("CPF PORTADOR")).alias("_CPF"),
+        x.folded_name(F.col("NOME FAVORECIDO")).alias("_FAVORECIDO"),
+        F.trim(F.coalesce(F.col("TRANSAÇÃO"), F.lit(""))).alias("_CODIGO"),
+        x.brazilian_date(F.col("DATA TRANSAÇÃO")).alias("DATA_DT"),
+        x.year_or_null(F.col("ANO EXTRATO")).alias("ANO_EXTRATO_REF"),
+        x.month_or_null(F.col("MÊS EXTRATO")).alias("MES_EXTRATO_REF"),
+        x.cents(F.col("VALOR TRANSAÇÃO")).alias("VALOR_CENTAVOS"),
+    )
+    unit, name, card, code = (F.col(c) for c in ("UG_ID", "NOME_PORTADOR_NORMALIZADO", "_CPF", "_CODIGO"))
+    secret_supplier = F.col("_FAVORECIDO").contains("SIGILO") | F.col("_FAVORECIDO").contains("SEM INFORM")
+    first = read.select(
+        *raw.columns,
+        "UG_ID",
+        "NOME_PORTADOR_NORMALIZADO",
         F.when(~name.contains("SIGILO"), card).alias("PORTADOR_ID_BASELINE"),
         F.when(unit.isNotNull() & card.isNotNull(), F.concat_ws("|", unit, card, name)).alias("PORTADOR_ID"),
         F.when(~secret_supplier, x.digits(F.col("CNPJ OU CPF FAVORECIDO"))).alias("FAVORECIDO_ID"),
-        x.brazilian_date(F.col("DATA TRANSAÇÃO")).alias("DATA_DT"),
-        year.alias("ANO_EXTRATO_REF"),
-        month.alias("MES_EXTRATO_REF"),
-        F.concat(year.cast("string"), F.lpad(month.cast("string"), 2, "0")).alias("COMPETENCIA_EXTRATO_REF"),
-        x.cents(F.col("VALOR TRANSAÇÃO")).alias("VALOR_CENTAVOS"),
+        "DATA_DT",
+        "ANO_EXTRATO_REF",
+        "MES_EXTRATO_REF",
+        F.concat(F.col("ANO_EXTRATO_REF").cast("string"), F.lpad(F.col("MES_EXTRATO_REF").cast("string"), 2, "0")).alias("COMPETENCIA_EXTRATO_REF"),
+        "VALOR_CENTAVOS",
         code.isin(*model.PURCHASES).alias("EH_COMPRA_EFETIVA"),
         (code == model.NATIONAL).alias("EH_COMPRA_NACIONAL"),
         code.isin(*model.WITHDRAWALS).alias("EH_SAQUE_EFETIVO"),

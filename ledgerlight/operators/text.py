@@ -33,7 +33,8 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_co
     """
     asked = term_frequencies(queries, query_id, query_text).select(F.col("ID").alias("Q"), "TERMO", F.col("TF").alias("QTF"))
     terms = asked.select("TERMO").distinct()
-    found = term_frequencies(docs, id_col, text_col).join(terms, "TERMO", "left_semi")
+    words = docs.select(F.col(id_col).alias("ID"), F.explode(tokens(F.col(text_col))).alias("TERMO"))
+    found = words.join(terms, "TERMO", "left_semi").groupBy("ID", "TERMO").agg(F.count(F.lit(1)).alias("TF"))
     frequency = found.groupBy("TERMO").agg(F.count(F.lit(1)).alias("DF"))
     size = docs.agg(F.count(F.lit(1)).alias("N_DOCS"))
     weighted = asked.join(frequency, "TERMO").crossJoin(F.broadcast(size))
@@ -46,6 +47,15 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_co
     )
 
 
+def coverage_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
+    """(Q, ID, SCORE): the share of a query's terms that a document holds."""
+    asked = term_frequencies(queries, query_id, query_text).select(F.col("ID").alias("Q"), "TERMO")
+    sizes = asked.groupBy("Q").agg(F.count(F.lit(1)).alias("N"))
+    words = docs.select(F.col(id_col).alias("ID"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("TERMO"))
+    met = words.join(asked, "TERMO").groupBy("Q", "ID").agg(F.count(F.lit(1)).alias("_MET"))
+    return met.join(sizes, "Q").select("Q", "ID", (F.col("_MET") / F.col("N")).alias("SCORE"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda p, q: F.aggregate(
         F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
@@ -104,6 +114,28 @@ def fused(rankings: list[DataFrame], limit: int, k: int = FUSION_K) -> DataFrame
     return top(every.groupBy("Q", "ID").agg(F.sum(1.0 / (k + F.col("POSICAO"))).alias("SCORE")), limit)
 
 
+def label_measures(ranking: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """hit, recall, reciprocal rank and average precision at k, where all rows of the query's label are right.
+
+    ``labels``: (ID, LABEL). How many are right is counted per label, so that no pair of a query and a row is formed.
+    """
+    sizes = labels.groupBy("LABEL").agg(F.count(F.lit(1)).alias("N_GOLD"))
+    of_query = labels.select(F.col("ID").alias("Q"), F.col("LABEL").alias("_LABEL"))
+    asked = ranking.select("Q").distinct().join(of_query, "Q").join(sizes, F.col("_LABEL") == F.col("LABEL")).select("Q", "_LABEL", "N_GOLD")
+    hits = ranking.filter(F.col("POSICAO") <= k).join(labels, "ID").join(asked, "Q").filter("LABEL = _LABEL")
+    counted = hits.withColumn("_K", F.row_number().over(Window.partitionBy("Q").orderBy("POSICAO"))).groupBy("Q").agg(
+        F.count(F.lit(1)).alias("_N"), F.min("POSICAO").alias("_FIRST"), F.sum(F.col("_K") / F.col("POSICAO")).alias("_SUM")
+    )
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    return asked.join(counted, "Q", "left").select(
+        "Q",
+        F.when(F.col("_N") > 0, 1.0).otherwise(0.0).alias("HIT"),
+        none(F.col("_N") / F.col("N_GOLD")).alias("RECALL"),
+        none(1.0 / F.col("_FIRST")).alias("MRR"),
+        none(F.col("_SUM") / F.least(F.col("N_GOLD"), F.lit(k))).alias("AP"),
+    )
+
+
 def retrieval_measures(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """hit, recall, reciprocal rank and average precision at k per query. ``gold``: (Q, ID)."""
     sizes = gold.groupBy("Q").agg(F.count(F.lit(1)).alias("N_GOLD"))

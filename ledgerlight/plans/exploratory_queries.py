@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import exploratory as ex
@@ -41,10 +42,18 @@ def _bridge(spark, d):
 
 
 def _agreement(spark, d):
+    """The words of each turn against those of the turn before it, both whole."""
     c = _table(spark, d, "conversations").filter("text IS NOT NULL")
-    words = lambda n: F.array_distinct(F.slice(F.split("text", " "), 1, n))
-    rows = c.select("conv_id", "turn", words(3).alias("p"), words(5).alias("e"))
-    return r(ex.set_agreement(rows, "p", "e").groupBy("conv_id").agg(F.count_if("EXATO").alias("N_EXATO"), F.avg("PRECISAO").alias("PRECISAO"), F.avg("COBERTURA").alias("COBERTURA")), "PRECISAO", "COBERTURA")
+    words = F.array_distinct(F.split("text", " "))
+    turns = c.groupBy("conv_id", "turn").agg(F.max("text").alias("text")).select("conv_id", "turn", words.alias("p"))
+    pairs = turns.withColumn("e", F.lag("p").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("e IS NOT NULL")
+    return r(ex.set_agreement(pairs, "p", "e").groupBy("conv_id").agg(F.count_if("EXATO").alias("N_EXATO"), F.avg("PRECISAO").alias("PRECISAO"), F.avg("COBERTURA").alias("COBERTURA")), "PRECISAO", "COBERTURA")
+
+
+AGREEMENT_SQL = """WITH t AS (SELECT conv_id, turn, list_distinct(string_split(max(text), ' ')) AS p FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+w AS (SELECT conv_id, p, lag(p) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM t),
+c AS (SELECT conv_id, len(p) AS n, len(e) AS m, len(list_intersect(p, e)) AS k FROM w WHERE e IS NOT NULL)
+SELECT conv_id, count(*) FILTER (k = n AND k = m) AS N_EXATO, round(avg(k / n::DOUBLE), 6) AS PRECISAO, round(avg(k / m::DOUBLE), 6) AS COBERTURA FROM c GROUP BY ALL"""
 
 
 def _routes(spark, d):
@@ -119,7 +128,7 @@ UNION ALL SELECT 'T04', CASE WHEN P >= 5 THEN 'MUITO_ELEVADO' WHEN P >= 3 THEN '
 FROM (SELECT ANO_TRANSACAO AS y, count(*) AS n FROM stg WHERE ANO_TRANSACAO < 1998 GROUP BY 1) a
 FULL JOIN (SELECT ANO_TRANSACAO AS y, count(*) AS n FROM stg WHERE ANO_TRANSACAO > 1995 AND EH_COMPRA_NACIONAL GROUP BY 1) b ON a.y = b.y""",
     ),
-    "EVL-03": (_agreement, None),
+    "EVL-03": (_agreement, AGREEMENT_SQL),
     "EVL-05": (
         lambda s, d: r(ex.modal_share(_table(s, d, "events"), "user_id", "event_type"), "ESTABILIDADE"),
         """SELECT user_id, round(max(n) / sum(n)::DOUBLE, 6) AS ESTABILIDADE, sum(n)::BIGINT AS N

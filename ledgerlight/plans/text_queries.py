@@ -18,52 +18,55 @@ def _vector_top(spark, d):
     return text.vector_top(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-def _neighbours(spark, d, n):
-    """(Q, ID, POSICAO): the next ``n`` ids after each query's, where they exist."""
-    e = _table(spark, d, "embeddings")
-    after = e.filter("vec_id % 50 = 0").select(
-        F.col("vec_id").alias("Q"), F.posexplode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + n)).alias("p", "ID")
-    )
-    return after.join(e.select(F.col("vec_id").alias("ID")), "ID", "left_semi").select("Q", "ID", (F.col("p") + 1).alias("POSICAO"))
+def _ranked(scores, limit=10):
+    """The best per query by rounded scores, so that sums of any order rank alike."""
+    return text.top(r(scores, "SCORE"), limit)
+
+
+def _lexical(spark, d):
+    return _ranked(_scores(spark, d))
 
 
 def _fused(spark, d):
-    """Fusion of the vector ranking with one by neighbouring ids."""
-    return text.fused([_vector_top(spark, d), _neighbours(spark, d, 10)], 10)
+    """Fusion of two rankings of the documents: by weighted terms, and by the share of the query's terms."""
+    covered = text.coverage_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+    return text.fused([_lexical(spark, d), _ranked(covered)], 10)
 
 
 def _measures(spark, d):
-    return text.retrieval_measures(_vector_top(spark, d), _neighbours(spark, d, 5).drop("POSICAO"), 10)
+    labels = _table(spark, d, "embeddings").select(F.col("vec_id").alias("ID"), F.col("label").alias("LABEL"))
+    return text.label_measures(_vector_top(spark, d), labels, 10)
 
 
 _FOLD = "lower(strip_accents(coalesce({}, '')))"
 TERMS_SQL = f"""WITH w AS (SELECT doc_id AS ID, unnest(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]{{2,}}')) AS TERMO FROM documents),
 tf AS (SELECT ID, TERMO, count(*) AS TF FROM w GROUP BY ALL)"""
 LEXICAL_SQL = f"""{TERMS_SQL}, qw AS (SELECT item_id AS Q, unnest(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]{{2,}}')) AS TERMO FROM benchmark),
-qt AS (SELECT Q, TERMO, count(*) AS QTF FROM qw GROUP BY ALL), df AS (SELECT TERMO, count(*) AS DF FROM tf GROUP BY ALL)
-SELECT Q, ID, round(sum((1 + ln(TF)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + DF)::DOUBLE) + 1) * QTF), 6) AS SCORE
-FROM qt JOIN df USING (TERMO) JOIN tf USING (TERMO) GROUP BY ALL"""
+qt AS (SELECT Q, TERMO, count(*) AS QTF FROM qw GROUP BY ALL), df AS (SELECT TERMO, count(*) AS DF FROM tf GROUP BY ALL),
+ls AS (SELECT Q, ID, round(sum((1 + ln(TF)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + DF)::DOUBLE) + 1) * QTF), 6) AS SCORE
+  FROM qt JOIN df USING (TERMO) JOIN tf USING (TERMO) GROUP BY ALL HAVING SCORE > 0),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM ls) WHERE POSICAO <= 10)"""
 VECTOR_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), s AS (
   SELECT q.vec_id AS Q, v.vec_id AS ID, list_cosine_similarity(q.e, v.e) AS SCORE FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q),
 tv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM s WHERE SCORE > 0) WHERE POSICAO <= 10)"""
-FUSED_SQL = f"""{VECTOR_SQL}, o AS (SELECT q.vec_id AS Q, v.vec_id AS ID, (v.vec_id - q.vec_id)::INT AS POSICAO
-  FROM v JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q ON v.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 10),
-f AS (SELECT Q, ID, sum(1.0::DOUBLE / (60 + POSICAO)) AS SCORE FROM (SELECT Q, ID, POSICAO FROM tv UNION ALL SELECT * FROM o) GROUP BY ALL)
+FUSED_SQL = f"""{LEXICAL_SQL}, cs AS (SELECT Q, ID, round(count(*) / (SELECT count(*) FROM qt z WHERE z.Q = qt.Q)::DOUBLE, 6) AS SCORE
+  FROM qt JOIN tf USING (TERMO) GROUP BY Q, ID),
+ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM cs) WHERE POSICAO <= 10),
+f AS (SELECT Q, ID, sum(1.0::DOUBLE / (60 + POSICAO)) AS SCORE FROM (SELECT Q, ID, POSICAO FROM lt UNION ALL SELECT Q, ID, POSICAO FROM ct) GROUP BY ALL)
 SELECT Q, ID, round(SCORE, 8) AS SCORE FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID) AS rn FROM f) WHERE rn <= 10"""
-MEASURES_SQL = f"""{VECTOR_SQL}, gold AS (SELECT q.vec_id AS Q, v.vec_id AS ID
-  FROM v JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q ON v.vec_id BETWEEN q.vec_id + 1 AND q.vec_id + 5),
-n AS (SELECT Q, count(*) AS n FROM gold GROUP BY ALL),
-h AS (SELECT tv.Q, POSICAO, row_number() OVER (PARTITION BY tv.Q ORDER BY POSICAO) AS k FROM tv JOIN gold USING (Q, ID)),
+MEASURES_SQL = f"""{VECTOR_SQL}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL),
+asked AS (SELECT DISTINCT Q, v.label, n FROM tv JOIN v ON v.vec_id = Q JOIN n USING (label)),
+h AS (SELECT tv.Q, POSICAO, row_number() OVER (PARTITION BY tv.Q ORDER BY POSICAO) AS k FROM tv JOIN v ON v.vec_id = tv.ID JOIN asked ON asked.Q = tv.Q AND asked.label = v.label),
 a AS (SELECT Q, count(*) AS c, min(POSICAO) AS p, sum(k / POSICAO::DOUBLE) AS ap FROM h GROUP BY ALL)
 SELECT Q, (CASE WHEN c > 0 THEN 1 ELSE 0 END)::DOUBLE AS HIT, round(coalesce(c / n::DOUBLE, 0), 6) AS RECALL, round(coalesce(1 / p::DOUBLE, 0), 6) AS MRR,
-  round(coalesce(ap / least(n, 10), 0), 6) AS AP FROM n LEFT JOIN a USING (Q)"""
+  round(coalesce(ap / least(n, 10), 0), 6) AS AP FROM asked LEFT JOIN a USING (Q)"""
 
 QUERIES = {
     "TXT-01": (
         lambda s, d: text.term_frequencies(_table(s, d, "documents"), "doc_id", "text").groupBy("ID").agg(F.count(F.lit(1)).alias("N_TERMOS"), F.sum("TF").alias("N")),
         f"{TERMS_SQL} SELECT ID, count(*) AS N_TERMOS, sum(TF)::BIGINT AS N FROM tf GROUP BY ALL",
     ),
-    "TXT-02": (lambda s, d: r(_scores(s, d), "SCORE"), LEXICAL_SQL),
+    "TXT-02": (_lexical, f"{LEXICAL_SQL} SELECT Q, ID, SCORE, POSICAO FROM lt"),
     "TXT-03": (lambda s, d: r(_vector_top(s, d), "SCORE"), f"{VECTOR_SQL} SELECT Q, ID, round(SCORE, 6) AS SCORE, POSICAO FROM tv"),
     "TXT-04": (lambda s, d: r(_fused(s, d), "SCORE", places=8).drop("POSICAO"), FUSED_SQL),
     "TXT-05": (lambda s, d: text.split_documents(_table(s, d, "documents")), None),

@@ -100,3 +100,14 @@ def test_stream_of_landed_files(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM landed").collect()] == [("000001", 150)]
+
+
+def test_names_are_folded_by_compatibility_decomposition(spark):
+    from unicodedata import normalize
+
+    from ledgerlight.functions.exprs import folded_name
+
+    names = ["KOVAČ", "josé da  silva", "Łódź", "ñandú", "Ŝukov ā", "Ａ１", None, "-1", "漢字 x", "ż́"]
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(names)], "n int, t string").select("n", folded_name(F.col("t")).alias("f")).orderBy("n").collect()
+    want = [normalize("NFKD", " ".join((t or "").split()).upper()).encode("ascii", "ignore").decode() for t in names]
+    assert [r.f for r in got] == want and want[0] == "KOVAC"
