@@ -87,3 +87,43 @@ def coverage(staged: DataFrame, dimension: DataFrame) -> DataFrame:
         F.count_distinct("UG_ID").alias("N_UG"),
         F.count_distinct(F.when(hit, F.col("UG_ID"))).alias("N_UG_COM_UF"),
     )
+
+
+REFERENCES = ("TRANSACAO", "EXTRATO")
+
+
+def metric_catalogue(long: DataFrame, reference: str | None = None) -> DataFrame:
+    """References and their metrics, in order."""
+    kept = long if reference is None else long.filter(F.col("REFERENCIA_TEMPORAL") == _reference(reference))
+    return kept.select("REFERENCIA_TEMPORAL", "METRICA").distinct().orderBy("REFERENCIA_TEMPORAL", "METRICA")
+
+
+def metric_years(long: DataFrame, reference: str) -> DataFrame:
+    return long.filter(F.col("REFERENCIA_TEMPORAL") == _reference(reference)).select("ANO").distinct().orderBy("ANO")
+
+
+def state_metric(long: DataFrame, reference: str, year: int, metric: str) -> DataFrame:
+    """One metric of one year by state, largest first; ties by state. A metric that the reference lacks gives no row."""
+    picked = (F.col("REFERENCIA_TEMPORAL") == _reference(reference)) & (F.col("ANO") == int(year)) & (F.col("METRICA") == metric.strip().upper())
+    return long.filter(picked).orderBy(F.desc("VALOR_METRICA"), "UF")
+
+
+def units_of_state(matrix: DataFrame, dimension: DataFrame, uf: str, year: int, limit: int = 50) -> DataFrame:
+    """Unit-years of a state with what governance counted for them: most rules first, then the largest total."""
+    uf = uf.strip().upper()
+    if uf not in model.UFS:
+        raise ValueError(f"unknown state: {uf}")
+    if not 1 <= int(limit) <= 500:
+        raise ValueError("limit must be 1 to 500")
+    place = dimension.filter(F.col("UF_UG") == uf).select("UG_ID", F.col("UF_UG").alias("UF"))
+    columns = "UF ANO_TRANSACAO UG_ID N_OPERACOES_EFETIVAS COMPRAS_CENTAVOS SAQUES_CENTAVOS TOTAL_CENTAVOS N_TRILHAS N_FAMILIAS".split()
+    rows = matrix.filter(F.col("ANO_TRANSACAO") == int(year)).join(place, "UG_ID")
+    total = F.col("COMPRAS_CENTAVOS") + F.col("SAQUES_CENTAVOS")
+    return rows.withColumn("TOTAL_CENTAVOS", total).select(*columns).orderBy(F.desc("N_TRILHAS"), F.desc("TOTAL_CENTAVOS"), "UG_ID").limit(int(limit))
+
+
+def _reference(name: str) -> str:
+    name = name.strip().upper()
+    if name not in REFERENCES:
+        raise ValueError(f"unknown time reference: {name}")
+    return name

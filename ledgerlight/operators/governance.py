@@ -106,6 +106,15 @@ def with_families(matrix: DataFrame, trails=model.TRAILS) -> DataFrame:
     return out.withColumns({"N_TRILHAS": add(list(trails)), "N_FAMILIAS": add(list(made))})
 
 
+def with_context(matrix: DataFrame, flags: DataFrame, contexts: dict[str, list[str]]) -> DataFrame:
+    """0/1 columns of rules that are joined on keys of their own and count in no sum."""
+    for trail, keys in contexts.items():
+        names = [{"FAVORECIDO_ID": "ENTIDADE", "ANO_TRANSACAO": "ANO"}.get(k, k) for k in keys]
+        hit = flags.filter(F.col("TRILHA") == trail).select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True))).distinct()
+        matrix = matrix.join(hit.withColumn(trail, F.lit(1)), keys, "left")
+    return matrix.na.fill(0, list(contexts))
+
+
 def flag_eligibility(matrix: DataFrame, flags: list[str], least: int = 30) -> DataFrame:
     long = matrix.select(F.explode(F.array(*(F.struct(F.lit(f).alias("FLAG"), F.col(f).alias("V")) for f in flags))).alias("e"))
     grouped = long.groupBy("e.FLAG").agg(F.count(F.lit(1)).alias("N"), F.sum("e.V").alias("POSITIVOS"))
@@ -142,6 +151,14 @@ def pairwise(matrix: DataFrame, flags: list[str], by: list[str] = ()) -> DataFra
     ).drop("NA", "NB")
 
 
+def with_global_eligibility(pairs: DataFrame, eligibility: DataFrame) -> DataFrame:
+    """Both flags' eligibility over all rows. The table of eligibility has one row per flag, so it is broadcast."""
+    side = lambda c: F.broadcast(eligibility.select(F.col("FLAG").alias(c), F.col("STATUS").alias(f"ELEGIBILIDADE_{c}_GLOBAL")))
+    both = (F.col("ELEGIBILIDADE_A_GLOBAL") == "SUFICIENTE") & (F.col("ELEGIBILIDADE_B_GLOBAL") == "SUFICIENTE")
+    joined = pairs.join(side("A"), "A", "left").join(side("B"), "B", "left")
+    return joined.withColumn("DIAGNOSTICO_PAR_GLOBAL", F.when(both, "SUFICIENTE").otherwise("CAUTELA_RARIDADE"))
+
+
 def square_matrix(pairs: DataFrame, flags: list[str], metric: str) -> DataFrame:
     """Pairs as a symmetric matrix with a diagonal of 1."""
     pick = lambda a, b: pairs.select(F.col(a).alias("A"), F.col(b).alias("B"), F.col(metric).alias("M"))
@@ -203,20 +220,49 @@ def with_validation_status(df: DataFrame, column: str = "STATUS_VALIDACAO") -> D
     return df.withColumn(column, F.when(own.isNull(), model.STATUSES[0]).when(own.isin(*model.STATUSES), own).otherwise(bad))
 
 
-def tag_evidence(df: DataFrame, trail: str, id_column: str) -> DataFrame:
-    """Governance columns before all others."""
-    family = next((f for f, members in model.FAMILIES.items() if trail in members), None)
+def evidence_id_column(df: DataFrame) -> str:
+    """The first known id column."""
+    found = next((c for c in model.EVIDENCE_IDS if c in df.columns), None)
+    if found is None:
+        raise ValueError(f"no evidence id; one of these is needed: {', '.join(model.EVIDENCE_IDS)}")
+    return found
+
+
+def tag_evidence(df: DataFrame, trail: str, id_column: str | None = None, engine: str = model.RULES_VERSION) -> DataFrame:
+    """The governance columns, then the signal's own. An id that occurs twice is an error when the rows are read; null ids may repeat.
+
+    Columns of the input that have a governance name are replaced, but a validation status is kept.
+    """
+    code = trail.strip().upper()
+    if code not in model.EVIDENCE:
+        raise ValueError(f"unknown rule: {trail!r}")
+    id_column = id_column or evidence_id_column(df)
+    family = next(f for f, members in model.FAMILIES.items() if code in members)
+    kind, unit = model.EVIDENCE[code]
+    core = code in model.TRAILS
+    own = F.col(id_column).cast("string")
+    times = F.count(F.lit(1)).over(Window.partitionBy(own))
+    twice = F.raise_error(F.concat(F.lit("evidence id occurs more than once: "), own)).cast("string")
     tagged = with_validation_status(df)
-    return tagged.select(
-        F.lit(trail).alias("CODIGO_TRILHA"),
-        F.lit(family).cast("string").alias("CODIGO_FAMILIA"),
-        F.lit(model.RULES_VERSION).alias("VERSAO_REGRAS"),
-        F.col(id_column).cast("string").alias("ID_EVIDENCIA"),
-        *tagged.columns,
-    )
+    made = {
+        "ID_EVIDENCIA": F.when(own.isNotNull() & (times > 1), twice).otherwise(own),
+        "TRILHA": F.lit(code),
+        "FAMILIA_EVIDENCIA": F.lit(family),
+        "NOME_FAMILIA_EVIDENCIA": F.lit(model.FAMILY_NAMES[family]),
+        "TIPO_EVIDENCIA": F.lit(kind),
+        "PAPEL_EVIDENCIA": F.lit("NUCLEO" if core else "CONTEXTO"),
+        "UNIDADE_PRIMARIA": F.lit(unit),
+        "CONVERGENCIA_NUCLEO": F.lit(core),
+        "STATUS_VALIDACAO": F.col("STATUS_VALIDACAO"),
+        "VERSAO_PREPARACAO": F.lit(model.PREPARATION_VERSION),
+        "VERSAO_REGRAS": F.lit(model.RULES_VERSION),
+        "VERSAO_MOTOR": F.lit(engine),
+    }
+    return tagged.select(*(c.alias(name) for name, c in made.items()), *(f"`{c}`" for c in tagged.columns if c not in made))
 
 
 def consolidate(frames: list[DataFrame]) -> DataFrame:
+    """All tagged signal tables; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -117,6 +117,21 @@ def exact_repetition_rows(staged: DataFrame, groups: DataFrame, card: str = CARD
     return _repeatable(staged, card).join(groups.select(*keys, "ID_GRUPO"), keys).select("ID_GRUPO", "ID_TRANSACAO")
 
 
+def secrecy_check(staged: DataFrame, card: str = CARD, secret: str = "EH_SIGILOSO") -> DataFrame:
+    """Rows that T03 may group, rows that it does group, and how many of each are secret: one row."""
+    groups = exact_repetition(staged, card)
+    keys = ["UG_ID", card, "FAVORECIDO_ID", "DATA_DT", "TRANSAÇÃO", "VALOR_CENTAVOS"]
+    rows = _repeatable(staged, card).select(*keys, x.true(secret).alias("_SECRET"))
+    found = rows.join(groups.select(*keys, F.lit(True).alias("_HIT")), keys, "left")
+    hit, hidden = x.true("_HIT"), F.col("_SECRET")
+    return found.agg(
+        F.count(F.lit(1)).alias("N_ELEGIVEIS"),
+        F.count_if(hidden).alias("N_ELEGIVEIS_SIGILOSOS"),
+        F.count_if(hit).alias("N_EM_SINAIS"),
+        F.count_if(hit & hidden).alias("N_EM_SINAIS_SIGILOSOS"),
+    )
+
+
 def integral_repetition(raw: DataFrame, columns: list[str], secret: str = "EH_SIGILOSO", least: int = 2) -> DataFrame:
     """Rows equal in all given columns; null counts as empty."""
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from . import geography
 
 
 @dataclass(frozen=True)
@@ -79,6 +81,18 @@ def page(df: DataFrame, keys: list[str], limit: int, offset: int = 0) -> DataFra
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+DIAGNOSTICS = ("overlap_", "marginal_", "multicollinearity_", "pca_")
+
+
+def diagnostic_table(tables: Mapping[str, DataFrame], name: str, limit: int = 10_000) -> DataFrame:
+    """A published diagnostic table by name; no other table can be read through this."""
+    if not name.startswith(DIAGNOSTICS):
+        raise ValueError(f"not a diagnostic table: {name}")
+    if name not in tables:
+        raise ValueError(f"unknown table: {name}")
+    return tables[name].limit(limit)
+
+
 #: The closed set of queries that a caller may name.
 TOOLS = {
     "overview": overview,
@@ -93,3 +107,13 @@ def run_tool(name: str, matrix: DataFrame, scope: Scope, **args) -> DataFrame:
     if name not in TOOLS:
         raise ValueError(f"unknown query: {name}")
     return TOOLS[name](matrix, scope, **args)
+
+
+#: Territorial queries: over the long metrics, or over the unit matrix and the dimension.
+TERRITORIAL = {"metric": geography.state_metric, "years": geography.metric_years, "catalogue": geography.metric_catalogue, "units": geography.units_of_state}
+
+
+def run_territorial(name: str, *tables: DataFrame, **args) -> DataFrame:
+    if name not in TERRITORIAL:
+        raise ValueError(f"unknown query: {name}")
+    return TERRITORIAL[name](*tables, **args)

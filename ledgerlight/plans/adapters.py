@@ -89,6 +89,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and events as one fact; their years differ."""
+    return lines(spark, sf_dir).unionByName(events(spark, sf_dir))
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as raw text in the delimited file's 15 columns."""
     li, o, c = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
@@ -152,6 +157,9 @@ EVENTS_SQL = f"""base AS (
   FROM events
 ), stg AS ({_FLAGS_SQL})"""
 
+#: The fact ``stg`` from both.
+BOTH_SQL = f"""stg AS (SELECT * FROM (WITH {LINES_SQL} SELECT * FROM stg) UNION ALL BY NAME SELECT * FROM (WITH {EVENTS_SQL} SELECT * FROM stg))"""
+
 #: Dated limits that cover the lines' dates (from, to, purchases base, works base, share).
 TEST_LIMITS = (
     ("1990-01-01", "1996-06-30", "1000000.00", "4000000.00", "0.01"),

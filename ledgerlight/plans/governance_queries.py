@@ -2,47 +2,97 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from ..operators import geography, governance, linalg, rules, serving
-from .adapters import _table, events, lines
-from .rule_queries import EV, LI, r
+from .. import model
+from ..operators import geography, governance, linalg, primary, rules, serving
+from .adapters import BOTH_SQL, TEST_LIMITS, _table, both, events, lines
+from .rule_queries import EV, LI, T05_SQL, T06_SQL, T07_SQL, T08_RANK_SQL, T09_SQL, r
+
+FLAGS = list(model.SUPPLIER_TRAILS)
+UNIT_FLAGS = list(model.TRAILS)
+SCOPE = serving.Scope(1990, 2030)
+
+#: Thresholds under which every rule flags something in the test tables.
+SETTINGS = {
+    "T05": {"days": 3, "max_cv": 0.6},
+    "T06": {"levels": (0.05, 0.10, 0.20)},
+    "T08": {"least": 100, "formal": 100, "years": (1990, 2010)},
+}
+
 
-FLAGS = ["T01", "T02", "T03"]
-SUPPLIER = ["UG_ID", "FAVORECIDO_ID", "ANO_TRANSACAO"]
-UNIT = ["UG_ID", "ANO_TRANSACAO"]
-SCOPE = serving.Scope(1990, 2010)
+def _outputs(spark, d):
+    return primary.primary_outputs(both(spark, d), rules.limits_table(spark, TEST_LIMITS), settings=SETTINGS)
 
 
-def _signals(spark, d):
-    """Three signal tables over order lines: weekends, instalments, and amounts above a limit."""
-    staged = lines(spark, d)
-    return {
-        "T01": rules.weekend_purchases(staged).filter("VALOR_CENTAVOS > 5000000"),
-        "T02": rules.instalments(staged).filter("VALOR_CENTAVOS > 6000000"),
-        "T03": staged.filter("EH_COMPRA_NACIONAL AND VALOR_CENTAVOS > 7000000"),
-    }
+_KEPT: dict = {}
 
 
 def _flags(spark, d):
-    return governance.flag_records(_signals(spark, d))
+    """All nine rules' flags, distinct by unit, supplier and year. They are planned and kept once per session, since every matrix reads them several times."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _KEPT:
+        _KEPT[key] = governance.flag_records(_outputs(spark, d)).persist()
+    return _KEPT[key]
 
 
 def _supplier_matrix(spark, d):
-    universe = governance.with_bands(governance.supplier_year_universe(lines(spark, d)))
-    return governance.with_families(governance.flag_matrix(universe, _flags(spark, d), SUPPLIER, FLAGS), FLAGS)
+    return primary.supplier_matrix(both(spark, d), _flags(spark, d))
 
 
 def _unit_matrix(spark, d):
-    universe = governance.with_deciles(governance.unit_year_universe(lines(spark, d)))
-    return governance.with_families(governance.flag_matrix(universe, _flags(spark, d), UNIT, FLAGS), FLAGS)
+    return primary.unit_matrix(both(spark, d), _flags(spark, d))
+
+
+def _body(sql: str, lead: str) -> str:
+    """A query's common table expressions without the fact's own."""
+    assert sql.startswith(lead)
+    return sql.removeprefix(lead).lstrip(", \n")
+
+
+def _trail(name: str, sql: str, entity: str = "FAVORECIDO_ID", year: str = "ANO_TRANSACAO") -> str:
+    return f"{name.lower()} AS ({sql.format(f"'{name}' AS TRILHA, UG_ID, {entity}::VARCHAR AS ENTIDADE, {year}::INT AS ANO")})"
+
+
+_REPEATABLE = "FROM stg WHERE EH_COMPRA_EFETIVA AND VALOR_CENTAVOS > 0 AND FAVORECIDO_IDENTIFICADO"
+_TRAILS_SQL = ", ".join(
+    [
+        _trail("T01", "SELECT {} FROM stg WHERE EH_COMPRA_EFETIVA AND dayofweek(DATA_DT) IN (0, 6)"),
+        _trail("T02", f"SELECT {{}} FROM stg WHERE TRANSACAO = '{model.INSTALMENT}'"),
+        _trail("T03", f"SELECT {{}} {_REPEATABLE} GROUP BY UG_ID, PORTADOR_ID, FAVORECIDO_ID, DATA_DT, TRANSACAO, VALOR_CENTAVOS HAVING count(*) >= 2", year="year(DATA_DT)"),
+        _trail("T04", f"SELECT {{}} {_REPEATABLE} GROUP BY UG_ID, FAVORECIDO_ID, DATA_DT, VALOR_CENTAVOS HAVING count(*) >= 2 AND count(DISTINCT PORTADOR_ID) >= 2", year="year(DATA_DT)"),
+        _trail("T05", f"WITH {_body(T05_SQL, EV)} SELECT {{}} FROM cand"),
+        _trail(
+            "T06",
+            f"WITH {_body(T06_SQL, LI)} SELECT {{}} FROM ind WHERE N_COMPRAS >= 20 AND N_FORNECEDORES >= 3 AND COBERTURA >= 0.8 AND TOP1_SHARE_VALOR >= 0.05",
+            entity="TOP1_FAVORECIDO_ID",
+        ),
+        _trail("T07", f"WITH {_body(T07_SQL, EV)} SELECT {{}} FROM rec WHERE PRIORITARIO", entity="NULL"),
+        _trail("T08", f"WITH {_body(T08_RANK_SQL, LI)} SELECT {{}} FROM ranked WHERE TOP_DECIL", entity="NULL"),
+        _trail("T09", f"WITH {_body(T09_SQL, LI)} SELECT {{}} FROM cls WHERE STATUS_T09 <> 'ABAIXO_FAIXAS'"),
+    ]
+)
+
+
+def _ones(trails) -> str:
+    return ", ".join(f"max((TRILHA = '{t}')::INT) AS {t}" for t in trails)
+
+
+def _filled(trails) -> str:
+    return ", ".join(f"coalesce({t}, 0)::INT AS {t}" for t in trails)
+
+
+def _counted(trails) -> str:
+    found = {f: [t for t in members if t in trails] for f, members in model.FAMILIES.items()}
+    made = {f: f"greatest({', '.join(ts)})" for f, ts in found.items() if ts}
+    columns = ", ".join(f"{e} AS {f}" for f, e in made.items())
+    return f"{columns}, {' + '.join(trails)} AS N_TRILHAS, {' + '.join(made.values())} AS N_FAMILIAS"
 
 
-FLAGS_SQL = f"""{LI}, flg AS (
-  SELECT DISTINCT * FROM (
-    SELECT 'T01' AS TRILHA, UG_ID, FAVORECIDO_ID AS ENTIDADE, ANO_TRANSACAO AS ANO FROM stg WHERE EH_COMPRA_EFETIVA AND dayofweek(DATA_DT) IN (0, 6) AND VALOR_CENTAVOS > 5000000
-    UNION ALL SELECT 'T02', UG_ID, FAVORECIDO_ID, ANO_TRANSACAO FROM stg WHERE TRANSACAO = 'CPP LOJISTA TRF P/FATURA - REAL' AND VALOR_CENTAVOS > 6000000
-    UNION ALL SELECT 'T03', UG_ID, FAVORECIDO_ID, ANO_TRANSACAO FROM stg WHERE EH_COMPRA_NACIONAL AND VALOR_CENTAVOS > 7000000)
+FLAGS_SQL = f"""WITH {BOTH_SQL}, {_TRAILS_SQL}, flg AS (
+  SELECT DISTINCT * FROM ({" UNION ALL ".join(f"FROM t0{i}" for i in range(1, 10))}) WHERE UG_ID IS NOT NULL AND ANO IS NOT NULL
 ), su AS (
   SELECT UG_ID, FAVORECIDO_ID, ANO_TRANSACAO, count(*) AS N_COMPRAS_FORNECEDOR, sum(VALOR_CENTAVOS)::BIGINT AS TOTAL_CENTAVOS,
     count(DISTINCT PORTADOR_ID) AS N_PORTADORES, count(DISTINCT DATA_DT) AS N_DIAS
@@ -58,12 +108,13 @@ FLAGS_SQL = f"""{LI}, flg AS (
   FROM stg WHERE (EH_COMPRA_EFETIVA OR EH_SAQUE_EFETIVO) AND VALOR_CENTAVOS > 0 GROUP BY ALL
 ), ud AS (SELECT *, (rank() OVER (PARTITION BY ANO_TRANSACAO ORDER BY N_OPERACOES_EFETIVAS) + (count(*) OVER (PARTITION BY ANO_TRANSACAO, N_OPERACOES_EFETIVAS) - 1) / 2.0)::DOUBLE
     / count(*) OVER (PARTITION BY ANO_TRANSACAO) AS PERCENTIL_EXPOSICAO FROM uu
-), sp AS (SELECT UG_ID, ENTIDADE AS FAVORECIDO_ID, ANO AS ANO_TRANSACAO, max((TRILHA = 'T01')::INT) AS T01, max((TRILHA = 'T02')::INT) AS T02, max((TRILHA = 'T03')::INT) AS T03 FROM flg GROUP BY 1, 2, 3
-), up AS (SELECT UG_ID, ANO AS ANO_TRANSACAO, max((TRILHA = 'T01')::INT) AS T01, max((TRILHA = 'T02')::INT) AS T02, max((TRILHA = 'T03')::INT) AS T03 FROM flg GROUP BY 1, 2
-), sm0 AS (SELECT sb.*, coalesce(T01, 0) AS T01, coalesce(T02, 0) AS T02, coalesce(T03, 0) AS T03 FROM sb LEFT JOIN sp USING (UG_ID, FAVORECIDO_ID, ANO_TRANSACAO)
-), sm AS (SELECT *, greatest(T01, T02) AS F1, T03 AS F2, T01 + T02 + T03 AS N_TRILHAS, greatest(T01, T02) + T03 AS N_FAMILIAS FROM sm0
-), um0 AS (SELECT ud.*, least(greatest(ceil(PERCENTIL_EXPOSICAO * 10), 1), 10)::INT AS DECIL_EXPOSICAO, coalesce(T01, 0) AS T01, coalesce(T02, 0) AS T02, coalesce(T03, 0) AS T03 FROM ud LEFT JOIN up USING (UG_ID, ANO_TRANSACAO)
-), um AS (SELECT *, greatest(T01, T02) AS F1, T03 AS F2, T01 + T02 + T03 AS N_TRILHAS, greatest(T01, T02) + T03 AS N_FAMILIAS FROM um0)"""
+), sp AS (SELECT UG_ID, ENTIDADE AS FAVORECIDO_ID, ANO AS ANO_TRANSACAO, {_ones(FLAGS + ["T09"])} FROM flg GROUP BY 1, 2, 3
+), up AS (SELECT UG_ID, ANO AS ANO_TRANSACAO, {_ones(UNIT_FLAGS + ["T08", "T09"])} FROM flg GROUP BY 1, 2
+), sm0 AS (SELECT sb.*, {_filled(FLAGS + ["T08", "T09"])} FROM sb LEFT JOIN sp USING (UG_ID, FAVORECIDO_ID, ANO_TRANSACAO)
+  LEFT JOIN (SELECT UG_ID, ANO_TRANSACAO, T08 FROM up) USING (UG_ID, ANO_TRANSACAO)
+), sm AS (SELECT *, {_counted(FLAGS)} FROM sm0
+), um0 AS (SELECT ud.*, least(greatest(ceil(PERCENTIL_EXPOSICAO * 10), 1), 10)::INT AS DECIL_EXPOSICAO, {_filled(UNIT_FLAGS + ["T08", "T09"])} FROM ud LEFT JOIN up USING (UG_ID, ANO_TRANSACAO)
+), um AS (SELECT *, {_counted(UNIT_FLAGS)} FROM um0)"""
 
 
 def _pairs_sql(source: str, by: str = "") -> str:
@@ -72,7 +123,7 @@ def _pairs_sql(source: str, by: str = "") -> str:
     one = lambda a, b: (
         f"SELECT {lead}'{a}' AS A, '{b}' AS B, count(*) AS N, sum({a} * {b})::BIGINT AS N11, sum({a})::BIGINT AS NA, sum({b})::BIGINT AS NB FROM {source} {group}"
     )
-    return " UNION ALL ".join(one(a, b) for a, b in (("T01", "T02"), ("T01", "T03"), ("T02", "T03")))
+    return " UNION ALL ".join(one(a, b) for a, b in combinations(FLAGS, 2))
 
 
 def _pair_select(by: str = "") -> str:
@@ -85,13 +136,13 @@ def _pair_select(by: str = "") -> str:
 _PAIR_ROUND = ["JACCARD", "PHI", "P_A_DADO_B", "P_B_DADO_A"]
 
 
-def _marginal_sql(source: str, by: str = "") -> str:
+def _marginal_sql(source: str, flags: list[str], by: str = "") -> str:
     lead, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
-    one = lambda f, g, h: (
-        f"SELECT {lead}'{f}' AS FLAG, sum(greatest(T01, T02, T03))::BIGINT AS UNIAO, sum({f})::BIGINT AS SINALIZADAS, "
-        f"sum(CASE WHEN greatest({g}, {h}) = 0 THEN {f} ELSE 0 END)::BIGINT AS EXCLUSIVAS FROM {source} {group}"
+    one = lambda f: (
+        f"SELECT {lead}'{f}' AS FLAG, sum(greatest({', '.join(flags)}))::BIGINT AS UNIAO, sum({f})::BIGINT AS SINALIZADAS, "
+        f"sum(CASE WHEN greatest({', '.join(g for g in flags if g != f)}) = 0 THEN {f} ELSE 0 END)::BIGINT AS EXCLUSIVAS FROM {source} {group}"
     )
-    parts = " UNION ALL ".join(one(*t) for t in (("T01", "T02", "T03"), ("T02", "T01", "T03"), ("T03", "T01", "T02")))
+    parts = " UNION ALL ".join(map(one, flags))
     return f"""SELECT {lead}UNIAO, FLAG, SINALIZADAS, EXCLUSIVAS, round(EXCLUSIVAS::DOUBLE / nullif(SINALIZADAS, 0), 6) AS EXCLUSIVAS_PCT,
   UNIAO - EXCLUSIVAS AS UNIAO_SEM, round(EXCLUSIVAS::DOUBLE / nullif(UNIAO, 0), 6) AS PERDA_PCT FROM ({parts})"""
 
@@ -139,14 +190,40 @@ def _sample(spark, d):
     return r(governance.stratified_sample(rows, "UG_ID", "TRANSAÇÃO", "ID_TRANSACAO").select("ID_TRANSACAO", "N_ESTRATO", "PESO"), "PESO")
 
 
+def _global_pairs(spark, d):
+    matrix = _supplier_matrix(spark, d)
+    pairs = governance.pairwise(matrix, FLAGS, ["BANDA_EXPOSICAO"])
+    kept = "BANDA_EXPOSICAO", "A", "B", "N11", "ELEGIBILIDADE_A_GLOBAL", "ELEGIBILIDADE_B_GLOBAL", "DIAGNOSTICO_PAR_GLOBAL"
+    return governance.with_global_eligibility(pairs, governance.flag_eligibility(matrix, FLAGS)).select(*kept)
+
+
+_ELIGIBLE_SQL = " UNION ALL ".join(
+    f"SELECT '{f}' AS FLAG, CASE WHEN sum({f}) IN (0, count(*)) THEN 'SEM_VARIACAO' WHEN sum({f}) < 30 OR count(*) - sum({f}) < 30 THEN 'INSUFICIENTE' ELSE 'SUFICIENTE' END AS STATUS FROM sm"
+    for f in FLAGS
+)
+
+
+def _units_flagged(matrix, name):
+    sums = [F.sum(c).alias(c) for c in ("F1", "F2", "F3", "T08", "T09")]
+    return matrix.groupBy(F.lit(name).alias("MATRIZ"), "N_FAMILIAS").agg(F.count(F.lit(1)).alias("N"), *sums)
+
+
 def _bands(spark, d):
     return _supplier_matrix(spark, d).groupBy("BANDA_EXPOSICAO", "ORDEM_BANDA").agg(F.count(F.lit(1)).alias("N"))
 
 
+def _tagged(spark, d):
+    """Two rules' evidence, tagged and brought together, counted by its governance columns."""
+    found = _outputs(spark, d)
+    rows = governance.consolidate([governance.tag_evidence(found[t], t) for t in ("T02", "T04")])
+    by = "TRILHA FAMILIA_EVIDENCIA TIPO_EVIDENCIA UNIDADE_PRIMARIA CONVERGENCIA_NUCLEO STATUS_VALIDACAO".split()
+    return rows.groupBy(*by).agg(F.count("ID_EVIDENCIA").alias("N"))
+
+
 QUERIES = {
-    "SET-01": (_flags, f"{FLAGS_SQL} SELECT * FROM flg WHERE UG_ID IS NOT NULL AND ANO IS NOT NULL"),
-    "AGG-17": (lambda s, d: governance.supplier_year_universe(lines(s, d)), f"{FLAGS_SQL} SELECT * FROM su"),
-    "AGG-18": (lambda s, d: governance.unit_year_universe(lines(s, d)), f"{FLAGS_SQL} SELECT * FROM uu"),
+    "SET-01": (_flags, f"{FLAGS_SQL} SELECT * FROM flg"),
+    "AGG-17": (lambda s, d: governance.supplier_year_universe(both(s, d)), f"{FLAGS_SQL} SELECT * FROM su"),
+    "AGG-18": (lambda s, d: governance.unit_year_universe(both(s, d)), f"{FLAGS_SQL} SELECT * FROM uu"),
     "PRJ-21": (_bands, f"{FLAGS_SQL} SELECT BANDA_EXPOSICAO, ORDEM_BANDA, count(*) AS N FROM sb GROUP BY ALL"),
     "WIN-02": (
         lambda s, d: r(_unit_matrix(s, d).select("UG_ID", "ANO_TRANSACAO", "PERCENTIL_EXPOSICAO", "DECIL_EXPOSICAO"), "PERCENTIL_EXPOSICAO"),
@@ -160,7 +237,7 @@ QUERIES = {
     ),
     "AGG-28": (
         lambda s, d: r(governance.flag_eligibility(_supplier_matrix(s, d), FLAGS), "PREVALENCIA"),
-        f"""{FLAGS_SQL}, l AS (SELECT 'T01' AS FLAG, T01 AS V FROM sm UNION ALL SELECT 'T02', T02 FROM sm UNION ALL SELECT 'T03', T03 FROM sm)
+        f"""{FLAGS_SQL}, l AS ({" UNION ALL ".join(f"SELECT '{f}' AS FLAG, {f} AS V FROM sm" for f in FLAGS)})
 SELECT FLAG, count(*) AS N, sum(V)::BIGINT AS POSITIVOS, (count(*) - sum(V))::BIGINT AS NEGATIVOS, round(avg(V), 6) AS PREVALENCIA,
   CASE WHEN sum(V) IN (0, count(*)) THEN 'SEM_VARIACAO' WHEN sum(V) < 30 OR count(*) - sum(V) < 30 THEN 'INSUFICIENTE' ELSE 'SUFICIENTE' END AS STATUS FROM l GROUP BY ALL""",
     ),
@@ -169,15 +246,27 @@ SELECT FLAG, count(*) AS N, sum(V)::BIGINT AS POSITIVOS, (count(*) - sum(V))::BI
         lambda s, d: r(governance.pairwise(_supplier_matrix(s, d), FLAGS, ["BANDA_EXPOSICAO"]), *_PAIR_ROUND),
         f"{FLAGS_SQL}, pr AS ({_pairs_sql('sm', 'BANDA_EXPOSICAO')}) {_pair_select('BANDA_EXPOSICAO')}",
     ),
-    "AGG-32": (lambda s, d: r(governance.marginal(_supplier_matrix(s, d), FLAGS), "EXCLUSIVAS_PCT", "PERDA_PCT"), f"{FLAGS_SQL} {_marginal_sql('sm')}"),
+    "AGG-31": (
+        _global_pairs,
+        f"""{FLAGS_SQL}, pr AS ({_pairs_sql('sm', 'BANDA_EXPOSICAO')}), e AS ({_ELIGIBLE_SQL})
+SELECT BANDA_EXPOSICAO, A, B, N11, x.STATUS AS ELEGIBILIDADE_A_GLOBAL, y.STATUS AS ELEGIBILIDADE_B_GLOBAL,
+  CASE WHEN x.STATUS = 'SUFICIENTE' AND y.STATUS = 'SUFICIENTE' THEN 'SUFICIENTE' ELSE 'CAUTELA_RARIDADE' END AS DIAGNOSTICO_PAR_GLOBAL
+FROM pr JOIN e x ON A = x.FLAG JOIN e y ON B = y.FLAG""",
+    ),
+    "GOV-01": (
+        lambda s, d: governance.consolidate([_units_flagged(_supplier_matrix(s, d), "supplier"), _units_flagged(_unit_matrix(s, d), "ug")]),
+        f"""{FLAGS_SQL} SELECT 'supplier' AS MATRIZ, N_FAMILIAS, count(*) AS N, sum(F1)::BIGINT AS F1, sum(F2)::BIGINT AS F2, sum(F3)::BIGINT AS F3, sum(T08)::BIGINT AS T08, sum(T09)::BIGINT AS T09 FROM sm GROUP BY ALL
+UNION ALL SELECT 'ug', N_FAMILIAS, count(*), sum(F1)::BIGINT, sum(F2)::BIGINT, sum(F3)::BIGINT, sum(T08)::BIGINT, sum(T09)::BIGINT FROM um GROUP BY ALL""",
+    ),
+    "AGG-32": (lambda s, d: r(governance.marginal(_supplier_matrix(s, d), FLAGS), "EXCLUSIVAS_PCT", "PERDA_PCT"), f"{FLAGS_SQL} {_marginal_sql('sm', FLAGS)}"),
     "AGG-33": (
-        lambda s, d: r(governance.marginal(_unit_matrix(s, d), FLAGS, ["DECIL_EXPOSICAO"]), "EXCLUSIVAS_PCT", "PERDA_PCT"),
-        f"{FLAGS_SQL} {_marginal_sql('um', 'DECIL_EXPOSICAO')}",
+        lambda s, d: r(governance.marginal(_unit_matrix(s, d), UNIT_FLAGS, ["DECIL_EXPOSICAO"]), "EXCLUSIVAS_PCT", "PERDA_PCT"),
+        f"{FLAGS_SQL} {_marginal_sql('um', UNIT_FLAGS, 'DECIL_EXPOSICAO')}",
     ),
     "AGG-34": (
-        lambda s, d: r(governance.exposure_profile(_unit_matrix(s, d), "DECIL_EXPOSICAO", "N_OPERACOES_EFETIVAS", FLAGS), "MEDIA_EXPOSICAO", *(f"PREVALENCIA_{f}" for f in FLAGS)),
+        lambda s, d: r(governance.exposure_profile(_unit_matrix(s, d), "DECIL_EXPOSICAO", "N_OPERACOES_EFETIVAS", UNIT_FLAGS), "MEDIA_EXPOSICAO", *(f"PREVALENCIA_{f}" for f in UNIT_FLAGS)),
         f"""{FLAGS_SQL} SELECT DECIL_EXPOSICAO, count(*) AS N_UNIDADES, count(DISTINCT UG_ID) AS N_UG, median(N_OPERACOES_EFETIVAS::DOUBLE) AS MEDIANA_EXPOSICAO,
-  round(avg(N_OPERACOES_EFETIVAS::DOUBLE), 6) AS MEDIA_EXPOSICAO, round(avg(T01), 6) AS PREVALENCIA_T01, round(avg(T02), 6) AS PREVALENCIA_T02, round(avg(T03), 6) AS PREVALENCIA_T03
+  round(avg(N_OPERACOES_EFETIVAS::DOUBLE), 6) AS MEDIA_EXPOSICAO, {", ".join(f"round(avg({f}), 6) AS PREVALENCIA_{f}" for f in UNIT_FLAGS)}
 FROM um GROUP BY ALL""",
     ),
     "AGG-35": (
@@ -188,8 +277,8 @@ SELECT A, B, PHI FROM (SELECT *, row_number() OVER (PARTITION BY A ORDER BY abs(
     "SET-06": (
         lambda s, d: r(governance.square_matrix(governance.pairwise(_supplier_matrix(s, d), FLAGS), FLAGS, "JACCARD"), *FLAGS),
         f"""{FLAGS_SQL}, pr AS ({_pairs_sql('sm')}), p AS ({_pair_select()}), b AS (SELECT A, B, JACCARD AS M FROM p UNION ALL SELECT B, A, JACCARD FROM p
-  UNION ALL SELECT t, t, 1.0 FROM (VALUES ('T01'), ('T02'), ('T03')) v(t))
-SELECT A, max(M) FILTER (B = 'T01') AS T01, max(M) FILTER (B = 'T02') AS T02, max(M) FILTER (B = 'T03') AS T03 FROM b GROUP BY A""",
+  UNION ALL SELECT t, t, 1.0 FROM (VALUES {", ".join(f"('{f}')" for f in FLAGS)}) v(t))
+SELECT A, {", ".join(f"max(M) FILTER (B = '{f}') AS {f}" for f in FLAGS)} FROM b GROUP BY A""",
     ),
     "AGG-39": (
         lambda s, d: governance.convergence(_flags(s, d)),
@@ -216,12 +305,44 @@ SELECT ID_TRANSACAO, N_ESTRATO, round(N_ESTRATO / count(*) OVER (PARTITION BY UG
     "MLA-01": (lambda s, d: r(linalg.variance_inflation(_supplier_matrix(s, d), FLAGS), "R2", "VIF"), None),
     "MLA-02": (lambda s, d: r(linalg.condition_indices(_supplier_matrix(s, d), FLAGS), "AUTOVALOR", "INDICE"), None),
     "MLA-03": (lambda s, d: linalg.components(_supplier_matrix(s, d), FLAGS), None),
+    "MLA-04": (lambda s, d: r(linalg.by_stratum(_supplier_matrix(s, d), FLAGS, "BANDA_EXPOSICAO")["vif"], "R2", "VIF"), None),
     "AGG-19": (lambda s, d: r(geography.by_transaction_year(_geo(s, d)), *_GEO_ROUND), f"{GEO_SQL} SELECT * FROM geo"),
     "SET-04": (
         _long,
         f"{GEO_SQL}, u AS (UNPIVOT (SELECT ANO, UF, TOTAL_CENTAVOS::DOUBLE AS TOTAL_CENTAVOS, N_REGISTROS::DOUBLE AS N_REGISTROS, N_UG::DOUBLE AS N_UG, COMPRAS_CENTAVOS::DOUBLE AS COMPRAS_CENTAVOS FROM geo) "
         "ON TOTAL_CENTAVOS, N_REGISTROS, N_UG, COMPRAS_CENTAVOS INTO NAME METRICA VALUE VALOR_METRICA) SELECT u.*, t AS REFERENCIA_TEMPORAL FROM u CROSS JOIN (VALUES ('TRANSACAO'), ('EXTRATO')) v(t)",
     ),
+    "SRT-03": (
+        lambda s, d: geography.state_metric(_long(s, d), "TRANSACAO", 1995, "TOTAL_CENTAVOS"),
+        f"{GEO_SQL} SELECT ANO, UF, 'TRANSACAO' AS REFERENCIA_TEMPORAL, 'TOTAL_CENTAVOS' AS METRICA, TOTAL_CENTAVOS::DOUBLE AS VALOR_METRICA FROM geo WHERE ANO = 1995 ORDER BY 5 DESC, 2",
+    ),
+    "SRT-03b": (
+        lambda s, d: geography.metric_years(_long(s, d), "EXTRATO"),
+        f"{GEO_SQL} SELECT DISTINCT ANO FROM geo ORDER BY 1",
+    ),
+    "JON-09": (
+        lambda s, d: geography.units_of_state(_unit_matrix(s, d), _dimension(s, d), "sp", 1996, 50),
+        f"""{FLAGS_SQL}, {DIM_SQL} SELECT UF_UG AS UF, ANO_TRANSACAO, UG_ID, N_OPERACOES_EFETIVAS, COMPRAS_CENTAVOS, SAQUES_CENTAVOS,
+  COMPRAS_CENTAVOS + SAQUES_CENTAVOS AS TOTAL_CENTAVOS, N_TRILHAS, N_FAMILIAS FROM um JOIN dim USING (UG_ID) WHERE UF_UG = 'SP' AND ANO_TRANSACAO = 1996
+ORDER BY N_TRILHAS DESC, TOTAL_CENTAVOS DESC, UG_ID LIMIT 50""",
+    ),
+    "JON-15": (
+        lambda s, d: rules.secrecy_check(both(s, d)),
+        f"""WITH {BOTH_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY UG_ID, PORTADOR_ID, FAVORECIDO_ID, DATA_DT, TRANSACAO, VALOR_CENTAVOS) AS n
+  {_REPEATABLE} AND DATA_DT IS NOT NULL AND UG_ID IS NOT NULL AND PORTADOR_ID IS NOT NULL)
+SELECT count(*) AS N_ELEGIVEIS, count(*) FILTER (EH_SIGILOSO) AS N_ELEGIVEIS_SIGILOSOS, count(*) FILTER (n >= 2) AS N_EM_SINAIS, count(*) FILTER (n >= 2 AND EH_SIGILOSO) AS N_EM_SINAIS_SIGILOSOS FROM e""",
+    ),
+    "FLT-10": (
+        lambda s, d: primary.complete_years(_unit_matrix(s, d), (1996, 1997)).select("UG_ID", "ANO_TRANSACAO", "N_TRILHAS"),
+        f"{FLAGS_SQL} SELECT UG_ID, ANO_TRANSACAO, N_TRILHAS FROM um WHERE ANO_TRANSACAO BETWEEN 1996 AND 1997",
+    ),
+    "GOV-03": (
+        _tagged,
+        f"""WITH {BOTH_SQL}, g AS (SELECT UG_ID, FAVORECIDO_ID, DATA_DT, VALOR_CENTAVOS {_REPEATABLE} GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT PORTADOR_ID) >= 2)
+SELECT 'T02' AS TRILHA, 'F1' AS FAMILIA_EVIDENCIA, 'FATO_DETERMINISTICO' AS TIPO_EVIDENCIA, 'TRANSACAO' AS UNIDADE_PRIMARIA, TRUE AS CONVERGENCIA_NUCLEO, 'NAO_VALIDADO' AS STATUS_VALIDACAO,
+  count(*) AS N FROM stg WHERE TRANSACAO = '{model.INSTALMENT}'
+UNION ALL SELECT 'T04', 'F2', 'PADRAO_COMPORTAMENTAL', 'UG_FORNECEDOR_DATA_VALOR', TRUE, 'NAO_VALIDADO', count(*) FROM g""",
+    ),
     "JON-10": (
         lambda s, d: geography.units_without_state(lines(s, d), _dimension(s, d).filter("UF_UG <> 'SP'")),
         f"{LI}, {DIM_SQL} SELECT DISTINCT UG_ID FROM stg WHERE UG_ID NOT IN (SELECT UG_ID FROM dim WHERE UF_UG <> 'SP')",
@@ -240,8 +361,8 @@ SELECT ID_TRANSACAO, N_ESTRATO, round(N_ESTRATO / count(*) OVER (PARTITION BY UG
         f"{FLAGS_SQL} SELECT ANO_TRANSACAO, count(*) AS N_UG_ANO, sum(COMPRAS_CENTAVOS)::BIGINT AS COMPRAS_CENTAVOS, count(*) FILTER (N_TRILHAS > 0) AS N_SINALIZADAS FROM um GROUP BY ALL",
     ),
     "AGG-36c": (
-        lambda s, d: r(serving.trail_prevalence(_unit_matrix(s, d), SCOPE, FLAGS), "PREVALENCIA"),
-        f"{FLAGS_SQL} SELECT TRILHA, sum(V)::BIGINT AS N, round(avg(V), 6) AS PREVALENCIA FROM (UNPIVOT um ON T01, T02, T03 INTO NAME TRILHA VALUE V) GROUP BY ALL",
+        lambda s, d: r(serving.trail_prevalence(_unit_matrix(s, d), SCOPE), "PREVALENCIA"),
+        f"{FLAGS_SQL} SELECT TRILHA, sum(V)::BIGINT AS N, round(avg(V), 6) AS PREVALENCIA FROM (UNPIVOT um ON {', '.join(UNIT_FLAGS)} INTO NAME TRILHA VALUE V) GROUP BY ALL",
     ),
     "AGG-37": (
         lambda s, d: serving.distribution(_unit_matrix(s, d), SCOPE, "N_TRILHAS"),
