@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,17 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_co
     )
 
 
+def allowed(docs: DataFrame, accepted: Mapping[str, Collection[str]], default: Column | None = None, include_non_default: bool = False) -> DataFrame:
+    """Documents that retrieval may use: those of the accepted values in each column, and by default only default ones.
+
+    No values for a column means no filter on it; a null value is in no set, and a null default counts as false.
+    """
+    for column, values in accepted.items():
+        if values:
+            docs = docs.filter(F.col(column).cast("string").isin(sorted(values)))
+    return docs if include_non_default or default is None else docs.filter(F.coalesce(default, F.lit(False)))
+
+
 def coverage_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
     """(Q, ID, SCORE): the share of a query's terms that a document holds."""
     asked = term_frequencies(queries, query_id, query_text).select(F.col("ID").alias("Q"), "TERMO")

@@ -61,7 +61,14 @@ a AS (SELECT Q, count(*) AS c, min(POSICAO) AS p, sum(k / POSICAO::DOUBLE) AS ap
 SELECT Q, (CASE WHEN c > 0 THEN 1 ELSE 0 END)::DOUBLE AS HIT, round(coalesce(c / n::DOUBLE, 0), 6) AS RECALL, round(coalesce(1 / p::DOUBLE, 0), 6) AS MRR,
   round(coalesce(ap / least(n, 10), 0), 6) AS AP FROM asked LEFT JOIN a USING (Q)"""
 
+def _allowed(spark, d):
+    """English documents of any source; those of 200 characters or more are the default."""
+    docs = _table(spark, d, "documents")
+    return text.allowed(docs, {"lang": {"en"}, "source": ()}, F.length("text") >= 200).select("doc_id", "source")
+
+
 QUERIES = {
+    "FLT-09": (_allowed, "SELECT doc_id, source FROM documents WHERE lang = 'en' AND length(text) >= 200"),
     "TXT-01": (
         lambda s, d: text.term_frequencies(_table(s, d, "documents"), "doc_id", "text").groupBy("ID").agg(F.count(F.lit(1)).alias("N_TERMOS"), F.sum("TF").alias("N")),
         f"{TERMS_SQL} SELECT ID, count(*) AS N_TERMOS, sum(TF)::BIGINT AS N FROM tf GROUP BY ALL",

@@ -19,6 +19,23 @@ def detect_delimiter(header: str) -> str:
     return best
 
 
+# Encodings in the order of trial.
+ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin1")
+
+
+def detect_encoding(spark: SparkSession, path: str, sample_bytes: int = 100_000) -> str:
+    """The first encoding that reads the file's first bytes. A character cut at the sample's end counts as unreadable."""
+    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample_bytes).alias("_HEAD")).first()
+    head = bytes(row["_HEAD"]) if row else b""
+    for name in ENCODINGS:
+        try:
+            head.decode(name)
+        except UnicodeDecodeError:
+            continue
+        return name
+    raise ValueError(f"no known encoding reads {path}")
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     row = spark.read.text(path).limit(1).first()
     line = (row[0] if row else "").lstrip("﻿")

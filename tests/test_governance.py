@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from ledgerlight import model
-from ledgerlight.operators import geography, governance, linalg, primary, serving
+from ledgerlight.operators import geography, governance, linalg, primary, serving, text
+from ledgerlight.sources import raw
 
 
 def test_tags_come_first_and_keep_the_rows(spark):
@@ -61,6 +63,22 @@ def test_strata_equal_the_whole_of_each(spark):
     assert linalg.by_stratum(matrix.limit(0), ["A", "B"], "S")["vif"].count() == 0
 
 
+def test_encoding_is_the_first_that_reads(spark, tmp_path):
+    for name, data in (("a", "ação".encode()), ("b", "ação".encode("cp1252")), ("c", b"\x81\xe7")):
+        (tmp_path / name).write_bytes(data)
+    assert [raw.detect_encoding(spark, str(tmp_path / n)) for n in "abc"] == ["utf-8-sig", "cp1252", "latin1"]
+    assert raw.detect_encoding(spark, str(tmp_path / "a"), 2) == "cp1252"
+
+
+def test_allowed_documents(spark):
+    docs = spark.createDataFrame([(1, "x", True), (2, "y", False), (3, None, None), (4, "y", True)], "ID int, K string, D boolean")
+    ids = lambda **a: sorted(r["ID"] for r in text.allowed(docs, default=F.col("D"), **a).collect())
+    assert ids(accepted={}) == [1, 4]
+    assert ids(accepted={"K": ()}, include_non_default=True) == [1, 2, 3, 4]
+    assert ids(accepted={"K": {"y"}}) == [4]
+    assert ids(accepted={"K": {"y"}}, include_non_default=True) == [2, 4]
+
+
 def test_territory(spark):
     long = spark.createDataFrame(
         [(2020, "SP", "TRANSACAO", "M", 1.0), (2020, "AC", "TRANSACAO", "M", 1.0), (2020, "RJ", "TRANSACAO", "M", 3.0), (2021, "SP", "EXTRATO", "M", 9.0)],
