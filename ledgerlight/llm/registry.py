@@ -138,6 +138,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).drop("_row", "_first_row")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -150,6 +156,7 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_join": op10_ngram_join,
+        "op11_spelling": op11_spelling,
     }
 
 
