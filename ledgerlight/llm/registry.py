@@ -144,6 +144,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import align_texts
+    from .tokenizers_path import byte_level, path
+
+    figures, _ = align_texts(
+        read(spark, sf_dir, "documents"), *byte_level(), path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
+    )
+    return figures
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -157,6 +167,7 @@ def queries() -> dict:
         "op9_secret_scan": op9_secret_scan,
         "op10_ngram_join": op10_ngram_join,
         "op11_spelling": op11_spelling,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
