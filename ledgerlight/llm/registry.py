@@ -154,6 +154,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures
 
 
+def op13_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_forest import Forest
+
+    return Forest(read(spark, sf_dir, "embeddings"), k=20).nearest(F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -168,6 +174,7 @@ def queries() -> dict:
         "op10_ngram_join": op10_ngram_join,
         "op11_spelling": op11_spelling,
         "op12_token_alignment": op12_token_alignment,
+        "op13_vector_forest": op13_vector_forest,
     }
 
 
