@@ -111,7 +111,8 @@ def grown(x: np.ndarray, most: int, seed: int) -> Tree:
                 continue
             normal = (b - a) / length
             share = x[own] @ normal
-            offset = float(np.median(share))
+            in_order, half = np.sort(share), len(own) // 2
+            offset = float(in_order[half - 1] + in_order[half]) / 2
             right = share > offset
             if right.any():
                 name = len(offsets)
