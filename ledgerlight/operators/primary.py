@@ -61,26 +61,3 @@ def diagnostic_matrices(staged: DataFrame, outputs: Mapping[str, DataFrame], car
 def complete_years(matrix: DataFrame, years: tuple[int, int] = model.COMPLETE_YEARS) -> DataFrame:
     """Only years of which all months were published; a null year goes."""
     return matrix.filter(F.col("ANO_TRANSACAO").between(*years))
-
-
-def diagnostic_tables(supplier: DataFrame, unit: DataFrame) -> dict[str, DataFrame]:
-    """Overlap, marginal and eligibility tables of both matrices, over all rows and by exposure stratum."""
-    out = {}
-    for name, matrix, trails, families, stratum in (
-        ("supplier", supplier, model.SUPPLIER_TRAILS, ("F1", "F2", "F3"), "BANDA_EXPOSICAO"),
-        ("ug", unit, model.TRAILS, ("F1", "F2", "F3", "F4"), "DECIL_EXPOSICAO"),
-    ):
-        for kind, flags in (("trilhas", list(trails)), ("familias", list(families))):
-            eligible = governance.flag_eligibility(matrix, flags)
-            pairs = governance.pairwise(matrix, flags)
-            by_stratum = governance.pairwise(matrix, flags, [stratum])
-            out |= {
-                f"overlap_{name}_{kind}": governance.with_global_eligibility(pairs, eligible),
-                f"overlap_{name}_{kind}_estrato": governance.with_global_eligibility(by_stratum, eligible),
-                f"overlap_{name}_{kind}_jaccard": governance.square_matrix(pairs, flags, "JACCARD"),
-                f"overlap_{name}_{kind}_parceiros": governance.strongest_partner(pairs),
-                f"marginal_{name}_{kind}": governance.marginal(matrix, flags),
-                f"marginal_{name}_{kind}_estrato": governance.marginal(matrix, flags, [stratum]),
-                f"multicollinearity_{name}_{kind}_elegibilidade": eligible,
-            }
-    return out

@@ -102,13 +102,3 @@ def test_diagnostic_tables_are_whitelisted(spark):
     for name in ("staged", "overlap_y"):
         with pytest.raises(ValueError):
             serving.diagnostic_table(tables, name)
-
-
-def test_diagnostics_of_both_matrices(spark):
-    trails = {t: i % 2 for i, t in enumerate(model.TRAILS)}
-    columns = {"UG_ID": "u", **trails, "F1": 1, "F2": 1, "F3": 0, "F4": 0, "BANDA_EXPOSICAO": "1", "DECIL_EXPOSICAO": 1}
-    matrix = spark.createDataFrame([tuple(columns.values())], list(columns))
-    tables = primary.diagnostic_tables(matrix, matrix)
-    assert len(tables) == 28
-    assert tables["overlap_ug_trilhas"].count() == 21
-    assert {r["DIAGNOSTICO_PAR_GLOBAL"] for r in tables["overlap_supplier_familias"].collect()} == {"CAUTELA_RARIDADE"}
