@@ -101,22 +101,6 @@ def compare_identities(staged: DataFrame, cards: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def calibration_grid(candidates: DataFrame, least: list[int], cards: list[int], max_cv: list[float]) -> DataFrame:
-    """Supplier-years and value that meet each combination of thresholds, by their strongest window in it."""
-    grid = F.explode(
-        F.array(*(F.struct(F.lit(n).alias("MIN_N"), F.lit(c).alias("MIN_P"), F.lit(v).alias("MAX_CV")) for n in least for c in cards for v in max_cv))
-    )
-    met = candidates.withColumn("g", grid).filter(
-        (F.col("N") >= F.col("g.MIN_N")) & (F.col("N_PORTADORES") >= F.col("g.MIN_P")) & (F.col("CV") <= F.col("g.MAX_CV"))
-    )
-    keys = ["UG_ID", "FAVORECIDO_ID", "ANO_TRANSACAO"]
-    best = Window.partitionBy("g", *keys).orderBy(F.desc("N"), F.desc("N_PORTADORES"), "CV", F.desc("TOTAL_CENTAVOS"), "INICIO")
-    one = met.withColumn("_RN", F.row_number().over(best)).filter("_RN = 1")
-    return one.groupBy("g").agg(
-        F.count(F.lit(1)).alias("N_GRUPOS"), F.sum("TOTAL_CENTAVOS").alias("TOTAL_CENTAVOS"), F.avg("N").alias("MEDIA_N")
-    ).select("g.*", "N_GRUPOS", "TOTAL_CENTAVOS", "MEDIA_N")
-
-
 def master_signals(tables: dict[str, tuple[DataFrame, str, dict[str, Column]]]) -> DataFrame:
     """All signals under one contract; the evidence is a JSON object of named columns."""
     parts = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import exprs as x
+from . import windows
 
 CARD = "PORTADOR_ID"
 UNIT_YEAR = ["UG_ID", "ANO_TRANSACAO"]
@@ -190,64 +191,12 @@ def recurrence_windows(
     max_cv: float = 0.20,
     tolerance: float = 0.20,
 ) -> DataFrame:
-    """One row per anchor date that meets the conditions over [date, date + days].
-
-    Counts and moments come first, over a range frame; only surviving anchors are
-    joined back to collect values for quantiles and distinct cardholders.
-    """
-    keys = ["UG_ID", "FAVORECIDO_ID", "ANO_TRANSACAO"]
-    rows = staged.filter(
-        x.true("EH_COMPRA_NACIONAL")
-        & (F.col("VALOR_CENTAVOS") > 0)
-        & _known("DATA_DT", "UG_ID", "ANO_TRANSACAO", card)
-        & x.true("FAVORECIDO_IDENTIFICADO")
-    ).select(*keys, F.col(card).alias("_CARD"), F.unix_date("DATA_DT").alias("_DAY"), F.col("VALOR_CENTAVOS").alias("_V"))
-    group = Window.partitionBy(*keys)
-    frame = group.orderBy("_DAY").rangeBetween(0, days)
-    value = F.col("_V").cast("double")
-    anchors = (
-        rows.withColumn("_N_GROUP", F.count(F.lit(1)).over(group))
-        .filter(F.col("_N_GROUP") >= least)
-        .withColumn("N", F.count(F.lit(1)).over(frame))
-        .withColumn("_CV", F.stddev_pop(value).over(frame) / F.avg(value).over(frame))
-        .filter((F.col("N") >= least) & (F.col("_CV") <= max_cv))
-        .select(*keys, F.col("_DAY").alias("_START"))
-        .distinct()
-    )
-    inside = anchors.join(rows, keys).filter(F.col("_DAY").between(F.col("_START"), F.col("_START") + days))
-    stats = (
-        inside.groupBy(*keys, "_START")
-        .agg(
-            F.count(F.lit(1)).alias("N"),
-            F.count_distinct("_CARD").alias("N_PORTADORES"),
-            F.max("_DAY").alias("_END"),
-            F.sum("_V").alias("TOTAL_CENTAVOS"),
-            F.min("_V").alias("MIN_CENTAVOS"),
-            F.max("_V").alias("MAX_CENTAVOS"),
-            (F.stddev_pop(value) / F.avg(value)).alias("CV"),
-            F.median(value).alias("MEDIANA"),
-            F.percentile(value, 0.25).alias("Q1"),
-            F.percentile(value, 0.75).alias("Q3"),
-            F.collect_list(value).alias("_VALUES"),
-        )
-        .filter(F.col("N_PORTADORES") >= cards)
-    )
-    near = F.size(F.filter("_VALUES", lambda v: F.abs(v - F.col("MEDIANA")) <= tolerance * F.col("MEDIANA")))
-    return stats.select(
-        *keys,
-        F.date_from_unix_date("_START").alias("INICIO"),
-        F.date_from_unix_date("_END").alias("FIM"),
-        "N",
-        "N_PORTADORES",
-        "TOTAL_CENTAVOS",
-        "MIN_CENTAVOS",
-        "MAX_CENTAVOS",
-        "CV",
-        "MEDIANA",
-        "Q1",
-        "Q3",
-        (F.col("Q3") - F.col("Q1")).alias("IQR"),
-        (near / F.col("N")).cast("double").alias("SHARE_MEDIANA"),
+    """One row per anchor date that meets the conditions over [date, date + days]."""
+    rows = windows.recurring_purchases(staged, card)
+    metrics = windows.window_metrics(rows, [days]).drop("JANELA_DIAS")
+    kept = metrics.filter((F.col("N") >= least) & (F.col("N_PORTADORES") >= cards) & (F.col("CV") <= max_cv))
+    return windows.with_quantiles(kept, rows, days, tolerance).select(
+        *windows.KEYS, "INICIO", "FIM", "N", "N_PORTADORES", "TOTAL_CENTAVOS", "MIN_CENTAVOS", "MAX_CENTAVOS", "CV", "MEDIANA", "Q1", "Q3", "IQR", "SHARE_MEDIANA"
     )
 
 
@@ -283,13 +232,12 @@ def recurrence_episodes(candidates: DataFrame, reinforced_cv: float = 0.10, robu
     )
 
 
-def recurrence_rows(staged: DataFrame, episodes: DataFrame, card: str = CARD) -> DataFrame:
-    keys = ["UG_ID", "FAVORECIDO_ID", "ANO_TRANSACAO"]
+def recurrence_rows(staged: DataFrame, episodes: DataFrame, card: str = CARD, days: int = 30) -> DataFrame:
+    """The purchases of each episode. ``days``, the windows' length, is the width of the buckets that are joined."""
     rows = staged.filter(
         x.true("EH_COMPRA_NACIONAL") & (F.col("VALOR_CENTAVOS") > 0) & _known("DATA_DT", card) & x.true("FAVORECIDO_IDENTIFICADO")
-    )
-    joined = rows.join(episodes.select(*keys, "INICIO", "FIM", "ID_EPISODIO"), keys)
-    return joined.filter(F.col("DATA_DT").between(F.col("INICIO"), F.col("FIM"))).select("ID_EPISODIO", "ID_TRANSACAO")
+    ).select(*windows.KEYS, F.unix_date("DATA_DT").alias("_DAY"), "ID_TRANSACAO")
+    return windows.inside(episodes.select(*windows.KEYS, "INICIO", "FIM", "ID_EPISODIO"), rows, "_DAY", days + 1).select("ID_EPISODIO", "ID_TRANSACAO")
 
 
 # T06: concentration

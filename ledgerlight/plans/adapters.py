@@ -72,8 +72,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events: ten units, users as cardholders, seven suppliers, rounded amounts."""
+def events(spark: SparkSession, sf_dir: str, base: int = 0) -> DataFrame:
+    """Events: ten units, users as cardholders, seven suppliers, rounded amounts on top of ``base`` cents."""
     e = _table(spark, sf_dir, "events")
     supplier = F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 7).cast("string"))
     return _flags(
@@ -83,7 +83,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("user_id").cast("string").alias("PORTADOR_ID"),
             supplier.alias("FAVORECIDO_ID"),
             F.to_date("ts").alias("DATA_DT"),
-            ((F.floor(F.col("value") / 10) + 1) * 1000).cast("bigint").alias("VALOR_CENTAVOS"),
+            (base + (F.floor(F.col("value") / 10) + 1) * 1000).cast("bigint").alias("VALOR_CENTAVOS"),
             _mapped(F.col("event_type"), EVENT_CODES).alias("TRANSAÇÃO"),
         )
     )
@@ -157,6 +157,10 @@ EVENTS_SQL = f"""base AS (
   FROM events
 ), stg AS ({_FLAGS_SQL})"""
 
+#: Cents that make the events' amounts alike.
+STEADY = 50_000
+STEADY_SQL = EVENTS_SQL.replace("((floor(value / 10) + 1) * 1000)", f"({STEADY} + (floor(value / 10) + 1) * 1000)")
+
 #: The fact ``stg`` from both.
 BOTH_SQL = f"""stg AS (SELECT * FROM (WITH {LINES_SQL} SELECT * FROM stg) UNION ALL BY NAME SELECT * FROM (WITH {EVENTS_SQL} SELECT * FROM stg))"""
 

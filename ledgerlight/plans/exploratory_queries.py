@@ -6,16 +6,33 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import exploratory as ex
-from ..operators import rules
-from .adapters import _table, events, lines
-from .rule_queries import EV, LI, T05_SQL, T07_SQL, _t05, r
+from ..operators import rules, windows
+from .adapters import BOTH_SQL, _table, both, events, lines
+from .rule_queries import EV, LI, T07_SQL, r
 
 _DIST = ["MEDIA", "MEDIANA", "DESVIO", "ASSIMETRIA", "P99", "SHARE_INTEIROS", "SHARE_DEZENAS"]
 CASCADE = [("A", ["thion", "erat"]), ("B", ["\\bde\\b"]), ("C", ["\\bder\\b|\\bdie\\b"])]
 
 
 def _grid(spark, d):
-    return r(ex.calibration_grid(_t05(spark, d), [5, 6], [2, 3], [0.4, 0.6]), "MEDIA_N")
+    rows = windows.recurring_purchases(both(spark, d), "PORTADOR_ID")
+    return r(windows.calibration_grid(windows.window_metrics(rows, windows.LENGTHS)), "VALOR_REPRESENTATIVO", "CV_MEDIO", "CV_MEDIANO")
+
+
+def _values(values) -> str:
+    return ", ".join(f"({v})" for v in values)
+
+
+GRID_SQL = f"""WITH {BOTH_SQL}, e AS (SELECT UG_ID, FAVORECIDO_ID, ANO_TRANSACAO, PORTADOR_ID, DATA_DT, VALOR_CENTAVOS AS V FROM stg
+  WHERE EH_COMPRA_NACIONAL AND VALOR_CENTAVOS > 0 AND FAVORECIDO_IDENTIFICADO AND DATA_DT IS NOT NULL AND PORTADOR_ID IS NOT NULL),
+a AS (SELECT DISTINCT UG_ID, FAVORECIDO_ID, ANO_TRANSACAO, DATA_DT AS INICIO, w FROM e CROSS JOIN (VALUES {_values(windows.LENGTHS)}) l(w)),
+m AS (SELECT UG_ID, FAVORECIDO_ID, ANO_TRANSACAO, INICIO, w, count(*) AS K, count(DISTINCT PORTADOR_ID) AS Q, sum(V)::BIGINT AS T, stddev_pop(V::DOUBLE) / avg(V::DOUBLE) AS CV
+  FROM a JOIN e USING (UG_ID, FAVORECIDO_ID, ANO_TRANSACAO) WHERE DATA_DT BETWEEN INICIO AND INICIO + to_days(w::INT) GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT PORTADOR_ID) >= 2),
+g AS (SELECT w, n, p, c::DOUBLE AS c FROM (VALUES {_values(windows.LENGTHS)}) x(w), (VALUES {_values(windows.PURCHASES)}) y(n), (VALUES {_values(windows.CARDS)}) z(p), (VALUES {_values(windows.VARIATIONS)}) v(c)),
+b AS (SELECT g.*, m.* EXCLUDE (w), row_number() OVER (PARTITION BY g.w, g.n, g.p, g.c, UG_ID, FAVORECIDO_ID, ANO_TRANSACAO ORDER BY K DESC, Q DESC, CV, T DESC, INICIO) AS rn
+  FROM g JOIN m ON g.w = m.w AND K >= g.n AND Q >= g.p AND CV <= g.c)
+SELECT g.w AS JANELA_DIAS, g.n AS MIN_N, g.p AS MIN_P, g.c AS MAX_CV, count(b.UG_ID) AS N_GRUPOS, sum(K)::BIGINT AS TRANSACOES_REPRESENTATIVAS, round(sum(T) / 100.0, 6) AS VALOR_REPRESENTATIVO,
+  round(avg(CV), 6) AS CV_MEDIO, round(median(CV), 6) AS CV_MEDIANO FROM g LEFT JOIN (SELECT w, n, p, c, K, T, CV, UG_ID FROM b WHERE rn = 1) b USING (w, n, p, c) GROUP BY ALL"""
 
 
 def _signals(spark, d):
@@ -99,13 +116,7 @@ SELECT IDENTIDADE, 'T03' AS TRILHA, (SELECT count(*) FROM t3 WHERE t3.IDENTIDADE
 UNION ALL SELECT IDENTIDADE, 'T04', (SELECT count(*) FROM t4 WHERE t4.IDENTIDADE = lab.IDENTIDADE) FROM lab
 UNION ALL SELECT IDENTIDADE, 'T07', (SELECT count(*) FROM t7 WHERE t7.IDENTIDADE = lab.IDENTIDADE) FROM lab""",
     ),
-    "GOV-07": (
-        _grid,
-        f"""{T05_SQL}, gr AS (SELECT a AS MIN_N, b AS MIN_P, c::DOUBLE AS MAX_CV FROM (VALUES (5), (6)) x(a), (VALUES (2), (3)) y(b), (VALUES (0.4), (0.6)) z(c)),
-w AS (SELECT *, row_number() OVER (PARTITION BY MIN_N, MIN_P, MAX_CV, UG_ID, FAVORECIDO_ID, ANO_TRANSACAO ORDER BY N DESC, N_PORTADORES DESC, CV, TOTAL_CENTAVOS DESC, INICIO) AS rn
-  FROM cand CROSS JOIN gr WHERE N >= MIN_N AND N_PORTADORES >= MIN_P AND CV <= MAX_CV)
-SELECT MIN_N, MIN_P, MAX_CV, count(*) AS N_GRUPOS, sum(TOTAL_CENTAVOS)::BIGINT AS TOTAL_CENTAVOS, round(avg(N), 6) AS MEDIA_N FROM w WHERE rn = 1 GROUP BY ALL""",
-    ),
+    "GOV-07": (_grid, GRID_SQL),
     "SET-10": (
         _signals,
         f"""{T07_SQL}, {T04_SQL} SELECT 'T07' AS TRILHA, CASE WHEN N >= 3 THEN 'REFORCADO' ELSE 'ATENCAO' END AS NIVEL, UG_ID, ANO_TRANSACAO AS ANO,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as x
 from ..operators import benford, rules, staging
-from .adapters import EVENTS_SQL, LIMITS_SQL, LINES_SQL, TEST_LIMITS, _table, events, lines, raw_lines
+from .adapters import EVENTS_SQL, LIMITS_SQL, LINES_SQL, STEADY, STEADY_SQL, TEST_LIMITS, _table, events, lines, raw_lines
 
 LI, EV = f"WITH {LINES_SQL}", f"WITH {EVENTS_SQL}"
 
@@ -312,6 +312,10 @@ SELECT CASE WHEN P >= 5 THEN 'MUITO_ELEVADO' WHEN P >= 3 THEN 'ELEVADO' ELSE 'AT
         lambda s, d: r(_t05(s, d), "CV", "MEDIANA", "Q1", "Q3", "IQR", "SHARE_MEDIANA"),
         f"{T05_SQL} SELECT {_T05_COLUMNS} FROM cand",
     ),
+    "WIN-06b": (
+        lambda s, d: r(rules.recurrence_windows(events(s, d, STEADY)), "CV", "MEDIANA", "Q1", "Q3", "IQR", "SHARE_MEDIANA"),
+        f"{T05_SQL.replace(EV, f'WITH {STEADY_SQL}', 1).replace('INTERVAL 3 DAY', 'INTERVAL 30 DAY').replace('CV <= 0.6', 'CV <= 0.2')} SELECT {_T05_COLUMNS} FROM cand",
+    ),
     "WIN-07": (_t05_episodes, T05_EPISODES_SQL),
     "JON-02": (
         lambda s, d: rules.recurrence_rows(events(s, d), rules.recurrence_episodes(_t05(s, d))).groupBy("ID_TRANSACAO").agg(F.count(F.lit(1)).alias("N")),
