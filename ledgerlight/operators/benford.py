@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as x
+from ..functions import ranks
 from .rules import UNIT_YEAR, _national
 
 # Limits of the mean absolute deviation and their labels.
@@ -97,14 +98,8 @@ def unit_year_indicators(staged: DataFrame, least: int = 300) -> DataFrame:
 def rank_units(indicators: DataFrame, formal: int, years: tuple[int, int], comparable: int = 10) -> DataFrame:
     """Units of formal size with average-rank percentile and the year's P90."""
     rows = indicators.filter((F.col("N_D2") >= formal) & F.col("ANO_TRANSACAO").between(*years) & F.col("MAD_D2").isNotNull())
-    year = Window.partitionBy("ANO_TRANSACAO")
-    ranked = rows.withColumns(
-        {
-            "N_COMPARAVEIS": F.count(F.lit(1)).over(year),
-            "PERCENTIL_MAD": x.average_rank_percentile("MAD_D2", ["ANO_TRANSACAO"]),
-            "P90_MAD": F.percentile("MAD_D2", 0.9).over(year),
-        }
-    )
+    limits = rows.groupBy("ANO_TRANSACAO").agg(F.count(F.lit(1)).alias("N_COMPARAVEIS"), F.percentile("MAD_D2", 0.9).alias("P90_MAD"))
+    ranked = ranks.with_average_rank(rows, "MAD_D2", ["ANO_TRANSACAO"], "PERCENTIL_MAD").join(limits, "ANO_TRANSACAO")
     valid = F.col("N_COMPARAVEIS") >= comparable
     return ranked.withColumns(
         {"ANO_VALIDO": valid, "TOP_DECIL": valid & (F.col("MAD_D2") >= F.col("P90_MAD")), "NAO_CONFORME": F.col("MAD_D2") > 0.0022}

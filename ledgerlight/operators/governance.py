@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import exprs as x
+from ..functions import ranks
 from .rules import CARD, UNIT_YEAR
 
 SUPPLIER_YEAR = ["UG_ID", "FAVORECIDO_ID", "ANO_TRANSACAO"]
@@ -64,8 +65,7 @@ def with_bands(universe: DataFrame, column: str = "N_COMPRAS_FORNECEDOR") -> Dat
 
 
 def with_deciles(universe: DataFrame, column: str = "N_OPERACOES_EFETIVAS", by: str = "ANO_TRANSACAO") -> DataFrame:
-    share = x.average_rank_percentile(column, [by])
-    return universe.withColumn("PERCENTIL_EXPOSICAO", share).withColumn(
+    return ranks.with_average_rank(universe, column, [by], "PERCENTIL_EXPOSICAO").withColumn(
         "DECIL_EXPOSICAO", F.least(F.greatest(F.ceil(F.col("PERCENTIL_EXPOSICAO") * 10), F.lit(1)), F.lit(10)).cast("int")
     )
 

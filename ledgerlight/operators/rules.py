@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import exprs as x
+from ..functions import ranks
 from . import windows
 
 CARD = "PORTADOR_ID"
@@ -43,13 +44,8 @@ def weekend_recurrence(staged: DataFrame, card: str = CARD) -> DataFrame:
         )
         .filter("N_FIM_SEMANA > 0")
     )
-    by_year = Window.partitionBy("ANO_TRANSACAO").orderBy("N_DIAS_FIM_SEMANA")
-    return grouped.withColumns(
-        {
-            "SHARE_FIM_SEMANA": x.ratio(F.col("N_FIM_SEMANA"), F.col("N_COMPRAS")),
-            "PERCENT_RANK_ANO": F.percent_rank().over(by_year),
-        }
-    )
+    shared = grouped.withColumn("SHARE_FIM_SEMANA", x.ratio(F.col("N_FIM_SEMANA"), F.col("N_COMPRAS")))
+    return ranks.with_percent_rank(shared, "N_DIAS_FIM_SEMANA", ["ANO_TRANSACAO"], "PERCENT_RANK_ANO")
 
 
 def summarize_by_year(signals: DataFrame) -> DataFrame:
@@ -218,7 +214,7 @@ def strongest_windows(candidates: DataFrame) -> DataFrame:
 def recurrence_episodes(candidates: DataFrame, reinforced_cv: float = 0.10, robust: float = 0.80) -> DataFrame:
     """The strongest windows with level, materiality by yearly percentile of value, and id."""
     chosen = strongest_windows(candidates)
-    ranked = chosen.withColumn("PERCENTIL_VALOR_ANO", x.average_rank_percentile("TOTAL_CENTAVOS", ["ANO_TRANSACAO"]))
+    ranked = ranks.with_average_rank(chosen, "TOTAL_CENTAVOS", ["ANO_TRANSACAO"], "PERCENTIL_VALOR_ANO")
     band = F.when(F.col("PERCENTIL_VALOR_ANO") >= 0.90, "ELEVADA").when(F.col("PERCENTIL_VALOR_ANO") >= 0.75, "MODERADA")
     return ranked.withColumns(
         {
@@ -352,9 +348,9 @@ def withdrawal_recurrence(
     limits = yearly.groupBy("ANO_TRANSACAO").agg(
         F.count(F.lit(1)).alias("N_COMPARAVEIS"), F.percentile(F.col("N_DIAS").cast("double"), quantile).alias("P90_DIAS")
     )
-    rank = F.percent_rank().over(Window.partitionBy("ANO_TRANSACAO").orderBy("N_DIAS"))
     first = (F.col("N_DIAS") >= days) & (F.col("N_COMPARAVEIS") >= comparable) & (F.col("N_DIAS") >= F.col("P90_DIAS"))
-    return yearly.withColumn("PERCENT_RANK_ANO", rank).join(limits, "ANO_TRANSACAO").withColumn("PRIORITARIO", first)
+    ranked = ranks.with_percent_rank(yearly, "N_DIAS", ["ANO_TRANSACAO"], "PERCENT_RANK_ANO")
+    return ranked.join(limits, "ANO_TRANSACAO").withColumn("PRIORITARIO", first)
 
 
 def withdrawal_signals(recurrence: DataFrame, card: str = CARD) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import model
 from ledgerlight.functions import exprs as x
+from ledgerlight.functions import ranks
 from ledgerlight.operators import benford, governance, rules, staging
 from ledgerlight.sources import raw, sinks
 
@@ -51,7 +52,7 @@ def test_limits(spark):
 
 def test_id_text_and_percentile(spark):
     df = spark.createDataFrame([(0.1,), (0.25,), (0.25,), (1.0,)], "v double").withColumn("g", F.lit(1))
-    got = df.select(x.number_text(F.col("v")), x.average_rank_percentile("v", ["g"])).collect()
+    got = ranks.with_average_rank(df, "v", ["g"], "p").select(x.number_text(F.col("v")), "p").collect()
     assert sorted(map(tuple, got)) == [("0.1", 0.25), ("0.25", 0.625), ("0.25", 0.625), ("1.0", 1.0)]
 
 
