@@ -8,9 +8,11 @@ from itertools import combinations, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import patterns, primary
-from .governance_queries import FLAGS, FLAGS_SQL, UNIT_FLAGS, _supplier_matrix, _unit_matrix
-from .rule_queries import r
+from .. import model
+from ..operators import linalg, patterns, primary, rules, sensitivity
+from .adapters import BOTH_SQL, TEST_LIMITS, both
+from .governance_queries import _REPEATABLE, _TRAILS_SQL, FLAGS, FLAGS_SQL, SETTINGS, UNIT_FLAGS, _body, _supplier_matrix, _unit_matrix
+from .rule_queries import EV, LI, T05_EPISODES_SQL, T06_SQL, T07_SQL, T09_SQL, _benford_sql, r
 
 #: The test tables' years that count as complete.
 YEARS = (1993, 1997)
@@ -140,3 +142,77 @@ FROM ps LEFT JOIN (SELECT CUBO, CORTE, FLAG, v FROM el JOIN vif USING (CUBO, COR
     "PIP-04-components": (lambda s, d: _all(s, d, lambda c, by: patterns.components(c, by)[0]), None),
     "PIP-04-loadings": (lambda s, d: _all(s, d, lambda c, by: patterns.components(c, by)[1]), None),
 }
+
+# Inflation straight from a matrix: the same inverse in SQL
+
+_SUPPLIER = {"all": ("sm", FLAGS, "BANDA_EXPOSICAO")}
+_INFLATION = """, fl AS (SELECT CUBO, CORTE, FLAG, k >= 30 AND n - k >= 30 AS ok, count(*) FILTER (k >= 30 AND n - k >= 30) OVER (PARTITION BY CUBO, CORTE) AS ms FROM po),
+fv AS (SELECT CORTE, FLAG, CASE WHEN ok AND ms > 1 THEN 'ELEGIVEL' ELSE 'INELEGIVEL' END AS STATUS, CASE WHEN ms > 1 THEN round(1 - 1 / v, 6) END AS R2, CASE WHEN ms > 1 THEN round(v, 6) END AS VIF
+  FROM fl LEFT JOIN (SELECT CUBO, CORTE, FLAG, v FROM el JOIN vif USING (CUBO, CORTE, i)) USING (CUBO, CORTE, FLAG))"""
+QUERIES["MLA-01"] = (
+    lambda s, d: r(linalg.variance_inflation(_supplier_matrix(s, d), FLAGS), "R2", "VIF"),
+    f"{inverse_sql(FLAGS_SQL, _SUPPLIER)}{_INFLATION} SELECT FLAG, STATUS, R2, VIF FROM fv WHERE CORTE = ''",
+)
+QUERIES["MLA-04"] = (
+    lambda s, d: r(linalg.by_stratum(_supplier_matrix(s, d), FLAGS, "BANDA_EXPOSICAO")["vif"], "R2", "VIF"),
+    f"{inverse_sql(FLAGS_SQL, _SUPPLIER)}{_INFLATION} SELECT 'BANDA_EXPOSICAO' AS RECORTE_COLUNA, CORTE AS RECORTE_VALOR, FLAG, STATUS, R2, VIF FROM fv WHERE CORTE <> ''",
+)
+
+# The sensitivity contract over both facts
+
+_SCENARIOS = {**sensitivity.THRESHOLDS, "T06": (0.03, 0.05, 0.10, 0.15)}
+
+
+def _contract(spark, d):
+    staged = both(spark, d)
+    return r(sensitivity.contract(staged, rules.limits_table(spark, TEST_LIMITS), settings=SETTINGS, thresholds=_SCENARIOS), "VALOR_METRICA_SECUNDARIA")
+
+
+def _one(trail, value, n, control="EXPERIMENTAL", baseline="FALSE", total=None, second="NULL", other="NULL", source="") -> str:
+    parameter, metric, unit = sensitivity.CONTRACT[trail]
+    comparable = control != "DIAGNOSTICO_NAO_PARAMETRO"
+    return (
+        f"SELECT '{trail}' AS TRILHA, '{parameter}' AS PARAMETRO, {value} AS VALOR_CENARIO, '{metric}' AS METRICA, '{unit}' AS UNIDADE_CONTAGEM, ({n})::BIGINT AS VALOR_METRICA, "
+        f"{second}::VARCHAR AS METRICA_SECUNDARIA, round(({other})::DOUBLE, 6) AS VALOR_METRICA_SECUNDARIA, ({total or n})::BIGINT AS N_SINAIS_TOTAL_CENARIO, "
+        f"{comparable} AS COMPARAVEL_COM_BASELINE, '{control}' AS TIPO_CONTROLE, {baseline} AS BASELINE {source}"
+    )
+
+
+def _contract_sql() -> str:
+    text = sensitivity._text
+    t05 = T05_EPISODES_SQL.rpartition("\nSELECT")[0]
+    scenarios = [
+        _one("T01", "'SABADO_DOMINGO'", "SELECT count(*) FROM t01", "BLOQUEADO", "TRUE"),
+        _one("T02", f"'{model.INSTALMENT}'", "SELECT count(*) FROM t02", "BLOQUEADO", "TRUE"),
+        _one("T05", "'3d|N>=5|port>=2|CV<=0.60'", "SELECT n FROM e5", "BASELINE_METODOLOGICA", "TRUE"),
+    ]
+    for trail, source, usual in (("T03", "g3", 2), ("T04", "g4", 2), ("T06", "g6", 0.05)):
+        scenarios += [_one(trail, f"'{text(t)}'", f"SELECT count(*) FROM {source} WHERE v >= {t}", baseline=str(t == usual)) for t in _SCENARIOS[trail]]
+    for days, q in product(_SCENARIOS["T07_DIAS"], _SCENARIOS["T07_PERCENTIS"]):
+        limit = f"SELECT ANO_TRANSACAO, quantile_cont(N_DIAS::DOUBLE, {q}) AS lim FROM g7 GROUP BY ALL HAVING count(*) >= 10"
+        n = f"SELECT count(*) FROM g7 JOIN ({limit}) USING (ANO_TRANSACAO) WHERE N_DIAS >= {days} AND N_DIAS >= lim"
+        scenarios.append(_one("T07", f"'{days}|{q:.2f}'", n, baseline=str((days, q) == (3, 0.9))))
+    scenarios.append(
+        _one("T08", "CENARIO", "N_D2", "DIAGNOSTICO_NAO_PARAMETRO", "CENARIO = 'A_TODOS_GE10'", "NULL", "'MAD_D12'", "MAD_D2", "FROM g8")
+    )
+    for near in _SCENARIOS["T09"]:
+        close = f"SELECT count(*) FROM g9 WHERE NOT fixed AND v >= {near}"
+        held = "SELECT count(*) FROM g9 WHERE fixed"
+        scenarios.append(_one("T09", f"'{near:.2f}'", close, baseline=str(near == 0.9), total=f"({close}) + ({held})", second="'N_FIXOS_NO_LIMITE_OU_ACIMA'", other=held))
+    kinds = ", ".join(f"('{name}', {cents})" for name, cents in sensitivity.POPULATIONS.items())
+    counts = " UNION ALL ".join(f"SELECT 'T0{i}' AS TRILHA, count(*) AS N_SINAIS_BASELINE FROM t0{i}" for i in range(1, 10) if i != 5)
+    return f"""WITH {BOTH_SQL}, {_TRAILS_SQL},
+e5 AS (SELECT count(*) AS n FROM (WITH {_body(t05, EV)} SELECT * FROM ranked)),
+g3 AS (SELECT count(*) AS v {_REPEATABLE} GROUP BY UG_ID, PORTADOR_ID, FAVORECIDO_ID, DATA_DT, TRANSACAO, VALOR_CENTAVOS HAVING count(*) >= 2),
+g4 AS (SELECT count(DISTINCT PORTADOR_ID) AS v {_REPEATABLE} GROUP BY UG_ID, FAVORECIDO_ID, DATA_DT, VALOR_CENTAVOS HAVING count(*) >= 2 AND count(DISTINCT PORTADOR_ID) >= 2),
+g6 AS (WITH {_body(T06_SQL, LI)} SELECT TOP1_SHARE_VALOR AS v FROM ind WHERE N_COMPRAS >= 20 AND N_FORNECEDORES >= 3 AND COBERTURA >= 0.8),
+g7 AS (WITH {_body(T07_SQL, EV)} SELECT ANO_TRANSACAO, N_DIAS FROM yearly),
+g8 AS (WITH rows AS (SELECT s.CENARIO, VALOR_CENTAVOS FROM stg CROSS JOIN (VALUES {kinds}) s(CENARIO, m)
+  WHERE EH_COMPRA_NACIONAL AND VALOR_CENTAVOS > 0 AND (m = 0 OR VALOR_CENTAVOS % nullif(m, 0) <> 0)), {_benford_sql(2, "CENARIO")} SELECT CENARIO, N_D2, MAD_D2 FROM m2),
+g9 AS (WITH {_body(T09_SQL, LI)} SELECT greatest(VALOR_CENTAVOS::DOUBLE / LIMITE_COMPRAS, VALOR_CENTAVOS::DOUBLE / LIMITE_ENGENHARIA) AS v,
+  C IN ('NO_LIMITE', 'ACIMA_LIMITE') OR E IN ('NO_LIMITE', 'ACIMA_LIMITE') AS fixed FROM cls),
+bl AS ({counts} UNION ALL SELECT 'T05', n FROM e5)
+SELECT *, CASE WHEN COMPARAVEL_COM_BASELINE THEN N_SINAIS_TOTAL_CENARIO - N_SINAIS_BASELINE END AS VARIACAO_SINAIS_N FROM ({" UNION ALL ".join(scenarios)}) JOIN bl USING (TRILHA)"""
+
+
+QUERIES["GOV-06-contract"] = (_contract, _contract_sql())

@@ -302,10 +302,8 @@ p AS (SELECT *, count(*) OVER (PARTITION BY UG_ID, TRANSACAO) AS N_ESTRATO, row_
 q AS (SELECT *, row_number() OVER (PARTITION BY UG_ID ORDER BY pl, TRANSACAO) AS tn FROM p WHERE pl <= 30)
 SELECT ID_TRANSACAO, N_ESTRATO, round(N_ESTRATO / count(*) OVER (PARTITION BY UG_ID, TRANSACAO)::DOUBLE, 6) AS PESO FROM q WHERE tn <= 30""",
     ),
-    "MLA-01": (lambda s, d: r(linalg.variance_inflation(_supplier_matrix(s, d), FLAGS), "R2", "VIF"), None),
     "MLA-02": (lambda s, d: r(linalg.condition_indices(_supplier_matrix(s, d), FLAGS), "AUTOVALOR", "INDICE"), None),
     "MLA-03": (lambda s, d: linalg.components(_supplier_matrix(s, d), FLAGS), None),
-    "MLA-04": (lambda s, d: r(linalg.by_stratum(_supplier_matrix(s, d), FLAGS, "BANDA_EXPOSICAO")["vif"], "R2", "VIF"), None),
     "AGG-19": (lambda s, d: r(geography.by_transaction_year(_geo(s, d)), *_GEO_ROUND), f"{GEO_SQL} SELECT * FROM geo"),
     "SET-04": (
         _long,
