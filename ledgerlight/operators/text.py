@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_right
 from collections.abc import Collection, Iterator, Mapping
 
 import numpy as np
@@ -165,39 +167,68 @@ def retrieval_measures(ranking: DataFrame, gold: DataFrame, k: int) -> DataFrame
     )
 
 
-def _windows(text: str, most: int, overlap: int) -> Iterator[str]:
-    at = 0
-    while at < len(text):
-        end = min(at + most, len(text))
-        if end < len(text):
-            for mark in ("\n\n", ". "):
-                cut = text.rfind(mark, at + most // 2, end)
-                if cut > 0:
-                    end = cut + len(mark)
-                    break
-        if piece := text[at:end].strip():
-            yield piece
-        if end == len(text):
-            return
-        at = max(end - overlap, at + 1)
+def _last_between(places: list[int], low: int, high: int) -> int | None:
+    """The greatest of the sorted places above ``low`` and up to ``high``."""
+    at = bisect_right(places, high) - 1
+    return places[at] if at >= 0 and places[at] > low else None
 
 
-def split_documents(docs: DataFrame, id_col="doc_id", text_col="text", most: int = 1800, overlap: int = 180) -> DataFrame:
-    """(ID, PARTE, CHUNK_ID, TEXTO): overlapping windows that end at paragraphs or sentences where they can."""
+def spans(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a text.
+
+    A piece that isn't the last ends before the last paragraph mark in its further half, else behind the last full stop there, else after ``most`` characters.
+    The next one starts ``overlap`` characters before that end.
+    """
+    if len(text) <= most:
+        return [(0, len(text))]
+    paragraphs, stops = ([m.start() for m in re.finditer(mark, text)] for mark in ("(?=\n\n)", r"\. "))
+    out, start = [], 0
+    while start + most < len(text):
+        middle, last = start + most // 2, start + most - 2  # both marks have two characters
+        cut = _last_between(paragraphs, middle, last)
+        if cut is None and (stop := _last_between(stops, middle, last)) is not None:
+            cut = stop + 1
+        end = start + most if cut is None else cut
+        out.append((start, end))
+        start = max(end - overlap, start + 1)
+    return [*out, (start, len(text))]
+
+
+def split_documents(
+    docs: DataFrame, id_col="doc_id", text_col="text", most: int = 1800, overlap: int = 180, page_col: str | None = None, keep: Collection[str] = ()
+) -> DataFrame:
+    """(ID, PARTE, CHUNK_ID, TEXTO, and the columns to keep): overlapping pieces that end at paragraphs or sentences where they can.
+
+    A text of up to ``most`` characters is one piece as it is; pieces of longer ones are stripped, and those of white space dropped.
+    A null text has none. The id is of document, page, place and text.
+    """
+    if most < 300:
+        raise ValueError("most must be at least 300")
+    if not 0 <= overlap < most:
+        raise ValueError("overlap must be at least 0 and below most")
+
+    def pieces(text: str | None) -> list[str]:
+        if text is None or len(text) <= most:
+            return [] if text is None else [text]
+        return [piece for a, b in spans(text, most, overlap) if (piece := text[a:b].strip())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["ID"], batch["TEXTO"], strict=True):
-                for n, piece in enumerate(_windows(text or "", most, overlap)):
-                    name = hashlib.sha256(f"{key}|{n}|{piece}".encode()).hexdigest()[:24]
-                    rows.append((key, n, name, piece))
-            yield pd.DataFrame(rows, columns=["ID", "PARTE", "CHUNK_ID", "TEXTO"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("ID"), F.col(text_col).alias("TEXTO")).mapInPandas(
-        run, f"ID {kind}, PARTE int, CHUNK_ID string, TEXTO string"
+            cut = [list(enumerate(pieces(t))) for t in batch["TEXTO"]]
+            out = batch.loc[batch.index.repeat([len(c) for c in cut])]
+            flat = [p for c in cut for p in c]
+            names = [
+                hashlib.sha256(f"{key}|{None if page is None or page != page else int(page)}|{n}|{piece}".encode()).hexdigest()[:24]
+                for key, page, (n, piece) in zip(out["ID"], out["_PAGE"], flat, strict=True)
+            ]
+            yield out.assign(PARTE=[n for n, _ in flat], CHUNK_ID=names, TEXTO=[p for _, p in flat])[["ID", "PARTE", "CHUNK_ID", "TEXTO", *keep]]
+
+    given = docs.select(
+        F.col(id_col).alias("ID"), F.col(text_col).alias("TEXTO"), (F.lit(None) if page_col is None else F.col(page_col)).cast("int").alias("_PAGE"), *keep
     )
+    kinds = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    more = "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return given.mapInPandas(run, f"ID {kinds['ID']}, PARTE int, CHUNK_ID string, TEXTO string{more}")
 
 
 def host(url: Column) -> Column:
