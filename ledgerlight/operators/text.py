@@ -215,13 +215,14 @@ def split_documents(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cut = [list(enumerate(pieces(t))) for t in batch["TEXTO"]]
-            out = batch.loc[batch.index.repeat([len(c) for c in cut])]
+            row = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+            out = pd.DataFrame({c: batch[c].to_numpy(dtype=object)[row] for c in ("ID", "_PAGE", *keep)})
             flat = [p for c in cut for p in c]
             names = [
                 hashlib.sha256(f"{key}|{None if page is None or page != page else int(page)}|{n}|{piece}".encode()).hexdigest()[:24]
                 for key, page, (n, piece) in zip(out["ID"], out["_PAGE"], flat, strict=True)
             ]
-            yield out.assign(PARTE=[n for n, _ in flat], CHUNK_ID=names, TEXTO=[p for _, p in flat])[["ID", "PARTE", "CHUNK_ID", "TEXTO", *keep]]
+            yield out.assign(PARTE=[n for n, _ in flat], CHUNK_ID=np.array(names, dtype=object), TEXTO=np.array([p for _, p in flat], dtype=object))[["ID", "PARTE", "CHUNK_ID", "TEXTO", *keep]]
 
     given = docs.select(
         F.col(id_col).alias("ID"), F.col(text_col).alias("TEXTO"), (F.lit(None) if page_col is None else F.col(page_col)).cast("int").alias("_PAGE"), *keep
