@@ -76,31 +76,6 @@ def drill_down(rows: DataFrame, digits: list[int], values: int = 20) -> DataFram
     return grouped.withColumn("ORDEM", F.row_number().over(order)).filter(F.col("ORDEM") <= values)
 
 
-def identity_universe(staged: DataFrame, card: str, name: str) -> DataFrame:
-    """How many ids there are, and how many stand for more than one name or unit."""
-    per_id = staged.filter(F.col(card).isNotNull()).groupBy(card).agg(
-        F.count_distinct(name).alias("_NAMES"), F.count_distinct("UG_ID").alias("_UNITS")
-    )
-    return per_id.agg(
-        F.count(F.lit(1)).alias("N_IDS"),
-        F.count_if(F.col("_NAMES") > 1).alias("N_COM_VARIOS_NOMES"),
-        F.count_if(F.col("_UNITS") > 1).alias("N_COM_VARIAS_UGS"),
-    )
-
-
-def compare_identities(staged: DataFrame, cards: dict[str, str]) -> DataFrame:
-    """Signal counts of the rules that depend on the cardholder, per identity."""
-    counts = []
-    for label, card in cards.items():
-        found = {
-            "T03": rules.exact_repetition(staged, card),
-            "T04": rules.multi_cardholder(staged, card),
-            "T07": rules.daily_withdrawals(staged, card),
-        }
-        counts += [df.agg(F.count(F.lit(1)).alias("N")).select(F.lit(label).alias("IDENTIDADE"), F.lit(t).alias("TRILHA"), "N") for t, df in found.items()]
-    return reduce(DataFrame.unionByName, counts)
-
-
 def master_signals(tables: dict[str, tuple[DataFrame, str, dict[str, Column]]]) -> DataFrame:
     """All signals under one contract; the evidence is a JSON object of named columns."""
     parts = [

@@ -89,6 +89,30 @@ def events(spark: SparkSession, sf_dir: str, base: int = 0) -> DataFrame:
     )
 
 
+def named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose masked card ids stand for several people: twenty users share one, two of them in each unit; every 50th row has none.
+
+    Few amounts make repetitions and recurrences common; every other purchase is at a supplier that only one masked id uses. The candidate identity is unit, masked id and name.
+    """
+    e = _table(spark, sf_dir, "events")
+    masked = F.when(F.col("event_id") % 50 != 0, F.concat(F.lit("M"), F.floor(F.col("user_id") / 20).cast("string")))
+    name = F.concat(F.lit("N"), F.col("user_id").cast("string"))
+    unit = F.lpad((F.col("user_id") % 10).cast("string"), 6, "0")
+    return _flags(
+        e.select(
+            F.col("event_id").cast("string").alias("ID_TRANSACAO"),
+            unit.alias("UG_ID"),
+            F.concat_ws("|", unit, masked, name).alias("PORTADOR_ID"),
+            masked.alias("_MASKED"),
+            name.alias("NOME_PORTADOR_NORMALIZADO"),
+            F.when(F.col("event_id") % 2 == 0, "A").otherwise(F.concat(F.lit("S"), F.floor(F.col("user_id") / 20).cast("string"))).alias("FAVORECIDO_ID"),
+            F.to_date("ts").alias("DATA_DT"),
+            ((F.col("event_id") % 3 + 10) * 1000).cast("bigint").alias("VALOR_CENTAVOS"),
+            _mapped(F.col("event_type"), EVENT_CODES).alias("TRANSAÇÃO"),
+        )
+    ).withColumn("PORTADOR_ID_BASELINE", F.col("_MASKED")).withColumn("PORTADOR_ID", F.when(F.col("_MASKED").isNotNull(), F.col("PORTADOR_ID"))).drop("_MASKED")
+
+
 def both(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and events as one fact; their years differ."""
     return lines(spark, sf_dir).unionByName(events(spark, sf_dir))
@@ -157,6 +181,17 @@ EVENTS_SQL = f"""base AS (
   FROM events
 ), stg AS ({_FLAGS_SQL})"""
 
+#: The fact ``nm`` from events with masked ids and names.
+NAMED_SQL = f"""nb AS (
+  SELECT event_id::VARCHAR AS ID_TRANSACAO, lpad((user_id % 10)::VARCHAR, 6, '0') AS UG_ID,
+    CASE WHEN event_id % 50 <> 0 THEN 'M' || (user_id // 20) END AS PORTADOR_ID_BASELINE, 'N' || user_id AS NOME_PORTADOR_NORMALIZADO,
+    CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'S' || (user_id // 20) END AS FAVORECIDO_ID, ts::DATE AS DATA_DT, ((event_id % 3 + 10) * 1000)::BIGINT AS VALOR_CENTAVOS,
+    {_case("event_type", EVENT_CODES)} AS TRANSACAO
+  FROM events
+), nm AS (SELECT *, CASE WHEN PORTADOR_ID_BASELINE IS NOT NULL THEN UG_ID || '|' || PORTADOR_ID_BASELINE || '|' || NOME_PORTADOR_NORMALIZADO END AS PORTADOR_ID, TRUE AS FAVORECIDO_IDENTIFICADO,
+  year(DATA_DT)::INT AS ANO_TRANSACAO, TRANSACAO IN {_in(model.PURCHASES)} AS EH_COMPRA_EFETIVA, TRANSACAO = '{model.NATIONAL}' AS EH_COMPRA_NACIONAL, TRANSACAO IN {_in(model.WITHDRAWALS)} AS EH_SAQUE_EFETIVO
+  FROM nb)"""
+
 #: Cents that make the events' amounts alike.
 STEADY = 50_000
 STEADY_SQL = EVENTS_SQL.replace("((floor(value / 10) + 1) * 1000)", f"({STEADY} + (floor(value / 10) + 1) * 1000)")

@@ -99,22 +99,6 @@ QUERIES = {
         f"""{LI}, g AS (SELECT left(VALOR_CENTAVOS::VARCHAR, 2)::INT AS DIGITO, VALOR_CENTAVOS, count(*) AS N, count(DISTINCT UG_ID) AS N_UG, count(DISTINCT FAVORECIDO_ID) AS N_FORNECEDORES,
   count(DISTINCT PORTADOR_ID) AS N_PORTADORES FROM stg WHERE EH_COMPRA_NACIONAL AND VALOR_CENTAVOS >= 1000 AND left(VALOR_CENTAVOS::VARCHAR, 2) IN ('10', '20', '35', '99') GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY DIGITO ORDER BY N DESC, VALOR_CENTAVOS)::INT AS ORDEM FROM g) WHERE ORDEM <= 5""",
-    ),
-    "AGG-20": (
-        lambda s, d: ex.identity_universe(lines(s, d), "FAVORECIDO_ID", "PORTADOR_ID"),
-        f"""{LI}, g AS (SELECT FAVORECIDO_ID, count(DISTINCT PORTADOR_ID) AS a, count(DISTINCT UG_ID) AS b FROM stg WHERE FAVORECIDO_ID IS NOT NULL GROUP BY ALL)
-SELECT count(*) AS N_IDS, count(*) FILTER (a > 1) AS N_COM_VARIOS_NOMES, count(*) FILTER (b > 1) AS N_COM_VARIAS_UGS FROM g""",
-    ),
-    "AGG-21": (
-        lambda s, d: ex.compare_identities(events(s, d), {"A": "PORTADOR_ID", "B": "UG_ID"}),
-        f"""{EV}, ids AS (SELECT 'A' AS IDENTIDADE, PORTADOR_ID AS card, * EXCLUDE (PORTADOR_ID) FROM stg UNION ALL SELECT 'B', UG_ID, * EXCLUDE (PORTADOR_ID) FROM stg),
-k AS (SELECT * FROM ids WHERE EH_COMPRA_EFETIVA AND FAVORECIDO_IDENTIFICADO), lab AS (SELECT * FROM (VALUES ('A'), ('B')) v(IDENTIDADE)),
-t3 AS (SELECT IDENTIDADE FROM k GROUP BY IDENTIDADE, UG_ID, card, FAVORECIDO_ID, DATA_DT, TRANSACAO, VALOR_CENTAVOS HAVING count(*) >= 2),
-t4 AS (SELECT IDENTIDADE FROM k GROUP BY IDENTIDADE, UG_ID, FAVORECIDO_ID, DATA_DT, VALOR_CENTAVOS HAVING count(*) >= 2 AND count(DISTINCT card) >= 2),
-t7 AS (SELECT IDENTIDADE FROM ids WHERE EH_SAQUE_EFETIVO GROUP BY IDENTIDADE, UG_ID, card, ANO_TRANSACAO, DATA_DT HAVING count(*) >= 2)
-SELECT IDENTIDADE, 'T03' AS TRILHA, (SELECT count(*) FROM t3 WHERE t3.IDENTIDADE = lab.IDENTIDADE) AS N FROM lab
-UNION ALL SELECT IDENTIDADE, 'T04', (SELECT count(*) FROM t4 WHERE t4.IDENTIDADE = lab.IDENTIDADE) FROM lab
-UNION ALL SELECT IDENTIDADE, 'T07', (SELECT count(*) FROM t7 WHERE t7.IDENTIDADE = lab.IDENTIDADE) FROM lab""",
     ),
     "GOV-07": (_grid, GRID_SQL),
     "SET-10": (
