@@ -81,3 +81,5 @@ UFS = (
 STATUSES = (
     "NAO_VALIDADO", "EM_ANALISE", "CONFIRMADO", "JUSTIFICADO", "FALSO_POSITIVO", "ERRO_DADO", "INCONCLUSIVO",
 )
+# Fixed value: a line of the unit register, with unit, state and body.
+UNIT_LINE = r'^"(\d{1,6})",.*?,"([A-Z]{2})","(\d{1,5})",'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -59,16 +59,15 @@ def build_staging(raw: DataFrame) -> DataFrame:
     )
 
 
-def with_transaction_ids(df: DataFrame, position: str) -> DataFrame:
-    """ID_TRANSACAO: source month and the row's place in its source file, given an order column.
+def with_transaction_ids(df: DataFrame, place: str = "LINHA") -> DataFrame:
+    """ID_TRANSACAO: source month, or file where there is none, and the row's place in its file (as of ``sources.places``).
 
     An ID_TRANSACAO that is there stays.
     """
     if "ID_TRANSACAO" in df.columns:
         return df
-    source = "ARQUIVO_ORIGEM" if "ARQUIVO_ORIGEM" in df.columns else "COMPETENCIA_ARQUIVO"
-    place = F.row_number().over(Window.partitionBy(source).orderBy(position))
-    return df.withColumn("ID_TRANSACAO", F.concat(F.col("COMPETENCIA_ARQUIVO"), F.lit(":"), F.lpad(place.cast("string"), 8, "0")))
+    source = F.col("COMPETENCIA_ARQUIVO" if "COMPETENCIA_ARQUIVO" in df.columns else "ARQUIVO_ORIGEM")
+    return df.withColumn("ID_TRANSACAO", F.concat(source, F.lit(":"), F.lpad(F.col(place).cast("string"), 8, "0")))
 
 
 def with_calendar(df: DataFrame) -> DataFrame:

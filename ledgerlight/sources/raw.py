@@ -78,21 +78,16 @@ def consolidate_months(spark: SparkSession, paths: list[str], sep: str = ";") ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).na.fill("")
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Unit registry of a malformed text file, read line by line; a line that doesn't match is an error."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith('"UG"'))
-    return parse_registry(lines)
-
-
-def parse_registry(lines: DataFrame, column: str = "value") -> DataFrame:
-    pattern = r'^"(\d{1,6})",.*?,"([A-Z]{2})","(\d{1,5})",'
-    part = lambda n: F.regexp_extract(F.col(column), pattern, n)
+def parse_registry(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """Unit, state, body and title of register lines; if ``strict``, a line that doesn't match is an error when it is read."""
+    part = lambda n: F.regexp_extract(F.col(column), model.UNIT_LINE, n)
     bad = F.raise_error(F.concat(F.lit("unreadable line: "), F.col(column))).cast("string")
     return lines.select(
-        F.when(part(1) == "", bad).otherwise(F.lpad(part(1), 6, "0")).alias("UG_ID"),
+        (F.when(part(1) == "", bad) if strict else F.when(part(1) == "", None)).otherwise(F.lpad(part(1), 6, "0")).alias("UG_ID"),
         part(2).alias("UF_UG"),
         F.lpad(part(3), 5, "0").alias("CODIGO_ORGAO_SIAFI"),
-        F.regexp_extract(F.col(column), r'^"[^"]*","([^"]*)"', 1).alias("TITULO_UG_SIAFI"),
+        F.nullif(F.trim(F.regexp_extract(F.col(column), r'^"[^"]*","([^"]*)"', 1)), F.lit("")).alias("TITULO_UG_SIAFI"),
+        *keep,
     )
 
 

@@ -1,10 +1,10 @@
-"""Published tables: Parquet with a catalogue that is reconciled against what was written."""
+"""Names of published tables, and text output."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"[a-z][a-z0-9_]{0,62}")
@@ -16,36 +16,10 @@ def logical_name(name: str) -> str:
     return name
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write each table as Parquet (zstd) and return the catalogue: name, rows, columns, as read back."""
-    rows = []
-    for name, df in tables.items():
-        path = f"{folder}/{logical_name(name)}"
-        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
-        back = df.sparkSession.read.parquet(path)
-        if back.columns != df.columns:
-            raise ValueError(f"{name}: columns changed in writing")
-        rows.append((name, back.count(), back.columns))
-    spark = next(iter(tables.values())).sparkSession
-    catalogue = spark.createDataFrame(rows, "NOME string, N_LINHAS long, COLUNAS array<string>")
-    catalogue.coalesce(1).write.mode("overwrite").parquet(f"{folder}/catalogo")
-    return catalogue
-
-
-def open_views(spark: SparkSession, folder: str) -> list[str]:
-    """A read-only view ``v_name`` for each table of the catalogue; row counts must agree."""
-    names = []
-    for row in spark.read.parquet(f"{folder}/catalogo").collect():
-        df = spark.read.parquet(f"{folder}/{logical_name(row['NOME'])}")
-        if df.count() != row["N_LINHAS"]:
-            raise ValueError(f"{row['NOME']}: row count differs from the catalogue")
-        df.createOrReplaceTempView(f"v_{row['NOME']}")
-        names.append(f"v_{row['NOME']}")
-    return names
-
-
 def write_csv(df: DataFrame, path: str) -> None:
-    """Semicolons, and decimal commas for floating numbers."""
-    number = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c)
-    out = df.select(*(number(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
-    out.write.option("sep", ";").option("header", True).mode("overwrite").csv(path)
+    """Semicolons, decimal commas for floating numbers, and a byte order mark before each file's heading."""
+    number = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+    out = df.select(
+        *((number(c) if t in ("double", "float") else F.col(c)).alias(("\ufeff" if n == 0 else "") + c) for n, (c, t) in enumerate(df.dtypes))
+    )
+    out.write.option("sep", ";").option("header", True).option("encoding", "UTF-8").mode("overwrite").csv(path)
