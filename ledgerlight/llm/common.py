@@ -31,11 +31,12 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     have a column of the given name.
     """
     spark = docs.sparkSession
-    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+    meta = docs.metadataColumn("_metadata")  # also where a column of the table is called that
+    files = sorted(r[0] for r in docs.select(meta["file_path"].alias("f")).distinct().collect())
     number, of, path = (free_name(docs, n) for n in ("_file_number", "_file_name", "_file_path"))
     numbers = spark.createDataFrame(list(enumerate(files)), f"`{number}` long, `{of}` string")
     index = free_name(docs, "_file_row")
-    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(index))
+    placed = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(index))
     return (
         placed.join(F.broadcast(numbers), F.col(path) == F.col(of))
         .withColumn(name, F.shiftleft(number, 36) + F.col(index))
