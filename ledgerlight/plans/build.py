@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import model
 from ..operators import governance, patterns, primary, rules, staging
 from ..operators.rules import CARD
-from ..sources import bundle, places, raw
+from ..sources import bundle, places, probe, raw
 
 
 def build_bundle(
@@ -26,10 +26,10 @@ def build_bundle(
     The fact, the distinct flags and the matrices are tables of the bundle, each written before the next step reads it, so none is worked out twice.
     """
     with bundle.BundleWriter(spark, folder, {"input_path": path, "complete_years": list(years)}) as out:
-        columns = raw.header_of(spark, path)
-        if missing := raw.check_header(columns)["missing"]:
+        layout = probe.layout_of(probe.first_bytes(spark, path))
+        if missing := raw.check_header(list(layout.columns))["missing"]:
             raise ValueError(f"columns are missing: {', '.join(missing)}")
-        placed = staging.with_transaction_ids(places.with_places(raw.read_raw(spark, path)))
+        placed = staging.with_transaction_ids(places.with_places(probe.read_text(spark, path, layout)))
         staged = out.write("staging", staging.build_staging(placed), "fact")
         outputs = primary.primary_outputs(staged, rules.limits_table(spark) if limits is None else limits, card, settings)
         flags = out.write("flags", governance.flag_records(outputs), "flags")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules
-from ..sources import bundle, registry, scratch
+from ..sources import bundle, probe, registry, scratch
 from .adapters import TEST_LIMITS, _table, raw_lines
 from .build import build_bundle
 from .diagnostic_queries import YEARS
@@ -73,4 +73,23 @@ REGISTER_SQL = f"""SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS UG_ID, {list(UF_OF
   row_number() OVER (ORDER BY s_suppkey) + 1 AS LINHA_ORIGEM_SIAFI FROM supplier
 UNION ALL SELECT u, uf, NULL, t, 'COMPLEMENTO_MANUAL_2026-08-13', 'COMPLEMENTO_MANUAL', '2026-08-13', NULL FROM (VALUES {", ".join(f"('{u}', '{uf}', '{t}')" for u, (uf, t) in MANUAL.items())}) m(u, uf, t)"""
 
-QUERIES = {"PIP-05": (_bundle, BUNDLE_SQL), "SRC-06": (_register, REGISTER_SQL)}
+def _consolidated(spark, d):
+    """Yearly texts of three layouts (delimiter, encoding, a column that is missing or elsewhere) read together, and what each year has."""
+    rows = raw_lines(spark, d).drop("ID_TRANSACAO").withColumn("_year", F.col("ANO EXTRATO").cast("int"))
+    first, *rest = [c for c in rows.columns if c != "_year"]
+    made = {0: ([first, *rest], ";", "UTF-8"), 1: ([*rest, first], "\t", "ISO-8859-1"), 2: ([first, *(c for c in rest if c != "NOME FAVORECIDO")], ";", "UTF-8")}
+    folders = []
+    for kind, (columns, sep, encoding) in made.items():
+        folders.append(scratch.new_folder(spark, f"layout{kind}"))
+        rows.filter(F.col("_year") % 3 == kind).select(columns).write.option("sep", sep).options(header=True, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folders[-1])
+    whole = probe.consolidate(spark, folders)
+    return whole.groupBy("ANO EXTRATO", "NOME PORTADOR").agg(
+        F.count(F.lit(1)).alias("N"), F.count_if(F.col("NOME FAVORECIDO") == "").alias("N_SEM_NOME"), F.count_if(F.col("NOME ÓRGÃO") == "Órgão").alias("N_ORGAO")
+    )
+
+
+CONSOLIDATED_SQL = """SELECT strftime(l_shipdate, '%Y') AS "ANO EXTRATO", CASE WHEN o_custkey % 9 = 0 THEN 'Portador Sigiloso: sigilo' ELSE '  José  ' || c_mktsegment END AS "NOME PORTADOR",
+  count(*) AS N, count(*) FILTER (year(l_shipdate) % 3 = 2) AS N_SEM_NOME, count(*) AS N_ORGAO
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL"""
+
+QUERIES = {"PIP-05": (_bundle, BUNDLE_SQL), "SRC-06": (_register, REGISTER_SQL), "SRC-14": (_consolidated, CONSOLIDATED_SQL)}

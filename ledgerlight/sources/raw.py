@@ -1,45 +1,16 @@
-"""Delimited-text sources: header checks, consolidation of monthly files, the unit registry."""
+"""Delimited-text sources: header checks, register lines, months."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-
-
-def detect_delimiter(header: str) -> str:
-    """The most frequent of ; , and tab; the first of equals."""
-    counts = {d: header.count(d) for d in (";", ",", "\t")}
-    best = max(counts, key=counts.get)
-    if not counts[best]:
-        raise ValueError("the header has no known delimiter")
-    return best
-
-
-# Encodings in the order of trial.
-ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin1")
-
-
-def detect_encoding(spark: SparkSession, path: str, sample_bytes: int = 100_000) -> str:
-    """The first encoding that reads the file's first bytes. A character cut at the sample's end counts as unreadable."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample_bytes).alias("_HEAD")).first()
-    head = bytes(row["_HEAD"]) if row else b""
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-        except UnicodeDecodeError:
-            continue
-        return name
-    raise ValueError(f"no known encoding reads {path}")
+from . import probe
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    row = spark.read.text(path).limit(1).first()
-    line = (row[0] if row else "").lstrip("﻿")
-    return [name.strip().strip('"') for name in line.split(detect_delimiter(line))]
+    return list(probe.layout_of(probe.first_bytes(spark, path)).columns)
 
 
 def check_header(columns: list[str], required=model.RAW_COLUMNS) -> dict[str, object]:
@@ -53,29 +24,7 @@ def check_header(columns: list[str], required=model.RAW_COLUMNS) -> dict[str, ob
 
 def read_raw(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
     """Every column as text; empty cells are empty text. A malformed row is an error."""
-    return (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-        .na.fill("")
-    )
-
-
-def consolidate_months(spark: SparkSession, paths: list[str], sep: str = ";") -> DataFrame:
-    """Union by name; columns that a file lacks are empty. Month and file name are added."""
-    frames = []
-    for path in paths:
-        df = read_raw(spark, path, sep)
-        name = F.col("_metadata.file_name")
-        frames.append(
-            df.select("*", F.regexp_extract(name, r"(\d{6})", 1).alias("COMPETENCIA_ARQUIVO"), name.alias("ARQUIVO_ORIGEM"))
-        )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).na.fill("")
+    return probe.read_text(spark, path, probe.Layout(encoding, sep, ()))
 
 
 def parse_registry(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (), strict: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight import model
 from ledgerlight.operators import geography, governance, linalg, primary, serving, text
-from ledgerlight.sources import raw
+from ledgerlight.sources import probe
 
 
 def test_tags_come_first_and_keep_the_rows(spark):
@@ -66,8 +66,8 @@ def test_strata_equal_the_whole_of_each(spark):
 def test_encoding_is_the_first_that_reads(spark, tmp_path):
     for name, data in (("a", "ação".encode()), ("b", "ação".encode("cp1252")), ("c", b"\x81\xe7")):
         (tmp_path / name).write_bytes(data)
-    assert [raw.detect_encoding(spark, str(tmp_path / n)) for n in "abc"] == ["utf-8-sig", "cp1252", "latin1"]
-    assert raw.detect_encoding(spark, str(tmp_path / "a"), 2) == "cp1252"
+    assert [probe.encoding_of(probe.first_bytes(spark, str(tmp_path / n))) for n in "abc"] == ["utf-8-sig", "cp1252", "latin1"]
+    assert probe.encoding_of(probe.first_bytes(spark, str(tmp_path / "a"), 2)) == "cp1252"
 
 
 def test_allowed_documents(spark):

@@ -9,7 +9,7 @@ from ledgerlight import model
 from ledgerlight.functions import exprs as x
 from ledgerlight.functions import ranks
 from ledgerlight.operators import benford, governance, rules, staging
-from ledgerlight.sources import places, raw, sinks
+from ledgerlight.sources import places, probe, raw, sinks
 
 
 def one(spark, value, expr):
@@ -76,7 +76,7 @@ def test_sources_and_sinks(spark, tmp_path):
         (tmp_path / f"{month}_dados.csv").write_text(header + "\n" + ";".join(["1"] * 13 + ["05/01/2025", "1,50"]) + "\n")
     files = [str(tmp_path / f"{m}_dados.csv") for m in ("202501", "202502")]
     assert raw.check_header(raw.header_of(spark, files[0]))["same_order"]
-    both = raw.consolidate_months(spark, files)
+    both = probe.consolidate(spark, files)
     assert staging.build_staging(both).agg(F.sum("VALOR_CENTAVOS")).first()[0] == 300
     placed = [places.with_places(raw.read_raw(spark, f)).withColumn("COMPETENCIA_ARQUIVO", F.substring("ARQUIVO_ORIGEM", 1, 6)) for f in files]
     ids = {r[0] for df in placed for r in staging.with_transaction_ids(df).select("ID_TRANSACAO").collect()}
