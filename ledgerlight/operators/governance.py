@@ -302,3 +302,44 @@ def wilson(n: Column, k: Column, z: float = 1.959963984540054) -> tuple[Column,
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return middle - half, middle + half
+
+
+# Statuses that decide a validation, the first of which confirms.
+DECIDED = ("CONFIRMADO", "JUSTIFICADO", "FALSO_POSITIVO")
+
+
+def validation_rates(validations: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: validations, decided and confirmed ones, and the rate with its Wilson interval; nulls where none is decided."""
+    status = F.col("STATUS_VALIDACAO")
+    grouped = validations.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("N_VALIDACOES"), F.count_if(status.isin(*DECIDED)).alias("N_DECIDIDOS"), F.count_if(status == DECIDED[0]).alias("N_CONFIRMADOS")
+    )
+    low, high = wilson(F.col("N_DECIDIDOS"), F.col("N_CONFIRMADOS"))
+    some = F.col("N_DECIDIDOS") > 0
+    return grouped.withColumns(
+        {"TAXA_CONFIRMACAO": x.ratio(F.col("N_CONFIRMADOS"), F.col("N_DECIDIDOS")), "IC95_INF": F.when(some, low), "IC95_SUP": F.when(some, high)}
+    )
+
+
+def weighted_rates(validations: DataFrame, populations: DataFrame, trail: str, stratum: str, z: float = 1.959963984540054) -> DataFrame:
+    """Per trail: the confirmed share, each stratum weighted by its population, with the interval of a stratified sample.
+
+    ``populations``: (trail, stratum, N_POP_ESTRATO). Only strata with a decision and a known population count. A stratum's variance has its finite population
+    correction; where a stratum has a single decision and more members, its variance isn't known, so the interval is null.
+    """
+    own = validations.filter(F.col("STATUS_VALIDACAO").isin(*DECIDED)).groupBy(trail, stratum).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg((F.col("STATUS_VALIDACAO") == DECIDED[0]).cast("double")).alias("p")
+    )
+    joined = own.join(populations.select(trail, stratum, F.col("N_POP_ESTRATO").cast("double").alias("_POP")), [trail, stratum])
+    n, p, size = F.col("n"), F.col("p"), F.col("_POP")
+    variance = F.when(n >= size, 0.0).when(n > 1, size * size * (1 - n / size) * p * (1 - p) / (n - 1))
+    summed = joined.groupBy(trail).agg(
+        (F.sum(p * size) / F.sum(size)).alias("TAXA_CONFIRMACAO_PONDERADA"),
+        F.count(F.lit(1)).alias("N_ESTRATOS_COM_DECISAO"),
+        F.sum("_POP").cast("bigint").alias("POPULACAO_REPRESENTADA"),
+        F.when(F.count_if(variance.isNull()) == 0, F.sqrt(F.sum(variance)) / F.sum(size)).alias("ERRO_PADRAO"),
+    )
+    rate, half = F.col("TAXA_CONFIRMACAO_PONDERADA"), z * F.col("ERRO_PADRAO")
+    return summed.withColumns({"IC95_INF": F.greatest(F.lit(0.0), rate - half), "IC95_SUP": F.least(F.lit(1.0), rate + half)}).withColumns(
+        {c: F.when(F.col("ERRO_PADRAO").isNotNull(), F.col(c)) for c in ("IC95_INF", "IC95_SUP")}
+    )

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import linalg, patterns, primary, rules, sensitivity
-from .adapters import BOTH_SQL, TEST_LIMITS, both
+from ..operators import governance, linalg, patterns, primary, rules, sensitivity
+from .adapters import BOTH_SQL, TEST_LIMITS, both, events
 from .governance_queries import _REPEATABLE, _TRAILS_SQL, FLAGS, FLAGS_SQL, SETTINGS, UNIT_FLAGS, _body, _supplier_matrix, _unit_matrix
 from .rule_queries import EV, LI, T05_EPISODES_SQL, T06_SQL, T07_SQL, T09_SQL, _benford_sql, r
 
@@ -216,3 +216,39 @@ SELECT *, CASE WHEN COMPARAVEL_COM_BASELINE THEN N_SINAIS_TOTAL_CENARIO - N_SINA
 
 
 QUERIES["GOV-06-contract"] = (_contract, _contract_sql())
+
+# Validation rates over a stratified sample of purchases
+
+_VALIDATED = {0: "CONFIRMADO", 1: "JUSTIFICADO", 2: "FALSO_POSITIVO", 3: "EM_ANALISE"}
+
+
+def _validated(spark, d):
+    """The sample of GOV-08 with a level, a stratum and a status made from the event's number, and the strata's populations."""
+    rows = events(spark, d).filter("EH_COMPRA_NACIONAL").withColumn("ESTRATO", F.substring("ID_TRANSACAO", -1, 1))
+    sample = governance.stratified_sample(rows, "UG_ID", "ESTRATO", "ID_TRANSACAO")
+    status = F.element_at(F.create_map(*(c for k, v in _VALIDATED.items() for c in (F.lit(k), F.lit(v)))), (F.col("ID_TRANSACAO").cast("int") % 11 % 4).cast("int"))
+    populations = rows.groupBy("UG_ID", "ESTRATO").agg(F.count(F.lit(1)).alias("N_POP_ESTRATO"))
+    return sample.withColumns({"STATUS_VALIDACAO": status, "NIVEL_TRIAGEM": F.when(F.col("VALOR_CENTAVOS") >= 5000, "ELEVADO").otherwise("ATENCAO")}), populations
+
+
+_VALIDATED_SQL = f"""{EV}, rw AS (SELECT *, right(ID_TRANSACAO, 1) AS ESTRATO, sha256('sample|' || ID_TRANSACAO) AS hs FROM stg WHERE EH_COMPRA_NACIONAL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY UG_ID, ESTRATO ORDER BY hs, ID_TRANSACAO) AS p FROM rw), tn AS (SELECT *, row_number() OVER (PARTITION BY UG_ID ORDER BY p, ESTRATO) AS t FROM pl WHERE p <= 30),
+va AS (SELECT *, CASE WHEN VALOR_CENTAVOS >= 5000 THEN 'ELEVADO' ELSE 'ATENCAO' END AS NIVEL_TRIAGEM,
+  CASE ID_TRANSACAO::INT % 11 % 4 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in _VALIDATED.items())} END AS STATUS_VALIDACAO FROM tn WHERE t <= 30),
+po AS (SELECT UG_ID, ESTRATO, count(*)::DOUBLE AS pn FROM rw GROUP BY ALL)"""
+_DECIDED_SQL = f"STATUS_VALIDACAO IN ({', '.join(f"'{s}'" for s in governance.DECIDED)})"
+QUERIES["AGG-40b"] = (
+    lambda s, d: r(governance.validation_rates(_validated(s, d)[0], ["UG_ID", "NIVEL_TRIAGEM"]), "TAXA_CONFIRMACAO", "IC95_INF", "IC95_SUP"),
+    f"""{_VALIDATED_SQL}, g AS (SELECT UG_ID, NIVEL_TRIAGEM, count(*) AS N_VALIDACOES, count(*) FILTER ({_DECIDED_SQL}) AS N_DECIDIDOS, count(*) FILTER (STATUS_VALIDACAO = 'CONFIRMADO') AS N_CONFIRMADOS FROM va GROUP BY ALL),
+w AS (SELECT *, nullif(N_DECIDIDOS, 0)::DOUBLE AS n, N_CONFIRMADOS / n AS p, 1.959963984540054::DOUBLE AS z FROM g)
+SELECT UG_ID, NIVEL_TRIAGEM, N_VALIDACOES, N_DECIDIDOS, N_CONFIRMADOS, round(p, 6) AS TAXA_CONFIRMACAO, round(((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS IC95_INF,
+  round(((p + z * z / (2 * n)) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS IC95_SUP FROM w""",
+)
+QUERIES["AGG-40c"] = (
+    lambda s, d: r(governance.weighted_rates(*_validated(s, d), "UG_ID", "ESTRATO"), "TAXA_CONFIRMACAO_PONDERADA", "ERRO_PADRAO", "IC95_INF", "IC95_SUP"),
+    f"""{_VALIDATED_SQL}, h AS (SELECT UG_ID, ESTRATO, count(*)::DOUBLE AS n, avg((STATUS_VALIDACAO = 'CONFIRMADO')::INT) AS p FROM va WHERE {_DECIDED_SQL} GROUP BY ALL),
+v AS (SELECT h.*, pn, CASE WHEN n >= pn THEN 0 WHEN n > 1 THEN pn * pn * (1 - n / pn) * p * (1 - p) / (n - 1) END AS s FROM h JOIN (SELECT UG_ID, ESTRATO, pn FROM po) USING (UG_ID, ESTRATO)),
+a AS (SELECT UG_ID, sum(p * pn) / sum(pn) AS t, count(*) AS k, sum(pn)::BIGINT AS pop, CASE WHEN count(*) = count(s) THEN sqrt(sum(s)) / sum(pn) END AS e FROM v GROUP BY UG_ID)
+SELECT UG_ID, round(t, 6) AS TAXA_CONFIRMACAO_PONDERADA, k AS N_ESTRATOS_COM_DECISAO, pop AS POPULACAO_REPRESENTADA, round(e, 6) AS ERRO_PADRAO,
+  CASE WHEN e IS NOT NULL THEN round(greatest(0, t - 1.959963984540054 * e), 6) END AS IC95_INF, CASE WHEN e IS NOT NULL THEN round(least(1, t + 1.959963984540054 * e), 6) END AS IC95_SUP FROM a""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import search_index, text
+from ..operators import search_index, text, web
 from ..sources import scratch
 from .adapters import _table
 from .rule_queries import r
@@ -155,6 +155,26 @@ SELECT CATEGORIA, count(*) AS N_CASOS, round(avg(HIT), 6) AS HIT, round(avg(RECA
 FROM (SELECT 'TODAS' AS CATEGORIA, * EXCLUDE (CATEGORIA) FROM v UNION ALL BY NAME SELECT * FROM v) GROUP BY CATEGORIA"""
 
 
+def _evidence(spark, d):
+    """Up to ten pages for each of five needs, dated by their number: none older than a cutoff, official hosts first."""
+    number = F.col("page_id")
+    pages = _table(spark, d, "pages").withColumns(
+        {"need": (number % 5).cast("int"), "at": F.when(number % 7 != 0, F.timestamp_seconds(number % 100 * 86_400)), "rank": number}
+    )
+    found = web.evidence(pages, {"example.org"}, 10, "need", published="at", cutoff=F.timestamp_seconds(F.lit(20 * 86_400)), schemes=("http", "https"))
+    return found.select("need", "POSICAO", "URL", "HOST", "OFICIAL", "RANK", F.unix_seconds("PUBLICADO").alias("PUBLICADO"))
+
+
+_URL_SQL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#:@]+)(?::([0-9]*))?(/[^?#]*)?(\\?[^#]*)?"
+EVIDENCE_SQL = f"""WITH p AS (SELECT page_id, page_id % 5 AS need, CASE WHEN page_id % 7 <> 0 THEN page_id % 100 * 86400 END AS dated, lower(regexp_extract(url, '{_URL_SQL}', 1)) AS s,
+  lower(regexp_extract(url, '{_URL_SQL}', 2)) AS h, regexp_extract(url, '{_URL_SQL}', 3) AS pt, regexp_extract(url, '{_URL_SQL}', 4) AS pa, regexp_extract(url, '{_URL_SQL}', 5) AS qu FROM pages),
+c AS (SELECT *, s || '://' || h || CASE WHEN pt = '' OR (s = 'http' AND pt = '80') OR (s = 'https' AND pt = '443') THEN '' ELSE ':' || pt END || CASE WHEN pa = '' THEN '/' ELSE pa END || qu AS URL,
+  h = 'example.org' OR h LIKE '%.example.org' AS o FROM p WHERE s IN ('http', 'https') AND dated >= 20 * 86400),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY need, URL ORDER BY dated DESC, page_id) AS rn FROM c) WHERE rn = 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY need ORDER BY o DESC, page_id, h, URL) AS k FROM n)
+SELECT need::INT AS need, k::INT AS POSICAO, URL, h AS HOST, o AS OFICIAL, page_id AS RANK, dated::BIGINT AS PUBLICADO FROM e WHERE k <= 10"""
+
+
 def _allowed(spark, d):
     """English documents of any source; those of 200 characters or more are the default."""
     docs = _table(spark, d, "documents")
@@ -177,5 +197,6 @@ QUERIES = {
         lambda s, d: _table(s, d, "pages").groupBy(text.host(F.col("url")).alias("HOST")).agg(F.count(F.lit(1)).alias("N")),
         "SELECT nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '') AS HOST, count(*) AS N FROM pages GROUP BY ALL",
     ),
+    "TXT-12b": (_evidence, EVIDENCE_SQL),
     "EVL-01": (lambda s, d: r(_measures(s, d), "RECALL", "MRR", "AP"), MEASURES_SQL),
 }
