@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Columns of the raw text, and those that consolidation adds.
 RAW_COLUMNS = (
     "CÓDIGO ÓRGÃO SUPERIOR", "NOME ÓRGÃO SUPERIOR", "CÓDIGO ÓRGÃO", "NOME ÓRGÃO",
     "CÓDIGO UNIDADE GESTORA", "NOME UNIDADE GESTORA", "ANO EXTRATO", "MÊS EXTRATO",
@@ -32,6 +33,7 @@ ADJUSTMENTS = (
 )
 RULES_VERSION = "1.2.0"
 PREPARATION_VERSION = "1.1.0"
+# First and last year of which all months were published.
 COMPLETE_YEARS = (2013, 2025)
 
 # Dated limits (from, to, purchases base, works base, share, share for grants).
@@ -71,6 +73,7 @@ EVIDENCE = {
     "T08": ("SINAL_ESTATISTICO", "UG_ANO"),
     "T09": ("CONTEXTO_NORMATIVO", "TRANSACAO_CENARIO_NORMATIVO"),
 }
+# Columns that may hold an evidence's id, in the order of trial.
 EVIDENCE_IDS = ("ID_SINAL", "ID_EPISODIO", "ID_GRUPO", "ID_CONTEXTO")
 # Codes of the 27 federative units.
 UFS = (
