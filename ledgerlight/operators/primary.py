@@ -52,12 +52,6 @@ def unit_matrix(staged: DataFrame, flags: DataFrame, card: str = CARD) -> DataFr
     return governance.with_context(counted, flags, {"T08": UNIT_YEAR, "T09": UNIT_YEAR})
 
 
-def diagnostic_matrices(staged: DataFrame, outputs: Mapping[str, DataFrame], card: str = CARD) -> dict[str, DataFrame]:
-    """The distinct flags and both matrices made from them."""
-    flags = governance.flag_records(dict(outputs))
-    return {"flags": flags, "supplier_year": supplier_matrix(staged, flags, card), "ug_year": unit_matrix(staged, flags, card)}
-
-
 def complete_years(matrix: DataFrame, years: tuple[int, int] = model.COMPLETE_YEARS) -> DataFrame:
     """Only years of which all months were published; a null year goes."""
     return matrix.filter(F.col("ANO_TRANSACAO").between(*years))

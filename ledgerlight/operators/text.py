@@ -60,22 +60,6 @@ def allowed(docs: DataFrame, accepted: Mapping[str, Collection[str]], default: C
     return docs if include_non_default or default is None else docs.filter(F.coalesce(default, F.lit(False)))
 
 
-def coverage_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
-    """(Q, ID, SCORE): the share of a query's terms that a document holds."""
-    asked = term_frequencies(queries, query_id, query_text).select(F.col("ID").alias("Q"), "TERMO")
-    sizes = asked.groupBy("Q").agg(F.count(F.lit(1)).alias("N"))
-    words = docs.select(F.col(id_col).alias("ID"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("TERMO"))
-    met = words.join(asked, "TERMO").groupBy("Q", "ID").agg(F.count(F.lit(1)).alias("_MET"))
-    return met.join(sizes, "Q").select("Q", "ID", (F.col("_MET") / F.col("N")).alias("SCORE"))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda p, q: F.aggregate(
-        F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
-    )
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def vector_top(
     vectors: DataFrame, queries: DataFrame, limit: int, id_col="vec_id", vector_col="embedding", block: int = 4096
 ) -> DataFrame:
@@ -119,6 +103,13 @@ def top(scores: DataFrame, limit: int) -> DataFrame:
     return scores.withColumn("POSICAO", F.row_number().over(order)).filter(F.col("POSICAO") <= limit)
 
 
+def candidates(limit: int) -> int:
+    """How many places of each ranking a fusion of so many results looks at."""
+    if not 1 <= limit <= 20:
+        raise ValueError("limit must be between 1 and 20")
+    return min(20, 4 * limit)
+
+
 def fused(rankings: list[DataFrame], limit: int, k: int = FUSION_K) -> DataFrame:
     """Reciprocal rank fusion of several (Q, ID, POSICAO)."""
     every = rankings[0].select("Q", "ID", "POSICAO")

@@ -28,10 +28,12 @@ def _lexical(spark, d):
     return _ranked(_scores(spark, d))
 
 
-def _fused(spark, d):
-    """Fusion of two rankings of the documents: by weighted terms, and by the share of the query's terms."""
-    covered = text.coverage_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
-    return text.fused([_lexical(spark, d), _ranked(covered)], 10)
+def _fused(spark, d, limit=5):
+    """Fusion of a ranking by weighted terms and one by vectors over the same ids; the vector of a query is the row of its number."""
+    most = text.candidates(limit)
+    v, asked = _table(spark, d, "embeddings").select("vec_id", "embedding"), _table(spark, d, "benchmark")
+    own = v.join(asked.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    return text.fused([_ranked(_scores(spark, d), most), text.vector_top(v, own, most)], limit)
 
 
 def _measures(spark, d):
@@ -50,11 +52,12 @@ lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE
 VECTOR_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), s AS (
   SELECT q.vec_id AS Q, v.vec_id AS ID, list_cosine_similarity(q.e, v.e) AS SCORE FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id % 50 = 0) q),
 tv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM s WHERE SCORE > 0) WHERE POSICAO <= 10)"""
-FUSED_SQL = f"""{LEXICAL_SQL}, cs AS (SELECT Q, ID, round(count(*) / (SELECT count(*) FROM qt z WHERE z.Q = qt.Q)::DOUBLE, 6) AS SCORE
-  FROM qt JOIN tf USING (TERMO) GROUP BY Q, ID),
-ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM cs) WHERE POSICAO <= 10),
-f AS (SELECT Q, ID, sum(1.0::DOUBLE / (60 + POSICAO)) AS SCORE FROM (SELECT Q, ID, POSICAO FROM lt UNION ALL SELECT Q, ID, POSICAO FROM ct) GROUP BY ALL)
-SELECT Q, ID, round(SCORE, 8) AS SCORE FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID) AS rn FROM f) WHERE rn <= 10"""
+_CANDIDATES = text.candidates(5)
+FUSED_SQL = f"""{LEXICAL_SQL.replace("POSICAO <= 10", f"POSICAO <= {_CANDIDATES}")}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+vs AS (SELECT q.vec_id AS Q, v.vec_id AS ID, list_cosine_similarity(q.e, v.e) AS SCORE FROM v CROSS JOIN (SELECT * FROM v WHERE vec_id IN (SELECT item_id FROM benchmark)) q),
+vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID)::INT AS POSICAO FROM vs WHERE SCORE > 0) WHERE POSICAO <= {_CANDIDATES}),
+f AS (SELECT Q, ID, sum(1.0::DOUBLE / (60 + POSICAO)) AS SCORE FROM (SELECT Q, ID, POSICAO FROM lt UNION ALL SELECT Q, ID, POSICAO FROM vt) GROUP BY ALL)
+SELECT Q, ID, round(SCORE, 8) AS SCORE FROM (SELECT *, row_number() OVER (PARTITION BY Q ORDER BY SCORE DESC, ID) AS rn FROM f) WHERE rn <= 5"""
 MEASURES_SQL = f"""{VECTOR_SQL}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY ALL),
 asked AS (SELECT DISTINCT Q, v.label, n FROM tv JOIN v ON v.vec_id = Q JOIN n USING (label)),
 h AS (SELECT tv.Q, POSICAO, row_number() OVER (PARTITION BY tv.Q ORDER BY POSICAO) AS k FROM tv JOIN v ON v.vec_id = tv.ID JOIN asked ON asked.Q = tv.Q AND asked.label = v.label),
