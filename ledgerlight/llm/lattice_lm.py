@@ -15,7 +15,7 @@ all distinct words, weighted by what was taken off, and adds to the vocabulary's
 each piece's expected share. Only the piece table is collected: a row per piece and byte.
 
 Both scores need each word's own count. The ``HOT_WORDS`` most frequent words are broadcast with
-theirs; the others are looked up by a shuffled join, each with its probability by pieces, so that
+theirs (long ones by a digest); the others are looked up by a shuffled join, each with its probability by pieces, so that
 no frequent word is ever a join key. The scores do not depend on which words are broadcast.
 
 Defined results: a null text is the empty text, which is an end only. Rows that repeat a
@@ -27,9 +27,11 @@ Null ids belong to training.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,11 @@ SPACE = "▁"
 HOT_WORDS = 200_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
+#: Bytes of long words that a task counts before it passes its words on.
+COUNTED_BYTES = 32_000_000
 #: Words whose probability a task keeps.
 KEPT = 500_000
-#: Longer words are neither broadcast nor kept.
+#: Longer words are not kept, and broadcast by their digests.
 KEPT_BYTES = 64
 #: Texts that are scored at once.
 AT_ONCE = 512
@@ -63,6 +67,16 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def word_key(word: bytes) -> bytes:
+    """What a word is broadcast by: itself, or a NUL and its digest."""
+    return word if len(word) <= KEPT_BYTES else b"\0" + sha256(word).digest()
+
+
+def _word_key(word: Column) -> Column:
+    digest = F.concat(F.lit(b"\0"), F.unhex(F.sha2(word, 256)))
+    return F.when(F.length(word) <= KEPT_BYTES, word).otherwise(digest)
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     return F.coalesce(crc % modulus == remainder, F.lit(False))
@@ -73,6 +87,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter[bytes] = Counter()
+        long = 0
 
         def passed_on() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -82,10 +97,13 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                counted.update(tokens(text.as_py()))
-                if len(counted) > COUNTED:
+                words = tokens(text.as_py())
+                counted.update(words)
+                long += sum([len(w) for w in words if len(w) > KEPT_BYTES])
+                if len(counted) > COUNTED or long > COUNTED_BYTES:
                     yield passed_on()
                     counted.clear()
+                    long = 0
             counted[END] += batch.num_rows
         yield passed_on()
 
@@ -96,13 +114,16 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters of all words that are worked on at once.
 CHARS_AT_ONCE = 60_000
+#: Starts of a word whose arcs are looked up at once where words are worked on one by one.
+BLOCK = 50_000
 
 
 class Lattice:
     """Log probabilities of pieces, bytes and a word's stop, and the recursions over words.
 
     Words are worked on in batches of equal length. A batch's arcs are found by looking up the
-    hashes of all its substrings among those of the pieces.
+    hashes of all its substrings among those of the pieces. Where a batch has few words for their length, each is
+    worked on by itself, the arcs of a block of starts at a time, and none are kept.
     """
 
     def __init__(self, pieces: list[str], log_p: np.ndarray, log_byte: np.ndarray, log_stop: float):
@@ -193,16 +214,93 @@ class Lattice:
             ahead[end, words] = np.logaddexp(ahead[end, words], ahead[start, words] + value)
         return ahead
 
+    @staticmethod
+    def _one_by_one(codes: np.ndarray) -> bool:
+        length, words = codes.shape
+        return words * (128 + length) < 64 * length
+
+    def _openings(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """(end, piece number) of the pieces that open a word."""
+        (hashes, numbers, longest), _, bare = self.tables()
+        found = [] if bare is None else [(0, bare)]
+        h = np.zeros(1, dtype=np.uint64)
+        for end in range(1, min(len(codes), longest) + 1):
+            h = self._hash(h, codes[end - 1])
+            at = np.searchsorted(hashes, h[0])
+            if at < len(hashes) and hashes[at] == h[0]:
+                found.append((end, int(numbers[at])))
+        return found
+
+    def _onward(self, codes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ln p of a block's arcs by start, pieces' numbers by length and start (-1: none), ln p of its bytes.
+
+        A piece of one character and its bytes are one arc.
+        """
+        hashes, numbers, longest = self.tables()[1]
+        n = min(BLOCK, len(codes) - first)
+        piece = np.full((max(longest, 1), n), -1)
+        value = np.full(piece.shape, -np.inf)
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(longest):
+            inside = min(n, len(codes) - first - k)
+            if inside <= 0:
+                break
+            h = self._hash(h[:inside], codes[first + k : first + k + inside])
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            found = np.flatnonzero(hashes[at] == h)
+            piece[k, found] = numbers[at[found]]
+            value[k, found] = self.log_p[piece[k, found]]
+        by_bytes = self._by_bytes(codes[first : first + n])
+        value[0] = np.logaddexp(value[0], by_bytes)
+        start, k = np.nonzero(np.isfinite(value.T))
+        return start + first, start + first + k + 1, value[k, start], piece, by_bytes
+
+    def _along(self, codes: np.ndarray) -> array:
+        """ln of the sum over all ways to come to each place of one word."""
+        ahead = array("d", [-math.inf]) * (len(codes) + 1)
+        for end, number in self._openings(codes):
+            ahead[end] = self.log_p[number]
+        for first in range(0, len(codes), BLOCK):
+            start, end, value, _, _ = self._onward(codes, first)
+            _add_up(ahead, start, end, value)
+        return ahead
+
+    def _expect_one(self, codes: np.ndarray, weight: float, counts: np.ndarray, byte_counts: np.ndarray) -> None:
+        forward = self._along(codes)
+        backward = array("d", [-math.inf]) * (len(codes) + 1)
+        backward[len(codes)] = 0.0
+        ahead, back = np.frombuffer(forward), np.frombuffer(backward)
+        whole = ahead[-1]
+        for first in reversed(range(0, len(codes), BLOCK)):
+            start, end, value, piece, by_bytes = self._onward(codes, first)
+            _add_up(backward, end[::-1], start[::-1], value[::-1])
+            k, at = np.nonzero(piece >= 0)
+            number = piece[k, at]
+            share = weight * np.exp(ahead[first + at] + self.log_p[number] + back[first + at + k + 1] - whole)
+            counts += np.bincount(number, share, minlength=len(counts))
+            last = first + len(by_bytes)
+            share = weight * np.exp(ahead[first:last] + by_bytes + back[first + 1 : last + 1] - whole)
+            self._count_bytes(codes[first:last], share, byte_counts)
+        for end, number in self._openings(codes):
+            counts[number] += weight * np.exp(self.log_p[number] + back[end] - whole)
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """ln of each word's sum over all segmentations: forward recursions in log space."""
         out = np.empty(len(words))
         for places, codes in self.batches(words):
-            out[places] = self._forward(codes, self._arcs(codes))[len(codes)]
+            if self._one_by_one(codes):
+                out[places] = [self._along(word)[-1] for word in np.ascontiguousarray(codes.T)]
+            else:
+                out[places] = self._forward(codes, self._arcs(codes))[len(codes)]
         return out + self.log_stop
 
     def expect(self, words: list[str], times: np.ndarray, counts: np.ndarray, byte_counts: np.ndarray) -> None:
         """Add the expected uses of each piece and byte in ``times`` occurrences of each word."""
         for places, codes in self.batches(words):
+            if self._one_by_one(codes):
+                for word, weight in zip(np.ascontiguousarray(codes.T), times[places], strict=True):
+                    self._expect_one(word, weight, counts, byte_counts)
+                continue
             arcs = list(self._arcs(codes))
             ahead = self._forward(codes, arcs)
             back = np.full_like(ahead, -np.inf)
@@ -228,6 +326,20 @@ class Lattice:
                 byte_counts[b] += total
 
 
+def _add_up(sums: array, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> None:
+    """For each arc in turn, add its start's sum times ``value`` to its end's, all as logarithms."""
+    exp, log1p, nothing = math.exp, math.log1p, -math.inf
+    for a, b, v in zip(start.tolist(), end.tolist(), value.tolist(), strict=True):
+        v += sums[a]
+        old = sums[b]
+        if old == nothing:
+            sums[b] = v
+        elif old < v:
+            sums[b] = v + log1p(exp(old - v))
+        else:
+            sums[b] = old + log1p(exp(v - old))
+
+
 def vocabulary(path: str) -> list[str]:
     """Lower-case pieces of a SentencePiece model, best score first."""
     from sentencepiece import sentencepiece_model_pb2
@@ -315,7 +427,7 @@ class Model:
     """Shares of the whole words, the pieces and the end among all training tokens."""
 
     lattice: Lattice
-    hot: dict[bytes, int]
+    hot: dict[bytes, int]  # by word_key
     n_all: int
     n_ends: int
     n_words: int  # distinct words, the end not among them
@@ -329,7 +441,7 @@ class Model:
     def known(self, words: list[bytes]) -> Iterator[tuple[bytes, tuple[float, float | None]]]:
         """Each word with ln p (of its pieces alone, unless it's hot) and, if it's hot, log10 of one more than its count."""
         by_pieces = self.log_by_pieces + self.lattice.log_probabilities([w.decode() for w in words])
-        counts = [self.hot.get(w) for w in words]
+        counts = [self.hot.get(word_key(w)) for w in words]
         whole = np.array([0.0 if c is None else (c - DISCOUNT) / self.total for c in counts])
         with np.errstate(divide="ignore"):
             both = np.logaddexp(by_pieces, np.log(whole)).tolist()
@@ -414,8 +526,7 @@ def score_documents(
     words = written(word_counts(docs.filter(~held), text_col), "word-counts")
     n_all, n_distinct = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     frequent, least = hot_words(words, most_hot)
-    short = F.length("word") <= KEPT_BYTES
-    hot = {bytes(w): int(n) for w, n in frequent.filter(short).toPandas().itertuples(index=False)}
+    hot = {bytes(w): int(n) for w, n in frequent.select(_word_key(F.col("word")), "n").toPandas().itertuples(index=False)}
     n_ends = int(words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0)
     own = Model(fit(words, path, passes), hot, n_all, n_ends, n_distinct - (n_ends > 0))
     model = spark.sparkContext.broadcast(own)
@@ -438,7 +549,7 @@ def score_documents(
     cold = (
         scored.select("_row", F.explode(F.arrays_zip("rare", "times", "by_pieces")).alias("r"))
         .select("_row", F.col("r.rare").alias("word"), F.col("r.times").alias("k"), F.col("r.by_pieces").alias("by_pieces"))
-        .join(words.filter((F.col("n") <= least) | ~short), "word")
+        .join(words.filter(F.col("n") <= least), "word")
         .groupBy("_row")
         .agg(
             F.sum("k").alias("cold_known"),
