@@ -75,6 +75,69 @@ EVIDENCE = {
 }
 # Columns that may hold an evidence's id, in the order of trial.
 EVIDENCE_IDS = ("ID_SINAL", "ID_EPISODIO", "ID_GRUPO", "ID_CONTEXTO")
+# What a transaction is to the signal that it's linked to.
+ROLES = {
+    "T01": "transacao_sinalizada",
+    "T02": "transacao_sinalizada",
+    "T03": "transacao_do_grupo",
+    "T04": "transacao_do_grupo",
+    "T05": "transacao_do_episodio",
+    "T06": "transacao_fornecedor_top1",
+    "T07": "saque_em_episodio_recorrente",
+    "T08": "transacao_drilldown",
+    "T09": "transacao_comparada_a_referencia",
+}
+# Weekdays, Monday first.
+WEEKDAYS = ("segunda-feira", "terça-feira", "quarta-feira", "quinta-feira", "sexta-feira", "sábado", "domingo")
+# Each rule's basis, limitation and text for citizens in the master table.
+SIGNAL_TEXTS = {
+    "T01": (
+        "Despesa em final de semana: verificar justificativa documental.",
+        "A base pública não contém a justificativa.",
+        "Esta compra foi registrada em um final de semana. O registro isoladamente não permite concluir que a despesa seja irregular.",
+    ),
+    "T02": (
+        "Classificação operacional de compra parcelada.",
+        "A classificação exige conferência da fatura e documentos.",
+        "O Portal classificou esta operação como relacionada a compra parcelada. A classificação exige conferência documental.",
+    ),
+    "T03": (
+        "Duplicação anormal como mecanismo de drill-down.",
+        "Transações distintas podem ter a mesma data, fornecedor e valor.",
+        "Foram encontradas duas ou mais transações com o mesmo portador, fornecedor, data e valor. A repetição pode decorrer de operações legítimas.",
+    ),
+    "T04": (
+        "Análise conjunta de agentes supridos da mesma UG.",
+        "O Portal não informa o objeto adquirido.",
+        "Portadores diferentes da mesma unidade realizaram transações de mesmo valor, no mesmo dia e fornecedor. O padrão não permite afirmar divisão da mesma despesa.",
+    ),
+    "T05": (
+        "Recorrência de aquisições na mesma UG e fornecedor como proxy comportamental.",
+        "A base não informa o objeto adquirido; o sinal não confirma fracionamento.",
+        "A mesma unidade realizou várias compras de valores semelhantes junto ao mesmo fornecedor em curto intervalo e por mais de um portador.",
+    ),
+    "T06": (
+        "Indicador de concentração em fornecedor associado a boas práticas de diversificação.",
+        "Concentração não equivale a direcionamento.",
+        "Uma parcela elevada das compras identificáveis desta unidade foi realizada com o mesmo fornecedor.",
+    ),
+    "T07": (
+        "Recorrência anual de dias com múltiplos saques; modalidade de saque exige contexto e autorização próprios.",
+        "A base não contém o ato de concessão nem a justificativa do saque.",
+        "O portador repetiu episódios de múltiplos saques em vários dias do exercício e ficou entre os maiores valores relativos do período.",
+    ),
+    "T08": (
+        "Lei de Newcomb-Benford — extremo relativo do MAD D12 entre UGs comparáveis no mesmo exercício.",
+        "Benford não prova fraude; a população e o processo gerador devem ser considerados.",
+        "Esta UG ficou entre os maiores afastamentos relativos de Benford em um exercício com número suficiente de unidades comparáveis.",
+    ),
+    "T09": (
+        "Portaria MF 95/2002 ou Portaria Normativa MF 1.344/2023, conforme vigência, em cenários paralelos de categoria.",
+        "A categoria/objeto da despesa e o ato de concessão não estão disponíveis; a classificação é não conclusiva.",
+        "O valor foi comparado com referências financeiras vigentes em dois cenários possíveis. A situação de cada cenário é mostrada separadamente "
+        "como abaixo, próxima, no limite ou acima. Isso não confirma irregularidade.",
+    ),
+}
 # Codes of the 27 federative units.
 UFS = (
     "AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA",

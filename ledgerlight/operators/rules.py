@@ -266,6 +266,7 @@ def concentration(staged: DataFrame) -> DataFrame:
     found = shares.groupBy(*UNIT_YEAR).agg(
         F.count(F.lit(1)).alias("N_FORNECEDORES"),
         F.sum("V").alias("TOTAL_IDENTIFICADO_CENTAVOS"),
+        F.sum("Q").alias("N_COMPRAS_IDENTIFICADAS"),
         first("FAVORECIDO_ID").alias("TOP1_FAVORECIDO_ID"),
         first("SHARE").alias("TOP1_SHARE_VALOR"),
         first("SHARE_Q").alias("TOP1_SHARE_QTD"),
@@ -305,13 +306,13 @@ def concentration_rows(staged: DataFrame, signals: DataFrame) -> DataFrame:
 # T07: withdrawals
 
 
-def _withdrawals(staged: DataFrame, card: str) -> DataFrame:
+def effective_withdrawals(staged: DataFrame, card: str) -> DataFrame:
     return staged.filter(x.true("EH_SAQUE_EFETIVO") & _known("DATA_DT", "UG_ID", card, "VALOR_CENTAVOS"))
 
 
 def daily_withdrawals(staged: DataFrame, card: str = CARD, least: int = 2, reinforced: int = 3) -> DataFrame:
     groups = (
-        _withdrawals(staged, card)
+        effective_withdrawals(staged, card)
         .groupBy("UG_ID", card, "ANO_TRANSACAO", "DATA_DT")
         .agg(
             F.count(F.lit(1)).alias("N"),
@@ -331,7 +332,7 @@ def daily_withdrawals(staged: DataFrame, card: str = CARD, least: int = 2, reinf
 
 def daily_withdrawal_rows(staged: DataFrame, daily: DataFrame, card: str = CARD) -> DataFrame:
     keys = ["UG_ID", card, "DATA_DT"]
-    return _withdrawals(staged, card).join(daily.select(*keys, "ID_EPISODIO"), keys).select("ID_EPISODIO", "ID_TRANSACAO")
+    return effective_withdrawals(staged, card).join(daily.select(*keys, "ID_EPISODIO"), keys).select("ID_EPISODIO", "ID_TRANSACAO")
 
 
 def withdrawal_recurrence(

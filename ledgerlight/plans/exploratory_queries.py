@@ -101,14 +101,14 @@ QUERIES = {
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY DIGITO ORDER BY N DESC, VALOR_CENTAVOS)::INT AS ORDEM FROM g) WHERE ORDEM <= 5""",
     ),
     "GOV-07": (_grid, GRID_SQL),
-    "SET-10": (
+    "SET-10-daily": (
         _signals,
         f"""{T07_SQL}, {T04_SQL} SELECT 'T07' AS TRILHA, CASE WHEN N >= 3 THEN 'REFORCADO' ELSE 'ATENCAO' END AS NIVEL, UG_ID, ANO_TRANSACAO AS ANO,
   '{{"n":' || N || ',"total":' || TOTAL_CENTAVOS || '}}' AS EVIDENCIA FROM daily
 UNION ALL SELECT 'T04', CASE WHEN P >= 5 THEN 'MUITO_ELEVADO' WHEN P >= 3 THEN 'ELEVADO' ELSE 'ATENCAO' END, UG_ID, year(DATA_DT)::INT,
   '{{"n":' || N || ',"portadores":' || P || '}}' FROM m""",
     ),
-    "SET-08": (
+    "SET-08-daily": (
         _bridge,
         f"""{T07_SQL}, {T04_SQL} SELECT 'T07' AS TRILHA, sum(N)::BIGINT AS N, count(*) AS N_SINAIS FROM daily UNION ALL SELECT 'T04', sum(N)::BIGINT, count(*) FROM m""",
     ),

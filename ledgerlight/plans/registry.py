@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import diagnostic_queries, exploratory_queries, governance_queries, identity_queries, rule_queries, source_queries, text_queries
+from . import diagnostic_queries, exploratory_queries, governance_queries, identity_queries, master_queries, rule_queries, source_queries, text_queries
 
 FLAGSHIP = "AGG-02"
 
-_MODULES = (rule_queries, governance_queries, diagnostic_queries, text_queries, exploratory_queries, identity_queries, source_queries)
+_MODULES = (rule_queries, governance_queries, diagnostic_queries, text_queries, exploratory_queries, identity_queries, master_queries, source_queries)
 
 
 def queries() -> dict:

@@ -110,7 +110,7 @@ sh AS (SELECT *, V::DOUBLE / sum(V) OVER u AS SHARE, Q::DOUBLE / sum(Q) OVER u A
     row_number() OVER (PARTITION BY UG_ID, ANO_TRANSACAO ORDER BY V DESC, FAVORECIDO_ID) AS RN,
     row_number() OVER (PARTITION BY UG_ID, ANO_TRANSACAO ORDER BY Q DESC, FAVORECIDO_ID) AS RN_Q
   FROM sup WINDOW u AS (PARTITION BY UG_ID, ANO_TRANSACAO)),
-f AS (SELECT UG_ID, ANO_TRANSACAO, count(*) AS N_FORNECEDORES, sum(V)::BIGINT AS TOTAL_IDENTIFICADO_CENTAVOS,
+f AS (SELECT UG_ID, ANO_TRANSACAO, count(*) AS N_FORNECEDORES, sum(V)::BIGINT AS TOTAL_IDENTIFICADO_CENTAVOS, sum(Q)::BIGINT AS N_COMPRAS_IDENTIFICADAS,
     max(CASE WHEN RN = 1 THEN FAVORECIDO_ID END) AS TOP1_FAVORECIDO_ID, max(CASE WHEN RN = 1 THEN SHARE END) AS TOP1_SHARE_VALOR,
     max(CASE WHEN RN = 1 THEN SHARE_Q END) AS TOP1_SHARE_QTD, sum(CASE WHEN RN <= 5 THEN SHARE END) AS TOP5_SHARE_VALOR, sum(SHARE * SHARE) AS HHI,
     max(CASE WHEN RN_Q = 1 THEN FAVORECIDO_ID END) AS TOP1_FAVORECIDO_QTD, max(CASE WHEN RN_Q = 1 THEN SHARE_Q END) AS TOP1_SHARE_QTD_MAX
