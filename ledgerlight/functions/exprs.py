@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 from ..model import COMPLETE_YEARS, RULES_VERSION
 
 
-def _unmarked() -> tuple[str, str]:
-    """Characters of one code unit whose compatibility decomposition holds just one ASCII character, and that character."""
-    pairs = []
-    for code in range(0x80, 0xFFFF):
-        own = [c for c in normalize("NFKD", chr(code)) if c < "\x80"]
-        if len(own) == 1:
-            pairs.append((chr(code), own[0]))
-    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+def _decompositions() -> dict[str, str]:
+    """Characters beyond ASCII whose compatibility decomposition holds ASCII characters, with those. None lies beyond the second plane."""
+    parts = ((chr(c), "".join(p for p in normalize("NFKD", chr(c)) if p < "\x80")) for c in range(0x80, 0x20000))
+    return {c: p for c, p in parts if p}
 
 
-_MARKED, _PLAIN = _unmarked()
+_PARTS = _decompositions()
+_MARKED = "".join(c for c, p in _PARTS.items() if len(p) == 1)
+_PLAIN = "".join(p for p in _PARTS.values() if len(p) == 1)
+_LONG = {c: p for c, p in _PARTS.items() if len(p) > 1}
+
+
+def _spelled_out(text: Column) -> Column:
+    """Characters that stand for several ASCII characters become those; texts without any aren't taken apart."""
+    parts = F.split(F.lit("\0".join(_LONG.values())), "\0")
+
+    def own(c: Column) -> Column:
+        place = F.instr(F.lit("".join(_LONG)), c)
+        return F.when(place > 0, F.element_at(parts, place)).otherwise(c)
+
+    return F.when(text.rlike(f"[{''.join(_LONG)}]"), F.array_join(F.transform(F.split(text, ""), own), "")).otherwise(text)
 
 
 def bound(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -46,9 +56,9 @@ def digits(c: Column) -> Column:
 
 
 def folded_name(c: Column) -> Column:
-    """Upper case, single spaces, no marks; other characters beyond ASCII are dropped."""
-    text = F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    return F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Upper case, single spaces, compatibility characters decomposed; what is left beyond ASCII is dropped."""
+    text = F.upper(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x1c-\x1f\x85\p{Z}]+", " ")))
+    return F.regexp_replace(F.translate(_spelled_out(text), _MARKED, _PLAIN), r"[^\x00-\x7F]", "")
 
 
 def folded_lower(c: Column) -> Column:

@@ -110,3 +110,23 @@ def test_names_are_folded_by_compatibility_decomposition(spark):
     got = spark.createDataFrame([(n, t) for n, t in enumerate(names)], "n int, t string").select("n", folded_name(F.col("t")).alias("f")).orderBy("n").collect()
     want = [normalize("NFKD", " ".join((t or "").split()).upper()).encode("ascii", "ignore").decode() for t in names]
     assert [r.f for r in got] == want and want[0] == "KOVAC"
+
+
+def test_every_character_is_folded_as_its_decomposition(spark):
+    """Each code point beside letters, alone and lower-cased, and some texts of several."""
+    from unicodedata import normalize
+
+    import pandas as pd
+
+    from ledgerlight.functions.exprs import folded_name
+
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    decomposed = [c for c in chars if c < "\x80" or normalize("NFKD", c) != c]
+    whole = set(chars).difference(decomposed)
+    texts = [f"a{c}b" for c in sorted(whole)][::97] + [f"a{c}b" for c in decomposed] + [f"{c} {c}{c}" for c in decomposed]
+    texts += ["½ litro nº 5 ™", "ĳ ﬁm Ⅷ", "㎏ a\u3000b\x1cc", "𝐀𝟗 🄐 🅋", "ǆ ǅ ŉ ß"]
+    frame = spark.createDataFrame(pd.DataFrame({"n": range(len(texts)), "t": texts})).repartition(8)
+    got = frame.select("n", folded_name(F.col("t")).alias("f")).toPandas().sort_values("n")["f"]
+    want = [normalize("NFKD", " ".join(t.split()).upper()).encode("ascii", "ignore").decode() for t in texts]
+    assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+    assert list(got)[-5:] == ["12 LITRO No 5 TM", "IJ FIM VIII", "kg A B C", "A9 (A) MV", "DZ DZ N SS"]
