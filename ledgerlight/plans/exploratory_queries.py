@@ -84,6 +84,14 @@ DIST_SQL = """count(*) AS N, round(avg(VALOR_CENTAVOS::DOUBLE), 6) AS MEDIA, rou
   round(skewness(VALOR_CENTAVOS::DOUBLE), 6) AS ASSIMETRIA, min(VALOR_CENTAVOS)::DOUBLE AS MINIMO, max(VALOR_CENTAVOS)::DOUBLE AS MAXIMO,
   round(quantile_cont(VALOR_CENTAVOS::DOUBLE, 0.99), 6) AS P99, round(avg((VALOR_CENTAVOS % 100 = 0)::INT), 6) AS SHARE_INTEIROS, round(avg((VALOR_CENTAVOS % 1000 = 0)::INT), 6) AS SHARE_DEZENAS"""
 
+#: ``\\b`` beside a letter, where letters beyond ASCII count too, as they do in the cascade's patterns; DuckDB's own knows ASCII only.
+_EDGE = "[^\\pL\\p{Nd}_]"
+
+
+def _whole(*words: str) -> str:
+    return f"(^|{_EDGE})({'|'.join(words)})($|{_EDGE})"
+
+
 QUERIES = {
     "AGG-22": (lambda s, d: ex.by_code(lines(s, d)), f"{LI} SELECT TRANSACAO AS CODIGO, count(*) AS N, sum(VALOR_CENTAVOS)::BIGINT AS TOTAL_CENTAVOS FROM stg GROUP BY ALL"),
     "AGG-22b": (lambda s, d: r(ex.value_distribution(lines(s, d), ["ANO_TRANSACAO"]), *_DIST), f"{LI} SELECT ANO_TRANSACAO, {DIST_SQL} FROM stg GROUP BY ALL"),
@@ -131,7 +139,7 @@ FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP
     ),
     "TXT-08": (
         _routes,
-        """SELECT CASE WHEN regexp_matches(t, 'thion|erat') THEN 'A' WHEN regexp_matches(t, '\\bde\\b') THEN 'B' WHEN regexp_matches(t, '\\bder\\b|\\bdie\\b') THEN 'C' ELSE 'D' END AS ROTA, count(*) AS N
+        f"""SELECT CASE WHEN regexp_matches(t, 'thion|erat') THEN 'A' WHEN regexp_matches(t, '{_whole("de")}') THEN 'B' WHEN regexp_matches(t, '{_whole("der", "die")}') THEN 'C' ELSE 'D' END AS ROTA, count(*) AS N
 FROM (SELECT lower(strip_accents(coalesce(text, ''))) AS t FROM documents) GROUP BY ALL""",
     ),
     "TXT-10": (
