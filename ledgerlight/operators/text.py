@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.exprs import folded_lower
+from ..sources import scratch
 
 FUSION_K = 60
 
@@ -28,25 +30,95 @@ def term_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
-    """(Q, ID, SCORE): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) * query tf, over matching terms.
+def own_frequencies(c: Column) -> Column:
+    """(TERMO, TF) of one text's terms, as an array; the terms are sorted, and a run of equal ones is a term's number."""
+    ends = lambda words: F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == F.size(words)) | (F.get(words, i) != F.get(words, i - 1)))
+    runs = lambda words, at: F.zip_with(
+        at,
+        F.concat(F.array(F.lit(0)), F.slice(at, 1, F.size(at) - 1)),
+        lambda b, a: F.struct(F.get(words, b - 1).alias("TERMO"), (b - a).alias("TF")),
+    )
+    # each step is bound by a lambda of its own, so that it's worked out once
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+    counted = lambda words: bound(ends(words), lambda at: runs(words, at))
+    return bound(F.array_sort(tokens(c)), lambda words: F.when(F.size(words) > 0, counted(words)).otherwise(F.array().cast("array<struct<TERMO:string,TF:int>>")))
 
-    Only terms that a query holds are counted; document frequencies are of the whole corpus.
+
+def _weighted(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """(ID, TERMO, TF) of the documents' terms that a query holds, and (Q, TERMO, W) with (ln((1 + N) / (1 + df)) + 1) * query tf as weight.
+
+    Document frequencies are of the whole corpus. The first table is written, since it is read for them and for the scores.
     """
     asked = term_frequencies(queries, query_id, query_text).select(F.col("ID").alias("Q"), "TERMO", F.col("TF").alias("QTF"))
     terms = asked.select("TERMO").distinct()
     words = docs.select(F.col(id_col).alias("ID"), F.explode(tokens(F.col(text_col))).alias("TERMO"))
-    found = words.join(terms, "TERMO", "left_semi").groupBy("ID", "TERMO").agg(F.count(F.lit(1)).alias("TF"))
+    found = scratch.written(words.join(terms, "TERMO", "left_semi").groupBy("ID", "TERMO").agg(F.count(F.lit(1)).alias("TF")), "found_terms")
     frequency = found.groupBy("TERMO").agg(F.count(F.lit(1)).alias("DF"))
     size = docs.agg(F.count(F.lit(1)).alias("N_DOCS"))
-    weighted = asked.join(frequency, "TERMO").crossJoin(F.broadcast(size))
     idf = F.log((1 + F.col("N_DOCS")) / (1 + F.col("DF"))) + 1
-    return (
-        found.join(weighted, "TERMO")
-        .groupBy("Q", "ID")
-        .agg(F.sum((1 + F.log(F.col("TF").cast("double"))) * idf * F.col("QTF")).alias("SCORE"))
-        .filter("SCORE > 0")
-    )
+    return found, asked.join(frequency, "TERMO").crossJoin(F.broadcast(size)).select("Q", "TERMO", (idf * F.col("QTF")).alias("W"))
+
+
+def lexical_scores(docs: DataFrame, queries: DataFrame, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
+    """(Q, ID, SCORE): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) * query tf, over matching terms. A row per query and matching document; ``lexical_top`` makes none.
+
+    Only terms that a query holds are counted; document frequencies are of the whole corpus.
+    """
+    found, weighted = _weighted(docs, queries, id_col, text_col, query_id, query_text)
+    score = F.sum((1 + F.log(F.col("TF").cast("double"))) * F.col("W"))
+    return found.join(weighted, "TERMO").groupBy("Q", "ID").agg(score.alias("SCORE")).filter("SCORE > 0")
+
+
+def lexical_top(docs: DataFrame, queries: DataFrame, limit: int, id_col="doc_id", text_col="text", query_id="item_id", query_text="text") -> DataFrame:
+    """(Q, ID, SCORE, POSICAO): the best ``limit`` by the scores of ``lexical_scores``, rounded to six places so that sums of any order rank alike."""
+    found, weighted = _weighted(docs, queries, id_col, text_col, query_id, query_text)
+    return best_by_terms(found, weighted, limit, docs.count(), queries.count())
+
+
+def best_by_terms(found: DataFrame, asked: DataFrame, limit: int, n: int, n_asked: int, block: int = 4096, asked_block: int = 4096) -> DataFrame:
+    """(Q, ID, SCORE, POSICAO): the best ``limit`` per query by the sum of (1 + ln tf) * W over shared terms, rounded to six places; ties to the smaller id.
+
+    ``found``: a row (ID, TERMO, TF) per id and term, of ``n`` ids at most; ``asked``: a row (Q, TERMO, W) per query and term, of ``n_asked`` queries at most.
+    Ids and queries are dealt to blocks, and a cell of two blocks passes on its own best per query, so that no row is made per query and id.
+    """
+    kinds = {c: df.schema[c].dataType for df, c in ((asked, "Q"), (found, "ID"))}
+    number = isinstance(kinds["ID"], IntegralType)
+    n_rows, n_queries = max(1, -(-n // block)), max(1, -(-n_asked // asked_block))
+    own = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asked.select(F.col("Q").cast("string").alias("Q"), "TERMO", "W", own("Q", n_queries).alias("QB"), every(n_rows).alias("RB"))
+    terms = asked.select("TERMO").distinct()
+    met = found.join(F.broadcast(terms) if n_queries == 1 else terms, "TERMO", "left_semi")  # one block's terms are few
+    right = met.select(F.col("ID").cast("string").alias("ID"), "TERMO", "TF", own("ID", n_rows).alias("B"), every(n_queries).alias("A"))
+
+    def order(name: str | None) -> tuple:
+        return (name is not None, 0 if name is None else int(name) if number else name)
+
+    def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            ids = np.array(sorted(set(r["ID"]), key=order), dtype=object)
+            code, terms = pd.factorize(r["TERMO"])
+            by_term = np.argsort(code, kind="stable")
+            at = np.array(r["ID"].map({name: k for k, name in enumerate(ids)}), dtype=int)[by_term]
+            share = (1 + np.log(r["TF"].to_numpy(dtype=float)))[by_term]
+            end = np.cumsum(np.bincount(code))
+            places = {t: slice(a, b) for t, a, b in zip(terms, end - np.bincount(code), end, strict=True)}
+            for name, asks in q.groupby("Q", dropna=False, sort=False):
+                score = np.zeros(len(ids))
+                for term, weight in zip(asks["TERMO"], asks["W"], strict=True):
+                    if (s := places.get(term)) is not None:
+                        score[at[s]] += share[s] * weight
+                score = np.floor(score * 1e6 + 0.5) / 1e6
+                least = np.partition(score, -limit)[-limit] if len(ids) > limit else 0
+                among = np.flatnonzero((score >= least) & (score > 0))
+                best = among[np.argsort(-score[among], kind="stable")[:limit]]
+                out += [(None if pd.isna(name) else name, ids[k], score[k]) for k in best]
+        q_names, id_names, scores = zip(*out, strict=True) if out else ((), (), ())
+        return pd.DataFrame({"Q": pd.Series(q_names, dtype=object), "ID": pd.Series(id_names, dtype=object), "SCORE": pd.Series(scores, dtype=float)})
+
+    cells = left.groupBy("QB", "RB").cogroup(right.groupBy("A", "B")).applyInPandas(cell, "Q string, ID string, SCORE double")
+    return top(cells.select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()), "SCORE"), limit)
 
 
 def allowed(docs: DataFrame, accepted: Mapping[str, Collection[str]], default: Column | None = None, include_non_default: bool = False) -> DataFrame:

@@ -10,22 +10,13 @@ from .adapters import _table
 from .rule_queries import r
 
 
-def _scores(spark, d):
-    return text.lexical_scores(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
-
-
 def _vector_top(spark, d):
     v = _table(spark, d, "embeddings").select("vec_id", "embedding")
     return text.vector_top(v, v.filter("vec_id % 50 = 0"), 10)
 
 
-def _ranked(scores, limit=10):
-    """The best per query by rounded scores, so that sums of any order rank alike."""
-    return text.top(r(scores, "SCORE"), limit)
-
-
-def _lexical(spark, d):
-    return _ranked(_scores(spark, d))
+def _lexical(spark, d, limit=10):
+    return text.lexical_top(_table(spark, d, "documents"), _table(spark, d, "benchmark"), limit)
 
 
 def _fused(spark, d, limit=5):
@@ -33,7 +24,7 @@ def _fused(spark, d, limit=5):
     most = text.candidates(limit)
     v, asked = _table(spark, d, "embeddings").select("vec_id", "embedding"), _table(spark, d, "benchmark")
     own = v.join(asked.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
-    return text.fused([_ranked(_scores(spark, d), most), text.vector_top(v, own, most)], limit)
+    return text.fused([_lexical(spark, d, most), text.vector_top(v, own, most)], limit)
 
 
 def _measures(spark, d):

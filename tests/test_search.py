@@ -122,3 +122,34 @@ def test_measures_by_category(spark):
     got = {r.CATEGORIA: (r.N_CASOS, r.HIT, r.RECALL) for r in search_index.averaged(measures, queries, "kind").collect()}
     assert got == {"TODAS": (2, 0.5, 0.25), "x": (1, 1.0, 0.5), "y": (1, 0.0, 0.0)}
     assert search_index.averaged(measures, queries).filter(F.col("MRR") == 0.5).count() == 1
+
+
+def by_pair(df):
+    """Whether a plan groups by query and id, which takes a row of each pair."""
+    return re.search(r"Aggregate \[Q#\d+L?, ID#\d+L?\]", df._jdf.queryExecution().optimizedPlan().toString()) is not None
+
+
+def test_no_row_per_query_and_piece(spark, corpus, tmp_path):
+    pieces, queries = corpus
+    df = spark.createDataFrame(pieces, "CHUNK_ID string, doc long, lang string, usual boolean, TEXTO string")
+    asked = spark.createDataFrame(queries, "item_id long, text string")
+    assert not by_pair(search_index.search(search_index.build(df, str(tmp_path / "index")), asked, 5))
+    docs = df.select(F.col("CHUNK_ID").alias("doc_id"), F.col("TEXTO").alias("text"))
+    assert by_pair(text.lexical_scores(docs, asked)) and not by_pair(text.lexical_top(docs, asked, 5))
+
+
+def test_best_documents_by_words(spark, corpus):
+    pieces, queries = corpus
+    docs = [(int(i[1:]) + 1000 * (i[0] == "q"), t) for i, *_, t in pieces]
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+    found = {}
+    for r in sorted(text.lexical_top(df, asked, 7).collect(), key=lambda r: (r.Q, r.POSICAO)):
+        found.setdefault(r.Q, []).append(r.ID)
+    assert found == plain([(i, None, None, None, t) for i, t in docs], queries, 7, lambda *_: True)
+
+
+def test_terms_of_one_text(spark):
+    rows = [(1, "b aa Aa ção aa cao zz"), (2, ""), (3, None), (4, "x y"), (5, "ab")]
+    df = spark.createDataFrame(rows, "k int, t string").select("k", text.own_frequencies(F.col("t")).alias("e"))
+    got = {r.k: {e.TERMO: e.TF for e in r.e} for r in df.collect()}
+    assert got == {1: {"aa": 3, "cao": 2, "zz": 1}, 2: {}, 3: {}, 4: {}, 5: {"ab": 1}}
