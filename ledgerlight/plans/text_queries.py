@@ -108,7 +108,7 @@ def _gold(spark, d):
     runs = lambda df, key, name: (
         df.select(F.col(key).alias(name), words(F.col("text")).alias("w"))
         .filter(F.size("w") >= SHARED)
-        .select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - SHARED + 1), lambda i: F.array_join(F.slice("w", i, SHARED), " ")))).alias("s"))
+        .select(name, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - SHARED + 1), lambda i: F.array_join(F.slice("w", i, SHARED), " "))).alias("s"))
     )
     return runs(_table(spark, d, "benchmark"), "item_id", "Q").join(runs(_table(spark, d, "documents"), "doc_id", "ID"), "s").select("Q", "ID").distinct()
 
@@ -121,7 +121,8 @@ def _categories(spark, d):
 def _evaluated(spark, d):
     index = _index(spark, d)
     documents = search_index.by_document(_search(spark, d, 20), index.pieces, "doc_id")
-    measures = text.retrieval_measures(documents, _gold(spark, d), 5)
+    gold = scratch.written(_gold(spark, d), "gold")  # both tables are read several times below
+    measures = scratch.written(text.retrieval_measures(documents, gold, 5), "measures")
     return r(search_index.averaged(measures, _categories(spark, d), "CATEGORIA"), "HIT", "RECALL", "MRR", "AP")
 
 

@@ -153,3 +153,10 @@ def test_terms_of_one_text(spark):
     df = spark.createDataFrame(rows, "k int, t string").select("k", text.own_frequencies(F.col("t")).alias("e"))
     got = {r.k: {e.TERMO: e.TF for e in r.e} for r in df.collect()}
     assert got == {1: {"aa": 3, "cao": 2, "zz": 1}, 2: {}, 3: {}, 4: {}, 5: {"ab": 1}}
+
+
+def test_evaluation_reads_its_tables_once(spark):
+    from ledgerlight.plans import text_queries
+
+    files = text_queries._evaluated(spark, "/root/testdata/sf0.001").inputFiles()
+    assert not any("documents.parquet" in f or "embeddings" in f for f in files)
