@@ -3,6 +3,7 @@
 from statistics import median
 
 from ledgerlight.functions import ranks
+from ledgerlight.operators import rules, windows
 from ledgerlight.plans.adapters import both, events, lines
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +31,21 @@ def test_medians_by_ranks(spark):
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("e", None)], "g string, v double")
     got = {r.g: r.m for r in ranks.medians(df, "v", ["g"], "m").collect()}
     assert got == {g: median(v for v in vs if v is not None) for g, vs in groups.items()}
+
+
+def _shuffles(df):
+    """Shuffles of a plan that aren't another's again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_repetitions_share_one_shuffle(spark):
+    fact = both(spark, SF)
+    t03, t04 = rules.exact_repetition(fact), rules.multi_cardholder(fact)
+    assert _shuffles(t03.select("UG_ID", "N").unionByName(t04.select("UG_ID", "N"))) == 1
+
+
+def test_windows_deal_purchases_once(spark):
+    metrics = windows.window_metrics(windows.recurring_purchases(both(spark, SF), "PORTADOR_ID"), [3])
+    assert _shuffles(metrics) == 1
