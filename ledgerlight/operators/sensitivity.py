@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import exprs as x
-from . import benford, primary, rules
+from ..sources import scratch
+from . import benford, primary, rules, windows
 from .rules import CARD
 
 # The scenarios of each rule's thresholds.
@@ -111,30 +112,41 @@ def contract(
     ``settings`` gives the baseline's thresholds, as for ``primary_outputs``; ``thresholds`` the scenarios'.
     """
     own = {**dict.fromkeys(model.EVIDENCE, {}), **(settings or {})}
-    outputs = primary.primary_outputs(staged, limits, card, settings)
+    near = float(own["T09"].get("near", 0.90))
+    classified = rules.classify_limits(staged, limits, near)
+    concentration = scratch.written(rules.concentration(staged), "concentration")
+    daily = scratch.written(rules.daily_withdrawals(staged, card), "withdrawals")
+    found = primary.shared_repetitions(staged, card, own)
+    forensic = {"least": 300, "formal": 1000, "years": model.COMPLETE_YEARS, **own["T08"]}
+    outputs = {  # as many rows as the rules' signals, without evidence that isn't counted
+        "T01": staged.filter(rules.on_weekend()),
+        "T02": staged.filter(rules.has_code()),
+        "T03": rules.exact_repetition(staged, card, **own["T03"], found=found),
+        "T04": rules.multi_cardholder(staged, card, **own["T04"], found=found),
+        "T05": rules.strongest_windows(rules.passing_windows(windows.recurring_purchases(staged, card), **{k: v for k, v in own["T05"].items() if k != "tolerance"})),
+        "T06": rules.concentration_signals(concentration, **own["T06"]),
+        "T07": rules.withdrawal_flags(daily, card, **own["T07"]),
+        "T08": benford.benford_flags(staged, forensic["least"], forensic["formal"], forensic["years"]),
+        "T09": rules.limit_signals(classified),
+    }
     counted = reduce(
         DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("N_SINAIS_BASELINE")).select(F.lit(t).alias("TRILHA"), "N_SINAIS_BASELINE") for t, df in outputs.items())
     )
     base = lambda t: counted.filter(F.col("TRILHA") == t)
     n, limit = F.col("N"), F.col("LIMIAR")
-    near = float(own["T09"].get("near", 0.90))
 
     def stepped(trail: str, df: DataFrame, value: Column, usual: float, **more) -> DataFrame:
         steps = thresholds[trail]
         name = F.element_at(F.create_map(*(c for t in steps for c in (F.lit(float(t)), F.lit(_text(t))))), limit)
         return _scenarios(counts_at_or_above(df, value, steps, more.pop("apart", None)), trail, name, n, "EXPERIMENTAL", F.abs(limit - usual) < 1e-9, **more)
 
-    concentration = rules.concentration(staged)
     suppliers = {"purchases": 20, "suppliers": 3, "coverage": 0.80, **{k: v for k, v in own["T06"].items() if k != "levels"}}
     share = own["T06"].get("levels", (0.50,))[0]
     eligible = concentration.filter(
         (F.col("N_COMPRAS") >= suppliers["purchases"]) & (F.col("N_FORNECEDORES") >= suppliers["suppliers"]) & (F.col("COBERTURA") >= suppliers["coverage"])
     )
     days, quantile = own["T07"].get("days", 3), own["T07"].get("quantile", 0.9)
-    withdrawals = withdrawal_scenarios(
-        rules.daily_withdrawals(staged, card), thresholds["T07_DIAS"], thresholds["T07_PERCENTIS"], card, own["T07"].get("comparable", 10)
-    )
-    classified = rules.classify_limits(staged, limits, near)
+    withdrawals = withdrawal_scenarios(daily, thresholds["T07_DIAS"], thresholds["T07_PERCENTIS"], card, own["T07"].get("comparable", 10))
     fixed = F.col("STATUS_COMPRAS").isin("NO_LIMITE", "ACIMA_LIMITE") | F.col("STATUS_ENGENHARIA").isin("NO_LIMITE", "ACIMA_LIMITE")
     nearest = F.greatest(F.col("VALOR_CENTAVOS") / F.col("LIMITE_COMPRAS"), F.col("VALOR_CENTAVOS") / F.col("LIMITE_ENGENHARIA"))
     t05 = {"days": 30, "least": 5, "cards": 2, "max_cv": 0.20, **own["T05"]}

@@ -3,8 +3,9 @@
 from statistics import median
 
 from ledgerlight.functions import ranks
-from ledgerlight.operators import rules, windows
-from ledgerlight.plans.adapters import both, events, lines
+from ledgerlight.operators import governance, primary, rules, windows
+from ledgerlight.plans.adapters import TEST_LIMITS, both, events, lines
+from ledgerlight.plans.governance_queries import SETTINGS
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,42 @@ def test_repetitions_share_one_shuffle(spark):
 def test_windows_deal_purchases_once(spark):
     metrics = windows.window_metrics(windows.recurring_purchases(both(spark, SF), "PORTADOR_ID"), [3])
     assert _shuffles(metrics) == 1
+
+
+def test_fact_is_written_without_ids(spark):
+    files = both(spark, SF).inputFiles()
+    assert "ID_TRANSACAO" not in spark.read.parquet(*files).columns
+
+
+def test_flags_without_evidence(spark):
+    fact, limits = both(spark, SF), rules.limits_table(spark, TEST_LIMITS)
+    for settings in (SETTINGS, {**SETTINGS, "T03": {"least": 1}, "T05": {"days": 20, "least": 3, "max_cv": 0.9}, "T07": {"days": 1}}):
+        got = primary.primary_flags(fact, limits, settings=settings)
+        want = governance.flag_records(primary.primary_outputs(fact, limits, settings=settings))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rare_amounts_go_first(spark):
+    day = [("u", "a", "s", "c", 10), ("u", "b", "s", "c", 10), ("u", "a", "s", "c", 11), ("u", "a", "t", "d", 12), ("u", "a", "t", "d", 12)]
+    rows = spark.createDataFrame(day, "UG_ID string, PORTADOR_ID string, FAVORECIDO_ID string, `TRANSAÇÃO` string, VALOR_CENTAVOS bigint").selectExpr(
+        "*", "DATE'2024-01-02' AS DATA_DT", "TRUE AS EH_COMPRA_EFETIVA", "FALSE AS EH_AJUSTE_CONTESTACAO", "TRUE AS FAVORECIDO_IDENTIFICADO"
+    )
+    assert sorted((r.PORTADOR_ID, r.VALOR_CENTAVOS, r.N) for r in rules.repetitions(rows).collect()) == [("a", 10, 1), ("a", 12, 2), ("b", 10, 1)]
+    assert rules.repetitions(rows, least=1).count() == 4
+
+
+def test_supplier_years_of_few_purchases_go_first(spark):
+    rows = windows.recurring_purchases(both(spark, SF), "PORTADOR_ID")
+    few = windows.window_metrics(rows, [30], 3)
+    every = windows.window_metrics(rows, [30])
+    assert few.count() < every.count()
+    kept = lambda df: sorted(map(str, df.filter("N >= 3").collect()))
+    assert kept(few) == kept(every)
+
+
+def test_matrix_joins_flags_once(spark):
+    fact, limits = both(spark, SF), rules.limits_table(spark, TEST_LIMITS)
+    matrix = primary.supplier_matrix(fact, primary.primary_flags(fact, limits, settings=SETTINGS).localCheckpoint())
+    joins = [line for line in matrix._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert len(joins) == 2
+    assert matrix.columns[-2:] == ["T08", "T09"]
