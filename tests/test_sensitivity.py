@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import sensitivity
+from ledgerlight.operators import rules, sensitivity
+from ledgerlight.plans.adapters import TEST_LIMITS, both
+from ledgerlight.plans.governance_queries import SETTINGS
+from ledgerlight.sources import scratch
 
 
 def test_steps_count_what_reaches_each_threshold(spark):
@@ -46,3 +49,11 @@ def test_populations_leave_out_multiples(spark):
     assert got == {
         name: sum(c >= 1_000 and (not m or c % m != 0) for c in cents) for name, m in sensitivity.POPULATIONS.items()
     }
+
+
+def test_contract_makes_no_evidence(spark, monkeypatch):
+    fact, limits = both(spark, "/root/testdata/sf0.001"), rules.limits_table(spark, TEST_LIMITS)
+    names, written = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: names.append(name) or written(df, name))
+    sensitivity.contract(fact, limits, settings=SETTINGS)
+    assert sorted(names) == ["concentration", "digits", "repetitions", "withdrawals"]
