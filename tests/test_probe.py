@@ -59,3 +59,14 @@ def test_only_the_start_is_read(spark, tmp_path):
     assert len(probe.first_bytes(spark, path, 100)) == 100
     (tmp_path / "empty").mkdir()
     assert probe.first_bytes(spark, str(tmp_path / "empty")) == b""
+
+
+def test_no_character_is_cut(spark, tmp_path):
+    """Wherever the first bytes end, a UTF-8 file stays one."""
+    path = tmp_path / "a.csv"
+    path.write_bytes("código;valor\nééé;1\nééé;2\n".encode())
+    size = path.stat().st_size
+    for most in range(14, size + 2):
+        layout = probe.layout_of(probe.first_bytes(spark, str(path), most))
+        assert (layout.encoding, layout.columns) == ("UTF-8", ("código", "valor"))
+    assert len(probe.first_bytes(spark, str(path), size)) == size
