@@ -105,29 +105,29 @@ def _scenarios(rows: DataFrame, trail: str, value: Column, n: Column, control: s
 
 
 def contract(
-    staged: DataFrame, limits: DataFrame, card: str = CARD, settings: Mapping[str, dict] | None = None, thresholds: Mapping[str, Sequence] = THRESHOLDS
+    staged: DataFrame, limits: DataFrame, card: str = CARD, settings: Mapping[str, dict] | None = None, thresholds: Mapping[str, Sequence] = THRESHOLDS, dealt: bool = False
 ) -> DataFrame:
     """All scenarios of all nine rules with the baseline's number of signals; VARIACAO_SINAIS_N is null where the two don't compare.
 
-    ``settings`` gives the baseline's thresholds, as for ``primary_outputs``; ``thresholds`` the scenarios'.
+    ``settings`` gives the baseline's thresholds, as for ``primary_outputs``; ``thresholds`` the scenarios'. ``dealt``: whether the fact is dealt by unit and supplier.
     """
     own = {**dict.fromkeys(model.EVIDENCE, {}), **(settings or {})}
     near = float(own["T09"].get("near", 0.90))
     classified = rules.classify_limits(staged, limits, near)
     concentration = scratch.written(rules.concentration(staged), "concentration")
     daily = scratch.written(rules.daily_withdrawals(staged, card), "withdrawals")
-    found = primary.shared_repetitions(staged, card, own)
+    found = primary.shared_repetitions(staged, card, own, dealt)
     forensic = {"least": 300, "formal": 1000, "years": model.COMPLETE_YEARS, **own["T08"]}
     outputs = {  # as many rows as the rules' signals, without evidence that isn't counted
         "T01": staged.filter(rules.on_weekend()),
         "T02": staged.filter(rules.has_code()),
         "T03": rules.exact_repetition(staged, card, **own["T03"], found=found),
         "T04": rules.multi_cardholder(staged, card, **own["T04"], found=found),
-        "T05": rules.strongest_windows(rules.passing_windows(windows.recurring_purchases(staged, card), **{k: v for k, v in own["T05"].items() if k != "tolerance"})),
+        "T05": rules.strongest_windows(rules.passing_windows(windows.recurring_purchases(staged, card), **{k: v for k, v in own["T05"].items() if k != "tolerance"}, dealt=dealt)),
         "T06": rules.concentration_signals(concentration, **own["T06"]),
         "T07": rules.withdrawal_flags(daily, card, **own["T07"]),
         "T08": benford.benford_flags(staged, forensic["least"], forensic["formal"], forensic["years"]),
-        "T09": rules.limit_signals(classified),
+        "T09": classified.filter("STATUS_T09 <> 'ABAIXO_FAIXAS'"),
     }
     counted = reduce(
         DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("N_SINAIS_BASELINE")).select(F.lit(t).alias("TRILHA"), "N_SINAIS_BASELINE") for t, df in outputs.items())

@@ -4,8 +4,9 @@ from statistics import median
 
 from ledgerlight.functions import ranks
 from ledgerlight.operators import governance, primary, rules, windows
-from ledgerlight.plans.adapters import TEST_LIMITS, both, events, lines
+from ledgerlight.plans.adapters import TEST_LIMITS, both, dealt, events, lines
 from ledgerlight.plans.governance_queries import SETTINGS
+from ledgerlight.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +90,35 @@ def test_matrix_joins_flags_once(spark):
     joins = [line for line in matrix._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
     assert len(joins) == 2
     assert matrix.columns[-2:] == ["T08", "T09"]
+
+
+def test_dealt_fact_moves_no_rows_again(spark):
+    fact = dealt(spark, SF)
+    assert _shuffles(windows.window_metrics(windows.recurring_purchases(fact, "PORTADOR_ID"), [3], 2, dealt=True)) == 0
+    assert _shuffles(rules.multi_cardholder(fact, found=rules.repetitions(fact, dealt=True))) == 0
+    assert _shuffles(rules.supplier_years(fact, {"T01": rules.on_weekend()})) == 0
+    assert _shuffles(governance.supplier_year_universe(fact)) == 0
+
+
+def test_flags_of_dealt_fact(spark):
+    limits = rules.limits_table(spark, TEST_LIMITS)
+    got = primary.primary_flags(dealt(spark, SF), limits, settings=SETTINGS, dealt=True)
+    want = primary.primary_flags(both(spark, SF), limits, settings=SETTINGS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_buckets_follow_the_size(spark):
+    rows = spark.range(1000).selectExpr("id % 97 AS k", "id")
+    small, large = (scratch.dealt(rows, "numbers", ["k"], size) for size in (1, 40 * scratch.BUCKET))
+    counts = [df.groupBy("k").count().rdd.getNumPartitions() for df in (small, large)]
+    assert counts == [int(spark.conf.get("spark.sql.shuffle.partitions")), 40]
+    assert sorted(r.id for r in large.collect()) == list(range(1000))
+
+
+def test_days_are_counted_once(spark):
+    day = [("a", "2024-01-02"), ("b", "2024-01-02"), ("a", "2024-01-03"), ("a", None), (None, None)]
+    rows = spark.createDataFrame(day, "PORTADOR_ID string, d string").selectExpr(
+        "PORTADOR_ID", "DATE(d) AS DATA_DT", "'u' AS UG_ID", "'s' AS FAVORECIDO_ID", "2024 AS ANO_TRANSACAO", "5L AS VALOR_CENTAVOS", "TRUE AS EH_COMPRA_EFETIVA", "FALSE AS EH_AJUSTE_CONTESTACAO"
+    )
+    got = governance.supplier_year_universe(rows).collect()
+    assert [(r.N_COMPRAS_FORNECEDOR, r.TOTAL_CENTAVOS, r.N_PORTADORES, r.N_DIAS) for r in got] == [(5, 25, 2, 2)]
