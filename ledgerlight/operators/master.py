@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import exprs as x
-from . import rules
+from ..sources import scratch
+from . import benford, rules
 from .rules import CARD
 
 SIGNAL_COLUMNS = (
@@ -124,38 +126,120 @@ def master_signals(outputs: Mapping[str, DataFrame], settings: Mapping[str, dict
     return reduce(DataFrame.unionByName, (part(t, df) for t, df in outputs.items()))
 
 
-def withdrawal_signal_rows(staged: DataFrame, daily: DataFrame, signals: DataFrame, card: str = CARD) -> DataFrame:
-    """The withdrawals of the days with several in the years that T07 puts first."""
-    days = daily.join(signals.select("UG_ID", card, "ANO_TRANSACAO", "ID_SINAL"), ["UG_ID", card, "ANO_TRANSACAO"])
+def withdrawal_links(staged: DataFrame, card: str = CARD, **own) -> DataFrame:
+    """(ID_SINAL, ID_TRANSACAO) of the withdrawals of the days with several in the years that T07 puts first. These days are few and written, so that their size is known before rows meet them."""
+    daily = scratch.written(rules.daily_withdrawals(staged, card).select("UG_ID", card, "ANO_TRANSACAO", "DATA_DT", "N", "TOTAL_CENTAVOS"), "days")
+    first = rules.withdrawal_flags(daily, card, **own).withColumn("ID_SINAL", x.signal_id("T07", "UG_ID", card, "ANO_TRANSACAO"))
     keys = ["UG_ID", card, "DATA_DT"]
-    return rules.effective_withdrawals(staged, card).join(days.select(*keys, "ID_SINAL"), keys).select("ID_SINAL", "ID_TRANSACAO")
+    days = scratch.written(daily.join(first, ["UG_ID", card, "ANO_TRANSACAO"]).select(*keys, "ID_SINAL"), "linked_days")
+    return rules.effective_withdrawals(staged, card).join(days, keys).select("ID_SINAL", "ID_TRANSACAO")
+
+
+_STATUSES = rules.LIMIT_STATUSES
+#: The pairs of T09's statuses in the order of their marks.
+_PAIRS = list(product(_STATUSES, _STATUSES))
+#: The marks of each rule whose signals are transactions. The first pair, of which both are below, is no signal.
+_MARKS = {"T01": [0], "T02": [1], "T09": list(range(3, 2 + len(_PAIRS)))}
+
+
+def _as_it_is(c: Column) -> Column:
+    return c
+
+
+def direct_marks(staged: DataFrame, limits: DataFrame, near: float = 0.90, parts: int | None = None, named: Callable[[Column], Column] = _as_it_is) -> DataFrame:
+    """(ID_TRANSACAO, MARCAS): of the transactions that are signals of T01, T02 or T09 themselves, a row per id with a bit per link. So links are distinct before their texts are made, and only ids are moved, to ``parts`` parts."""
+    value = F.col("VALOR_CENTAVOS")
+    national = x.true("EH_COMPRA_NACIONAL") & (value > 0) & F.col("ANO_TRANSACAO").isNotNull()
+    dated = staged.join(F.broadcast(limits), national & F.col("DATA_DT").between(F.col("INICIO"), F.col("FIM")), "left")
+    pair = len(_STATUSES) * rules.limit_place(value, F.col("LIMITE_COMPRAS"), near) + rules.limit_place(value, F.col("LIMITE_ENGENHARIA"), near)
+    bits = F.array(F.lit(0), *(F.lit(1 << n) for n in _MARKS["T09"]))
+    found = [F.when(rules.on_weekend(), 1).otherwise(0), F.when(rules.has_code(), 2).otherwise(0), F.when(F.col("INICIO").isNotNull(), F.element_at(bits, pair + 1)).otherwise(0)]
+    marked = dated.select(named(F.col("ID_TRANSACAO")).alias("ID_TRANSACAO"), reduce(Column.bitwiseOR, found).alias("MARCAS")).filter("MARCAS <> 0")
+    placed = marked if parts is None else marked.repartition(parts, "ID_TRANSACAO")
+    return placed.groupBy("ID_TRANSACAO").agg(F.bit_or("MARCAS").alias("MARCAS"))
+
+
+def direct_links(marks: DataFrame) -> DataFrame:
+    """The rows of ``direct_marks`` under the bridge's columns, a row per link."""
+    trail = {n: t for t, ns in _MARKS.items() for n in ns}
+    each = F.explode(F.array(*(F.when(F.col("MARCAS").bitwiseAND(F.lit(1 << n)) != 0, n) for n in trail)))
+    links = marks.select("ID_TRANSACAO", each.alias("_N")).filter("_N IS NOT NULL")
+    n = F.col("_N")
+    by_trail = lambda made: F.when(n == 0, made["T01"]).when(n == 1, made["T02"]).otherwise(made["T09"])
+    status = [F.element_at(F.array(*(F.lit(p[k]) for p in _PAIRS)), F.greatest(n - 1, F.lit(1))) for k in (0, 1)]
+    ids = {"T01": x.signal_id("T01", "ID_TRANSACAO"), "T02": x.signal_id("T02", "ID_TRANSACAO"), "T09": x.signal_id("T09", "ID_TRANSACAO", *status)}
+    return links.select(
+        by_trail({t: F.lit(t) for t in _MARKS}).alias("CODIGO_TRILHA"), by_trail(ids).alias("ID_SINAL"), "ID_TRANSACAO", by_trail({t: F.lit(model.ROLES[t]) for t in _MARKS}).alias("PAPEL_NO_SINAL")
+    )
 
 
-def master_bridge(
-    staged: DataFrame, outputs: Mapping[str, DataFrame], drill: DataFrame | None = None, card: str = CARD, days: int = 30
+def group_links(
+    staged: DataFrame,
+    drill: DataFrame | None = None,
+    card: str = CARD,
+    settings: Mapping[str, dict] | None = None,
+    dealt: bool = False,
+    named: Callable[[Column], Column] = _as_it_is,
 ) -> DataFrame:
-    """(CODIGO_TRILHA, ID_SINAL, ID_TRANSACAO, PAPEL_NO_SINAL) of all nine rules, distinct.
-
-    T08 is linked to the transactions of ``drill`` (UG_ID, ANO_TRANSACAO, ID_TRANSACAO) in its unit-years, and to none
-    without it. ``days`` is the length of T05's windows. Transactions with a null id are left out by no rule.
-    """
-    o = outputs
-    direct = {t: o[t].select("ID_SINAL", "ID_TRANSACAO") for t in ("T01", "T02", "T09")}
+    """The bridge's rows of T03 to T08, whose signals hold several transactions, from what decides a link alone: no table of signals is made."""
+    own = {**dict.fromkeys((*model.TRAILS, *model.CONTEXTS), {}), **(settings or {})}
+    recurring = {k: v for k, v in own["T05"].items() if k != "tolerance"}
+    several = rules.repetition_links(staged, card, own["T03"].get("least", 2), own["T04"].get("levels", (2, 3, 5)), dealt)
+    top = scratch.written(rules.concentration_signals(rules.top_suppliers(rules.supplier_years(staged)), **own["T06"]), "concentrated")
     found = {
-        **direct,
-        "T03": rules.exact_repetition_rows(staged, o["T03"], card),
-        "T04": rules.multi_cardholder_rows(staged, o["T04"], card),
-        "T05": rules.recurrence_rows(staged, o["T05"], card, days),
-        "T06": rules.concentration_rows(staged, o["T06"]),
-        "T07": withdrawal_signal_rows(staged, rules.daily_withdrawals(staged, card), o["T07"], card),
+        "T05": rules.recurrence_links(staged, card, **recurring, dealt=dealt),
+        "T06": rules.concentration_rows(staged, top),
+        "T07": withdrawal_links(staged, card, **own["T07"]),
     }
     if drill is not None:
-        found["T08"] = drill.join(o["T08"].select("UG_ID", "ANO_TRANSACAO", "ID_SINAL"), ["UG_ID", "ANO_TRANSACAO"])
-    parts = [
-        df.select(F.lit(t).alias("CODIGO_TRILHA"), F.col(next(c for c in model.EVIDENCE_IDS if c in df.columns)).alias("ID_SINAL"), "ID_TRANSACAO", F.lit(model.ROLES[t]).alias("PAPEL_NO_SINAL"))
-        for t, df in found.items()
-    ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+        forensic = {"least": 300, "formal": 1000, "years": model.COMPLETE_YEARS, **own["T08"]}
+        units = benford.benford_flags(staged, forensic["least"], forensic["formal"], forensic["years"])
+        units = scratch.written(units.select("UG_ID", "ANO_TRANSACAO", benford.deviation_id().alias("ID_SINAL")), "deviating")
+        found["T08"] = drill.join(units, ["UG_ID", "ANO_TRANSACAO"])
+    parts = [df.select(F.lit(t).alias("CODIGO_TRILHA"), F.col(next(c for c in model.EVIDENCE_IDS if c in df.columns)).alias("ID_SINAL"), "ID_TRANSACAO") for t, df in found.items()]
+    role = reduce(lambda done, t: done.when(F.col("CODIGO_TRILHA") == t, model.ROLES[t]), list(found), F.when(F.col("CODIGO_TRILHA").isin("T03", "T04"), model.ROLES["T03"]))
+    links = reduce(DataFrame.unionByName, parts, several).withColumn("ID_TRANSACAO", named(F.col("ID_TRANSACAO")))
+    return links.distinct().withColumn("PAPEL_NO_SINAL", role)
+
+
+def master_bridge(
+    staged: DataFrame,
+    limits: DataFrame,
+    drill: DataFrame | None = None,
+    card: str = CARD,
+    settings: Mapping[str, dict] | None = None,
+    dealt: bool = False,
+    parts: int | None = None,
+    named: Callable[[Column], Column] = _as_it_is,
+) -> tuple[DataFrame, DataFrame]:
+    """The bridge of all nine rules in two tables, for ``bridge`` and ``summary_of``: ``direct_marks`` and ``group_links``.
+
+    T08 is linked to the transactions of ``drill`` (UG_ID, ANO_TRANSACAO, ID_TRANSACAO) in its unit-years, and to none
+    without it. ``settings`` as ``primary_outputs`` takes them; ``dealt``: whether the fact is dealt by unit and supplier; ``parts`` as of ``direct_marks``.
+    ``named`` makes an id's text where the fact keeps ID_TRANSACAO in another form; only links get it. Transactions with a null id are left out by no rule.
+    """
+    return direct_marks(staged, limits, **(settings or {}).get("T09", {}), parts=parts, named=named), group_links(staged, drill, card, settings, dealt, named)
+
+
+def bridge(marks: DataFrame, groups: DataFrame) -> DataFrame:
+    """(CODIGO_TRILHA, ID_SINAL, ID_TRANSACAO, PAPEL_NO_SINAL) of all nine rules, distinct."""
+    return direct_links(marks).unionByName(groups)
+
+
+def summary_of(marks: DataFrame, groups: DataFrame) -> DataFrame:
+    """``bridge_summary`` of ``bridge``. A direct link is a bit of its transaction and a signal of its own, so these are counted without their texts; a null and an empty id name the same signal."""
+    unnamed = F.coalesce(F.col("ID_TRANSACAO"), F.lit("")) == ""
+
+    def counted(trail: str, marks: list[int]) -> Column:
+        own = F.col("MARCAS").bitwiseAND(F.lit(sum(1 << n for n in marks)))
+        n, once = F.bit_count(own).cast("bigint"), F.bit_count(F.bit_or(F.when(unnamed, own))).cast("bigint")
+        some = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+        signals = some(F.sum(F.when(~unnamed, n))) + some(once)
+        values = {"N_VINCULOS": some(F.sum(n)), "N_SINAIS": signals, "N_TRANSACOES": F.count_if((own != 0) & F.col("ID_TRANSACAO").isNotNull())}
+        return F.struct(F.lit(trail).alias("CODIGO_TRILHA"), F.lit(model.ROLES[trail]).alias("PAPEL_NO_SINAL"), *(c.alias(k) for k, c in values.items()))
+
+    direct = marks.agg(F.array(*(counted(t, ns) for t, ns in _MARKS.items())).alias("_EACH")).select(F.inline("_EACH")).filter("N_VINCULOS > 0")
+    return direct.unionByName(bridge_summary(groups))
 
 
 def bridge_summary(bridge: DataFrame) -> DataFrame:
