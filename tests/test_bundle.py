@@ -33,6 +33,16 @@ def test_places_over_splits(spark, tmp_path):
     assert all(int(r.value.split(" ")[1]) == r.LINHA for r in rows)
 
 
+def test_places_move_no_rows(spark, tmp_path):
+    """Counts by split and file are moved, not the rows."""
+    (tmp_path / "x.txt").write_text("a\nb\nc\n")
+    rows = places.with_places(spark.read.text(str(tmp_path / "x.txt")))
+    assert sorted((r.value, r.LINHA) for r in rows.collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) <= 2
+    assert "SortMergeJoin" not in plan
+
+
 HEADING = '"UG","TITULO","UF","ORGAO",'
 LINES = ['"133","Unidade, nova","SP","26",x', '"000134"," ","RJ","00027",', '"5","Fora, longe",anything, here,"EX","9",']
 
