@@ -138,3 +138,9 @@ def test_names_are_matched_with_no_class_of_characters(spark):
     plan = names._jdf.queryExecution().optimizedPlan().toString()
     assert "rlike" not in plan.lower()
     assert [r.f for r in names.collect()] == ["JOSE 12", "MARIA", "No FI", ""]
+
+
+def test_staging_makes_no_arrays_of_one_value(spark):
+    """Values that an expression names several times have columns of their own."""
+    out = staging.build_staging(spark.createDataFrame([], model.RAW_SCHEMA))
+    assert "transform(array(" not in out._jdf.queryExecution().optimizedPlan().toString()
